@@ -14,6 +14,7 @@ from textwarden.functions.detectors import _has, _has_low, _in_long, _like, _lon
 from textwarden.functions.regex import java, java_plain
 from textwarden.functions.text import is_blank, quote
 from textwarden.operators.scan import with_gates
+from textwarden.operators.sealed import sealed
 
 LOG_TYPE = "array<struct<original:string,placeholder:string,rule:string>>"
 
@@ -93,8 +94,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     for i, (_, label, *_rest) in enumerate(REDACTIONS):
         staged = _rule(staged, i, labels_seen.get(label, ""))
         labels_seen[label] = f"_n{i} + "
-    return staged.selectExpr(
+    named = staged.selectExpr(
         *keep, "_text AS redacted", "_log AS replacements", "size(_log) AS total_replacements")
+    return sealed(named, keep, ["redacted", "replacements", "total_replacements"])
 
 
 def summarize(replacements: str = "replacements") -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.functions import destination, detectors, entropy, linear, narrative, policy, risk
 from textwarden.functions.text import is_blank, plain_blanks, utf16_length
+from textwarden.operators.sealed import sealed
 from textwarden.options import DEFAULTS, ScanOptions
 
 SIGNALS = ["text_length", "sha256_prefix", "findings", "secrets", "narrative", "classifier"]
@@ -35,7 +36,8 @@ def with_gates(df: DataFrame, text: str = "text", options: ScanOptions = DEFAULT
 def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
     """Only the detector counts (``hits``), without the other signals."""
     gated = with_gates(scannable(df, text), text)
-    return gated.selectExpr(*[c for c in df.columns if c != text], f"{detectors.hit_counts()} AS hits")
+    keep = [c for c in df.columns if c != text]
+    return sealed(gated.selectExpr(*keep, f"{detectors.hit_counts()} AS hits"), keep, ["hits"])
 
 
 def detect(df: DataFrame, text: str = "text", options: ScanOptions = DEFAULTS) -> DataFrame:
@@ -66,7 +68,7 @@ def detect(df: DataFrame, text: str = "text", options: ScanOptions = DEFAULTS) -
         classified = classified.withColumn("narrative", F.col("narrative").withField("categories", F.expr(
             "array_union(narrative.categories, CASE WHEN _watched THEN array('CONFIDENTIAL_PROJECT') "
             "ELSE cast(array() AS array<string>) END)")))
-    return classified.drop("_watched")
+    return sealed(classified, keep, SIGNALS)
 
 
 def names_codename(codenames: tuple[str, ...], text: str = "_plain") -> str:
@@ -122,11 +124,14 @@ def judge(df: DataFrame, rules: Column | None = None, options: ScanOptions = DEF
         .selectExpr("*", f"{first} AS _rule")
         .selectExpr("*", f"{policy.outcome('_rule', clean, 'risk_score', 'risk_decision')} AS _policy")
     )
-    return judged.selectExpr(
-        *[c for c in df.columns if c != "s"], "tier",
-        "named_struct('s', s, 'd', d, 'v', v, 'a', a, 'c', c) AS factors",
+    kept = [c for c in df.columns if c != "s"]
+    verdict = ["tier", "factors", "risk_score", "risk_decision", "final_decision", "policy_id", "policy_name",
+               "policy_override", "reason", "enforced"]
+    final = judged.selectExpr(
+        *kept, "tier", "named_struct('s', s, 'd', d, 'v', v, 'a', a, 'c', c) AS factors",
         "risk_score", "risk_decision", "_policy.*", f"{str(not options.audit_only).lower()} AS enforced",
     )
+    return sealed(final, kept, verdict)
 
 
 def scan(df: DataFrame, text: str = "text", rules: Column | None = None,
