@@ -44,42 +44,43 @@ _RE2 = {
 }
 
 
+# --- fixed values: shorthand classes, as first and last characters
+_SHORTHAND = {"d": ["09"], "w": ["AZ", "az", "09", "__"], "s": ["\t\r", "  ", "\xa0\xa0"]}
+_CONTROL = {"n": "\n", "r": "\r", "t": "\t"}
+
+
 def _members(body: str) -> str:
     """The body of a character class with ranges and shorthands listed out.
 
     Java tests a class of single Latin-1 characters with one table look-up, but every
     range in it with a chain of calls, which dominates a scan.
     """
-    shorthand = {"d": "0-9", "w": "A-Za-z0-9_", "s": "\t\n\x0b\f\r \xa0", "n": "\n", "r": "\r", "t": "\t"}
     chars: list[str] = []
     i = 0
+
+    def read() -> str:
+        nonlocal i
+        escaped = body[i] == "\\"
+        char = body[i + 1] if escaped else body[i]
+        i += 2 if escaped else 1
+        return _CONTROL.get(char, char) if escaped else char
+
     while i < len(body):
-        if body[i] == "\\":
-            expansion = shorthand.get(body[i + 1])
-            chars += _expand(expansion) if expansion else [body[i + 1]]
+        if body[i] == "\\" and body[i + 1] in _SHORTHAND:
+            for first, last in _SHORTHAND[body[i + 1]]:
+                chars += map(chr, range(ord(first), ord(last) + 1))
             i += 2
-        elif body[i + 1:i + 2] == "-" and i + 2 < len(body):
-            chars += _expand(body[i:i + 3])
-            i += 3
-        else:
-            chars.append(body[i])
+            continue
+        first = read()
+        last = first
+        if body[i:i + 1] == "-" and i + 1 < len(body):
             i += 1
+            last = read()
+        chars += map(chr, range(ord(first), ord(last) + 1))
     return "".join(
         c if c.isalnum() or ord(c) > 255 else f"\\x{ord(c):02x}" for c in dict.fromkeys(chars))
 
 
-def _expand(text: str) -> list[str]:
-    chars, i = [], 0
-    while i < len(text):
-        if text[i + 1:i + 2] == "-" and i + 2 < len(text):
-            chars += [chr(c) for c in range(ord(text[i]), ord(text[i + 2]) + 1)]
-            i += 3
-        else:
-            chars.append(text[i])
-            i += 1
-    return chars
-
-
 def _class_end(pattern: str, start: int) -> int:
     i = start
     while pattern[i] != "]":

@@ -46,4 +46,4 @@ def rules_from(store: DataFrame, options: ScanOptions = DEFAULTS) -> Column:
     size = F.count(F.lit(1))
     listed = F.collect_list(F.struct(*rows.columns)).cast(f"array<struct<{RULE_SCHEMA}>>")
     checked = F.when(size <= MAX_RULES, listed).otherwise(F.raise_error(F.lit("too many stored policy rules")))
-    return F.array_sort(F.concat(rows.agg(checked).scalar(), F.expr(rules_literal(options.extra_rules))))
+    return F.sort_array(F.concat(rows.agg(checked).scalar(), F.expr(rules_literal(options.extra_rules))))

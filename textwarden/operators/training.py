@@ -19,8 +19,12 @@ C = 5.0
 MAX_ITERATIONS = 500
 FOLDS = 5
 TEST_SHARE = 0.2
+TOLERANCE = 1e-4
 VERSION = "2.0.0"
 
+#: feature rows per task while fitting
+ROWS_PER_TASK = 20_000
+
 #: rows are ranked within hash buckets, so no task ever holds a whole class
 _BUCKET_DIGITS = 3
 
@@ -68,16 +72,17 @@ def fit(train: DataFrame, label: str = "label") -> PipelineModel:
     grams = SQLTransformer(statement=f"SELECT *, {char_grams()} AS grams FROM __THIS__")
     base = grams.transform(weighted).select(label, "weight", "grams")
     terms = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=MAX_TERMS, minDF=1).fit(base)
-    counted = terms.transform(base).drop("grams").persist()
+    # one task per ROWS_PER_TASK rows: every optimizer step is a pass over the features
+    rows = train.count()
+    counted = terms.transform(base).drop("grams").coalesce(max(1, rows // ROWS_PER_TASK)).persist()
     try:
         idf = IDF(inputCol="counts", outputCol="idf").fit(counted).idf.toArray()
         # term frequency times (idf + 1), then unit length
         scaled = ElementwiseProduct(inputCol="counts", outputCol="tfidf", scalingVec=Vectors.dense(idf + 1.0))
         unit = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-        total = counted.agg(F.sum("weight")).first()[0]
         model = LogisticRegression(
-            labelCol=label, weightCol="weight", maxIter=MAX_ITERATIONS, regParam=1.0 / (C * total),
-            elasticNetParam=0.0, standardization=False, tol=1e-6,
+            labelCol=label, weightCol="weight", maxIter=MAX_ITERATIONS, regParam=1.0 / (C * rows),
+            elasticNetParam=0.0, standardization=False, tol=TOLERANCE,
         ).fit(unit.transform(scaled.transform(counted)))
     finally:
         counted.unpersist()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textwarden.functions.destination import host_of
+from textwarden.operators.sealed import sealed
 from textwarden.sources.tables import spread, table
 
 HOSTS = [
@@ -113,7 +114,8 @@ def payloads_documents(spark: SparkSession, folder: str) -> DataFrame:
 def payloads_planted(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with one synthetic fragment appended on a new line."""
     docs = payloads_documents(spark, folder)
-    return docs.withColumn("text", F.concat(F.col("text"), F.lit("\n"), F.expr(fragment_sql())))
+    planted = docs.withColumn("text", F.concat(F.col("text"), F.lit("\n"), F.expr(fragment_sql())))
+    return sealed(planted, [c for c in planted.columns if c != "text"], ["text"])
 
 
 def payloads_pages(spark: SparkSession, folder: str) -> DataFrame:
