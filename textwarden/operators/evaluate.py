@@ -23,7 +23,7 @@ def quick_detect(df: DataFrame, text: str = "text") -> DataFrame:
     tests = []
     for name, category, sensitivity, pattern, flags in QUICK_PACK:
         if pattern is None:
-            long = f"regexp_extract_all(_plain, {quote(java_plain(chr(92) + 'S{10,}'))}, 0)"
+            long = f"regexp_extract_all(_plain, {quote(java_plain(chr(92) + 'S{10,}+'))}, 0)"
             scored = measured(f"filter({long}, t -> ({utf16_length('t')}) >= {QUICK_TOKEN})")
             test = f"exists({scored}, m -> m.h >= {QUICK_ENTROPY}D)"
         else:

@@ -527,7 +527,7 @@ def all_sql() -> dict[str, str]:
                 SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY employee_id ORDER BY timestamp, event_id) <= {4 * hour} THEN 0 ELSE 1 END AS fresh FROM ev))
             GROUP BY employee_id, session"""),
         "device_floods": from_events(f"""SELECT device_id, timestamp // {6 * hour} * {6 * hour} AS window_start, count(*) AS events FROM ev
-            GROUP BY 1, 2 HAVING count(*) > 10"""),
+            GROUP BY 1, 2 HAVING count(*) > 4"""),
         "quick_pack": f"WITH {quick()} SELECT c.name AS \"check\", count(*) AS payloads FROM (SELECT unnest(found) AS c FROM quick) GROUP BY 1",
         "evaluation_matrix": f"WITH {quick()} {matrix(f'SELECT len(found) > 0 AS predicted, {EXPECTED} AS expected FROM quick')}",
         "method_comparison": from_signals(matrix(" UNION ALL ".join(

@@ -514,7 +514,7 @@ def leak_sessions(spark, sf):
 
 @query
 def device_floods(spark, sf):
-    found = sessions.floods(timed_events(spark, sf), 10, "6 hours")
+    found = sessions.floods(timed_events(spark, sf), 4, "6 hours")
     return found.selectExpr("device_id", f"{epoch('window_start')} AS window_start", "events")
 
 
