@@ -10,7 +10,7 @@ LONG_TEXT = 300
 LONG_PENALTY = 0.4
 SCHEMA = "i:int,feature:string,needle:string,weight:double,factor:double"
 # A feature holding one of these is looked for only in texts that hold it too.
-MARKERS = ["_", "://", "----", "k-", "xox", "=", ":"]
+MARKERS = ["_", "://", "begin ", "----", "k-", "xox", "=", ":", "eyj", "acquisition"]
 
 
 def feature_rows() -> list[dict]:

@@ -43,7 +43,7 @@ GATES = {
     "EMAIL": f"_at AND {_like('[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]')}",
     "PHONE": "_groups",
     "CREDIT_CARD": f"_digits AND {_like('[0-9]{13}')}",
-    "PRIVATE_IP": _like(r"1[079]2?\."),
+    "PRIVATE_IP": _has("10.", "192.168.", "172."),
 }
 
 
