@@ -1,4 +1,5 @@
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,10 @@ from textwarden.plans.queries import planted
 from textwarden.streaming import jobs
 
 
+# the checkpoint folder may outlive a test run
+RUN = uuid.uuid4().hex
+
+
 def put(folder, name, rows):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
@@ -27,9 +32,9 @@ def finish(query):
 def test_ingest_drops_repeats_and_invalid_rows(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "table")
     put(source, "1.json", [event(1), event(1), event(2, score=150), event(3)])
-    finish(jobs.ingest(spark, str(source), table, name="ingest_test", once=True))
+    finish(jobs.ingest(spark, str(source), table, name=f"ingest_test_{RUN}", once=True))
     put(source, "2.json", [event(3), event(4)])
-    finish(jobs.ingest(spark, str(source), table, name="ingest_test", once=True))
+    finish(jobs.ingest(spark, str(source), table, name=f"ingest_test_{RUN}", once=True))
     assert sorted(r.event_id for r in spark.read.parquet(table).collect()) == ["e1", "e3", "e4"]
 
 
@@ -39,7 +44,7 @@ def test_stream_scan_equals_batch(spark, data, tmp_path):
     source, table = str(tmp_path / "payloads"), str(tmp_path / "events")
     batch.write.parquet(source)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 20).parquet(source)
-    finish(jobs.scan_stream(stream, table, "doc_id", name="scan_test", once=True))
+    finish(jobs.scan_stream(stream, table, "doc_id", name=f"scan_test_{RUN}", once=True))
     got = spark.read.parquet(table).select("payload_sha256_prefix", "risk_score", "action", "content_length")
     want = scan(batch).select(F.col("sha256_prefix"), "risk_score", "final_decision", "text_length")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -53,7 +58,7 @@ def test_policies_are_read_for_every_batch(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).json(str(source))
-        finish(jobs.scan_stream(stream, table, "id", policies=lambda: spark.read.parquet(rules), name="rules_test", once=True))
+        finish(jobs.scan_stream(stream, table, "id", policies=lambda: spark.read.parquet(rules), name=f"rules_test_{RUN}", once=True))
 
     row = {"text": "let a = 1; let b = 2", "host": "docs.google.com", "action_type": "paste", "ts": "2024-01-01T00:00:00Z"}
     put(source, "1.json", [row | {"id": "1"}])
@@ -68,7 +73,7 @@ def test_policies_are_read_for_every_batch(spark, tmp_path):
 def test_alerts(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "alerts")
     put(source, "1.json", [event(1), event(2, "BLOCK"), event(3, "WARN", 70)])
-    finish(jobs.alert_stream(jobs.read_events(spark, str(source)), out, name="alert_test", once=True))
+    finish(jobs.alert_stream(jobs.read_events(spark, str(source)), out, name=f"alert_test_{RUN}", once=True))
     assert sorted(r.event_id for r in spark.read.json(out).collect()) == ["e2", "e3"]
 
 
