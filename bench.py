@@ -9,6 +9,7 @@ import json
 import os
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -66,7 +67,8 @@ def main() -> None:
         timed(name, lambda: run(REGISTRY[name](spark, folder)))
 
     # the event table is written once; the analytics read it
-    scratch = tempfile.mkdtemp(prefix="bench-", dir=os.environ.get("BENCH_TMP", "/tmp"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    scratch = f"{root.rstrip('/')}/bench-{uuid.uuid4().hex}"
     timed("write_event_table", lambda: sinks.write_events(event_rows(spark, folder), f"{scratch}/events"))
     stored = sinks.read_events(spark, f"{scratch}/events")
     for name, rollup in FROM_EVENTS.items():
