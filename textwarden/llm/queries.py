@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive
+from textwarden.llm import archive, bpe, line_dedup
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -37,3 +37,41 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM m
 """
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that an earlier document holds."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op8_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10
+      GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.doc_id, k.line, k.pos, r.first_id IS NOT NULL AND k.doc_id <> r.first_id AS lost
+      FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return f"file://{public_tokenizers.path(name)}"
+
+
+@query
+def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text encoded and decoded again."""
+    source = bpe.read_text(spark, vocabulary_path())
+    return bpe.digests(table(spark, sf, "documents").select("doc_id", "text"), source)\
+        .select("doc_id", *bpe.ADDED)
