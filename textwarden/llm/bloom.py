@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textwarden.llm.common import map_batches
+
 BLOCK = 16
 _BYTES = (1 << BLOCK) // 8
 #: bits of a filter: 2 ** 26, that is 8 MiB
@@ -95,10 +97,11 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bi
                 held, size = [], 0
         yield from _report(held)
 
-    merged = (df.mapInArrow(report, "block int, once binary, twice binary")
-              .repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, twice binary"))
+    merged = map_batches(
+        map_batches(df, report, "block int, once binary, twice binary").repartition("block")
+        .sortWithinPartitions("block"), _merge, "block int, twice binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in merged.toLocalIterator():  # at most 2 ** (bits - 16) rows of 8 KiB
+    for row in merged.collect():  # at most 2 ** (bits - 16) rows of 8 KiB
         out[row.block * _BYTES:(row.block + 1) * _BYTES] = np.frombuffer(row.twice, np.uint8)
     return out
 

@@ -14,9 +14,11 @@ special tokens and replaces invalid UTF-8. Columns named like the added ones are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,13 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from textwarden.llm.common import map_batches
+
 #: pre-token pattern of the byte-level vocabulary (fixed value)
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: a batch of texts is encoded when it holds this many characters
 HELD_CHARS = 1 << 24
 #: pre-tokens that a worker remembers between batches
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 ADDED = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -154,14 +158,18 @@ class PairIndex:
 
 
 class Coder:
-    """Encodes and decodes batches of texts; remembers a bounded number of pre-tokens."""
+    """Encodes and decodes batches of texts; remembers a bounded number of pre-tokens.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    ``known`` maps a pre-token to its ids, the ids as comma-joined text, and their bytes.
+    """
+
+    def __init__(self, source: str):
+        self.vocabulary = Vocabulary(source)
+        self.decimal = list(map(str, range(len(self.vocabulary.tokens))))
         self.find = regex.compile(PATTERN).findall
-        names = sorted(vocabulary.special, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, list[int]] = {}
+        names = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.known: dict[str, tuple[list[int], str, bytes]] = {}
 
     def pretokens(self, text: str) -> list[str]:
         if self.special is None or self.special.search(text) is None:
@@ -173,28 +181,38 @@ class Coder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the pre-tokens of these texts that are not known yet."""
-        new = set(chain.from_iterable(texts)) - self.known.keys()
+        wanted = set().union(*texts)
+        new = wanted - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set(chain.from_iterable(texts))
-        special = self.vocabulary.special
+            self.known, new = {}, wanted
+        special, tokens, decimal = self.vocabulary.special, self.vocabulary.tokens, self.decimal
         words = [w for w in new if w not in special]
         index = PairIndex([w.encode() for w in words], self.vocabulary)
         index.merge_all()
-        self.known.update(zip(words, index.results(len(words))))
-        self.known.update({w: [special[w]] for w in new if w in special})
+        found = index.results(len(words)) + [[special[w]] for w in new if w in special]
+        words += [w for w in new if w in special]
+        self.known.update({w: (ids, ",".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
+                           for w, ids in zip(words, found)})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def split(self, texts: list[str]) -> list[list[str]]:
         split = [self.pretokens(t) for t in texts]
         self.learn(split)
-        known = self.known
-        return [list(chain.from_iterable(known[w] for w in words)) for words in split]
+        return split
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [list(chain.from_iterable([self.known[w][0] for w in words])) for words in self.split(texts)]
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.vocabulary.tokens
         return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def coder_of(source: str) -> Coder:
+    """The coder of a Python worker, kept between its tasks."""
+    return Coder(source)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, by Spark's reader, so that any store serves."""
     return spark.read.text(path, wholetext=True).first()[0]
@@ -217,7 +235,7 @@ def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.Stru
     shared = documents.sparkSession.sparkContext.broadcast(source)  # the vocabulary file, fixed size
 
     def work(batches):
-        coder = Coder(Vocabulary(shared.value))
+        coder = coder_of(shared.value)
         for batch in batches:
             for a, b in _slices(batch):
                 texts = batch.column(0).slice(a, b - a).to_pylist()
@@ -225,7 +243,7 @@ def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.Stru
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), *(pa.array(v) for v in values)], ["_row", *added])
 
-    out = packed.mapInArrow(work, T.StructType([packed.schema["_row"], *columns]))
+    out = map_batches(packed, work, T.StructType([packed.schema["_row"], *columns]))
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *added)
 
 
@@ -242,28 +260,24 @@ def decode(encoded: DataFrame, source: str, ids_col: str = "ids", text_col: str
     shared = encoded.sparkSession.sparkContext.broadcast(source)
 
     def work(batches):
-        coder = Coder(Vocabulary(shared.value))
+        coder = coder_of(shared.value)
         for batch in batches:
             texts = [None if x is None else coder.decode(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], ["_row", text_col])
 
-    out = packed.mapInArrow(work, T.StructType([packed.schema["_row"], T.StructField(text_col, T.StringType())]))
+    out = map_batches(packed, work, T.StructType([packed.schema["_row"], T.StructField(text_col, T.StringType())]))
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), text_col)
 
 
 def _digests(coder: Coder, texts: list[str]) -> list[list]:
-    """Token count, digest of the ids and digest of the decoded text; holds one text's ids at a time."""
-    split = [coder.pretokens(t) for t in texts]
-    coder.learn(split)
-    tokens, known = coder.vocabulary.tokens, coder.known
-    parts = {w: (len(ids), ",".join(map(str, ids)).encode(), b"".join([tokens[i] for i in ids]))
-             for w in set(chain.from_iterable(split)) for ids in (known[w],)}
+    """Token count, digest of the ids and digest of the decoded text."""
     out: list[list] = [[], [], []]
-    for words in split:
-        own = [parts[w] for w in words]
-        out[0].append(sum(x[0] for x in own))
-        out[1].append(hashlib.sha256(b",".join([x[1] for x in own])).hexdigest())
+    for words in coder.split(texts):
+        own = [coder.known[w] for w in words]
+        ids = ",".join([x[1] for x in own])
         text = b"".join([x[2] for x in own]).decode("utf-8", "replace")
+        out[0].append(ids.count(",") + bool(ids))
+        out[1].append(hashlib.sha256(ids.encode()).hexdigest())
         out[2].append(hashlib.sha256(text.encode()).hexdigest())
     return out
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +16,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of one join key are dealt to this many tasks
 SALTS = 64
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -41,11 +44,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return dealt.join(needed.join(right, keys), [*keys, "_salt"], how).drop("_salt")
 
 
-def map_batches(df: DataFrame, schema, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-                ) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they may not find it themselves."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
 
 
-def spread_out(df: DataFrame, columns: list[str], extra: list[str]) -> list[str]:
-    """Columns of a result: those of the input, but without the names that the operator adds."""
-    return [c for c in columns if c not in extra]
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+                ) -> DataFrame:
+    """``mapInArrow`` whose function may use this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

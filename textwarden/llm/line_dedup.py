@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from textwarden.llm import bloom
-from textwarden.llm.common import BLANKS, salted_join, stored
+from textwarden.llm.common import BLANKS, map_batches, salted_join, stored
 
 #: shorter keys, in code points, are left alone
 LEAST = 10
@@ -68,8 +68,8 @@ def suspected(documents: DataFrame, filter_, least: int, bits: int) -> DataFrame
                  pa.array([_digest(keys[i]) for i in hit], pa.binary())], ["_id", "digest"])
 
     kind = documents.schema["_id"].dataType
-    return documents.select("_id", "_text").mapInArrow(
-        find, T.StructType([T.StructField("_id", kind), T.StructField("digest", T.BinaryType())]))
+    return map_batches(
+        documents.select("_id", "_text"), find, T.StructType([T.StructField("_id", kind), T.StructField("digest", T.BinaryType())]))
 
 
 def _drop(text: bytes | None, lost: set[bytes], least: int) -> tuple[bytes | None, int, int]:
@@ -111,7 +111,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 [*batch.columns, pa.array([suspect(t) for t in batch.column(1).to_pylist()])],
                 names=[*batch.schema.names, "_open"])
 
-    flagged = packed.mapInArrow(flag, T.StructType([*packed.schema.fields, T.StructField("_open", T.BooleanType())]))
+    flagged = map_batches(packed, flag, T.StructType([*packed.schema.fields, T.StructField("_open", T.BooleanType())]))
     doc = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
     empty = F.lit(None).cast("array<binary>")
     whole = flagged.filter("NOT _open").select("_text", "_row", empty.alias("_lost"))
@@ -126,7 +126,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 [pa.array([x[0] for x in out], pa.binary()), batch.column(1), pa.array([x[1] for x in out], pa.int64()),
                  pa.array([x[2] for x in out], pa.int64())], ["_text", "_row", *ADDED])
 
-    done = whole.unionByName(opened).mapInArrow(cut, T.StructType(
+    done = map_batches(whole.unionByName(opened), cut, T.StructType(
         [packed.schema["_text"], packed.schema["_row"], *(T.StructField(c, T.LongType()) for c in ADDED)]))
     columns = [F.col("_text").cast("string").alias(text_col) if c == text_col else F.col(f"_row.`{c}`").alias(c)
                for c in documents.columns if c not in ADDED]
