@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, line_dedup
+from textwarden.llm import archive, bpe, line_dedup, mixing
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -75,3 +75,12 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     source = bpe.read_text(spark, vocabulary_path())
     return bpe.digests(table(spark, sf, "documents").select("doc_id", "text"), source)\
         .select("doc_id", *bpe.ADDED)
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents mixed to the weights of their sources."""
+    documents = table(spark, sf, "documents").select("doc_id", "source", "text")
+    plan = mixing.plan_mix(documents).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                       (F.col("copies") * F.col("size")).alias("taken"))
