@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, line_dedup, mixing
+from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -84,3 +84,39 @@ def op9_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.plan_mix(documents).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                        (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op1_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document measured, and judged by the lines that its source repeats."""
+    return line_quality.judge_lines(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+SQL["op1_line_quality"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, CASE WHEN i + 7 <= len(w) THEN array_to_string(list_slice(w, i, i + 7), ' ') END AS gram FROM p),
+r AS (SELECT doc_id, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM g),
+c AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit
+      FROM r),
+rep AS (SELECT doc_id, sum(hit) AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+k AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l),
+n AS (SELECT doc_id, source, t, line, len(lw) AS words,
+             translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM k WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
+tot AS (SELECT source, count(DISTINCT t) AS documents FROM d GROUP BY source),
+f AS (SELECT n.source, n.key FROM n JOIN tot ON n.source IS NOT DISTINCT FROM tot.source
+      GROUP BY n.source, n.key, tot.documents
+      HAVING count(DISTINCT n.t) >= 20 AND count(DISTINCT n.t) * 100 > tot.documents * 2),
+x AS (SELECT n.doc_id, sum(n.words) AS removed_words FROM n JOIN f
+      ON n.source IS NOT DISTINCT FROM f.source AND n.key = f.key GROUP BY n.doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN x USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND removed_words * 100 <= n_words * 50 AS kept FROM b
+"""
