@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -220,7 +221,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of about HELD_CHARS bytes; a longer text stands alone."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(0)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0))
     group = np.cumsum(sizes) // HELD_CHARS
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
