@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing
+from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing, toxicity
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -120,3 +120,22 @@ m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND removed_words * 100 <= n_words * 50 AS kept FROM b
 """
+
+
+def held_out(id_col: str = "doc_id"):
+    """Every fifth document by the checksum of its id is held out of training."""
+    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, sf: str, documents: DataFrame) -> toxicity.Model:
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").filter(~held_out())
+    return toxicity.fit(documents.select("doc_id", "text"), labels)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scored for toxic passages by a model of the rows that are not held out."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity_model(spark, sf, documents))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted",
+                         F.size("passages").alias("n_passages"))
