@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing, toxicity
+from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing, partenum, toxicity
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -139,3 +139,10 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     scored = toxicity.score(documents, toxicity_model(spark, sf, documents))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted",
                          F.size("passages").alias("n_passages"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its set size and the component of its links."""
+    found = partenum.similar(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
