@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, line_dedup, line_quality, mixing, partenum, toxicity
+from textwarden.llm import archive, bpe, licences, line_dedup, line_quality, mixing, partenum, rotation, toxicity
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -146,3 +146,61 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its set size and the component of its links."""
     found = partenum.similar(table(spark, sf, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every licence notice that a document holds."""
+    return licences.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    notices = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in n)) for n in licences.NOTICES)
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return rf"""
+WITH n(license, body) AS (VALUES {notices}),
+nw AS (SELECT license, {words.format('body')} AS w FROM n),
+t AS (SELECT DISTINCT license, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+      FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM nw)),
+c AS (SELECT license, count(*) AS n_shingles, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS class FROM t GROUP BY license),
+dw AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)),
+v AS (SELECT s.* FROM s WHERE gram IN (SELECT gram FROM t)),
+win AS (SELECT DISTINCT v.doc_id, k.class, CAST(floor(v.pos / k.class) AS BIGINT) - o.o AS win
+        FROM v, (SELECT DISTINCT class FROM c) k, (VALUES (0), (1)) o(o)),
+f AS (SELECT win.doc_id, win.class, win.win, min(v.pos) AS first_word FROM win JOIN v ON v.doc_id = win.doc_id
+      AND CAST(floor(v.pos / win.class) AS BIGINT) IN (win.win, win.win + 1) GROUP BY ALL),
+m AS (SELECT win.doc_id, win.win, c.license, c.n_shingles, c.class, count(DISTINCT v.gram) AS n_shared
+      FROM win JOIN v ON v.doc_id = win.doc_id AND CAST(floor(v.pos / win.class) AS BIGINT) IN (win.win, win.win + 1)
+      JOIN t ON t.gram = v.gram JOIN c ON c.license = t.license AND c.class = win.class GROUP BY ALL)
+SELECT m.doc_id, license, max(n_shared) AS n_shared, max(n_shingles) AS n_shingles, min(first_word) AS first_word
+FROM m JOIN f USING (doc_id, class, win) WHERE n_shared >= n_shingles * 0.8 GROUP BY m.doc_id, license
+"""
+
+
+SQL["op5_license_scan"] = _license_sql()
+
+
+@query
+def op6_perspective_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation rendered from the side of each participant."""
+    seen = rotation.rotate(table(spark, sf, "conversations"))
+    spans = F.expr("array_join(transform(spans, s -> concat(s.first, '-', s.last)), ',')")
+    return seen.withColumn("spans", spans)
+
+
+SQL["op6_perspective_rotation"] = r"""
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role,
+                  replace(coalesce(text, ''), '<|', '<\|') || '<|im_end|>' AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM c WHERE role <> 'system'),
+s AS (SELECT c.conv_id, perspective, turn, CAST(floor(turn / 64) AS BIGINT) AS block, role = perspective AS own,
+             CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
+                  WHEN role = perspective THEN '<|im_start|>assistant' || chr(10)
+                  ELSE '<|im_start|>user name=' || role || chr(10) END AS head, body FROM c JOIN p USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn) AS upto FROM s)
+SELECT conv_id, perspective, block, CAST(0 AS BIGINT) AS sub, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+       string_agg(head || body || chr(10), '' ORDER BY turn) AS text,
+       coalesce(string_agg((upto - length(body) - 1) || '-' || (upto - 1), ',' ORDER BY turn) FILTER (own), '') AS spans
+FROM o GROUP BY conv_id, perspective, block
+"""
