@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.llm import archive, bpe, licences, line_dedup, line_quality, mixing, partenum, rotation, toxicity
+from textwarden.llm import (
+    archive, bpe, licences, line_dedup, line_quality, mixing, neighbours, partenum, rotation, toxicity)
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -204,3 +205,9 @@ SELECT conv_id, perspective, block, CAST(0 AS BIGINT) AS sub, count(*) AS n_turn
        coalesce(string_agg((upto - length(body) - 1) || '-' || (upto - 1), ',' ORDER BY turn) FILTER (own), '') AS spans
 FROM o GROUP BY conv_id, perspective, block
 """
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth row, found by greedy search of the neighbour graph."""
+    return neighbours.search(table(spark, sf, "embeddings"), every=20, top=20)
