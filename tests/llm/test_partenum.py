@@ -1,0 +1,91 @@
+import itertools
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from textwarden.llm import partenum
+from textwarden.llm.components import components
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2))) if words else frozenset()
+
+
+def brute(rows):
+    """All pairs of rows, then components by repeated minimum."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    low = {i: i for i, _ in sets}
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2)
+             if a is not None and b is not None and x and y and 100 * len(x & y) >= 90 * len(x | y)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return sorted(((i, len(s), low[i] if i is not None else None) for i, s in sets), key=str)
+
+
+def run(df):
+    return sorted(((r.id, r.n_shingles, r.component_id) for r in partenum.similar(df).collect()), key=str)
+
+
+def edited(words, rng, n):
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k:k + 1] = rng.choice([[], [f"e{rng.randint(0, 999)}"], [words[k], "more"]])
+    return words
+
+
+def test_against_all_pairs(spark, docs):
+    rng, rows = random.Random(11), []
+    for size in (3, 5, 9, 12, 20, 22, 45, 80, 150, 400):
+        base = [f"x{rng.randint(0, 5000)}" for _ in range(size)]
+        for k in range(14):
+            rows.append((len(rows) * 3 % 401, " ".join(edited(base, rng, rng.choice([0, 0, 1, 1, 2, 3, size // 40])) or ["x"])))
+        # a chain: each is a link to the next, far ones are not
+        chain = base
+        for k in range(8):
+            chain = edited(chain, rng, max(1, size // 80))
+            rows.append((500 + len(rows), " ".join(chain) or "x"))
+    rows += [(900, None), (901, ""), (902, "  "), (903, "one"), (904, "ONE"), (905, "one two"), (906, "one two"), (907, "two one"),
+             (None, rows[0][1]), (None, "one"), (908, "É b c d"), (909, "é b c d"), (910, "long " * 30_000), (911, "long " * 29_000)]
+    rows.append(rows[3])
+    df = docs(rows).withColumn("a", F.lit(1)).withColumn("component_id", F.lit("clash"))
+    assert run(df) == brute(rows)
+    assert run(docs([])) == []
+
+
+def test_similar_sets_share_a_signature():
+    rng, bands = np.random.default_rng(0), partenum.Bands()
+    for size in [1, 5, 9, 10, 18, 19, 20, 37, 38, 60, 100, 333, 1000, 5000]:
+        for _ in range(20):
+            base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+            both = [base]
+            drop = rng.integers(0, size // 10 + 1)
+            add = rng.integers(0, size // 10 + 1)
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2 ** 63, add, dtype=np.uint64)]))
+            common = size - drop
+            if len(other) and 10 * common >= 9 * (size + len(other) - common):
+                both.append(other)
+                a, b = (set(partenum.signatures(np.unique(x), bands).tolist()) for x in both)
+                assert a & b, (size, drop, add)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    links += [(5000, 5000 + i) for i in range(300)] + [(7, 7)]
+    low = {x: x for link in links for x in link}
+    for _ in range(400):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: m for x, m in low.items() if x != m}

@@ -34,10 +34,10 @@ from textwarden.llm.common import map_batches, stored
 
 #: labelled texts of a class that the lexicon and the calibration learn from, about
 MOST_TRAINING = 20_000
-#: words of pseudo-count that the prior spreads over the tokens by their share of all documents
-PRIOR = 1e4
+#: pseudo-count of the prior, as a share of the training words; it goes to the tokens by their share of all documents
+PRIOR = 0.01
 #: a token enters the lexicon at this log-odds, this many standard errors, and this often in toxic texts
-LEAST_ODDS, LEAST_Z, LEAST_COUNT = 4.0, 4.0, 5
+LEAST_ODDS, LEAST_Z, LEAST_COUNT = 4.0, 2.5, 5
 #: at most so many tokens, the most significant ones
 LEXICON = 200_000
 PREFIXES = (4, 5, 6)
@@ -188,11 +188,12 @@ def _lexicon(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str
     total = table.filter("token = -1").first()
     if total is None or not total.t or not total.c:
         return {}, {}
-    prior = F.col("all") * F.lit(PRIOR / total["all"])
+    mass = PRIOR * (total.t + total.c)
+    prior = F.col("all") * F.lit(mass / total["all"])
     a, b = F.col("t") + prior, F.col("c") + prior
-    odds = F.log(a / (total.t + PRIOR - a)) - F.log(b / (total.c + PRIOR - b))
+    odds = F.log(a / (total.t + mass - a)) - F.log(b / (total.c + mass - b))
     strong = (table.filter("token >= 0").withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b),
-                                                      "p": b / (total.c + PRIOR)})
+                                                      "p": b / (total.c + mass)})
               .filter(f"odds >= {LEAST_ODDS} AND z >= {LEAST_Z} AND t >= {LEAST_COUNT}")
               .orderBy(F.desc("z"), "token").limit(LEXICON).select("token", "odds", "p").toArrow().to_pylist())
     return {x["token"]: x["odds"] for x in strong}, {x["token"]: x["p"] for x in strong}
