@@ -11,7 +11,9 @@ Sets that share a signature form a star around the smallest id, per input task f
 over all, so no task or group pairs its members with each other. Star links are verified exactly
 on the sets. Where members of one signature remain in different components, all their untested
 pairs are verified too, so no link between components is lost. Equal sets are one class from the
-start. Sets travel only for documents that occur in candidate pairs.
+start. Sets travel only for documents that occur in candidate pairs. The distance is a metric, so
+pairs whose distances from their signature's first document differ by more than a link allows
+are not compared at all.
 
 Defined results: a text with fewer words than a shingle is one shingle; without words the set is
 empty, linked with nothing; rows without an id are linked with nothing and have no component.
@@ -214,22 +216,67 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id")
 
 
-def verified(documents: DataFrame, pairs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose sets are similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, distance): the exact Jaccard distance of each pair whose sizes allow a link."""
+    for c in "ab":
+        pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c)
+    # distance 1 stands for pairs that their sizes rule out; no smaller one is possible than the sizes give
+    bound = F.least("n_a", "n_b") * SIMILARITY.denominator >= F.greatest("n_a", "n_b") * SIMILARITY.numerator
+    sized = stored(pairs.withColumn("possible", bound), "sized-pairs")
+    near = sized.filter("possible").select("a", "b")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(_sets_of(documents, ids), "candidate-sets")
-    left = salted_join(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), ["b"], F.col("a"))
+    left = salted_join(near, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), ["b"], F.col("a"))
     both = salted_join(left, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), ["a"], F.col("b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(common * similarity.denominator >= union * similarity.numerator).select("a", "b").distinct()
-
-
-def _renamed(pairs: DataFrame, column: str, names: DataFrame, other: str) -> DataFrame:
-    """``column`` replaced by its name in (id, name), where it has one."""
-    step = names.select(F.col("id").alias(column), F.col("name").alias("_name"))
-    return (salted_join(pairs, step, [column], F.col(other), "left")
-            .withColumn(column, F.coalesce("_name", column)).drop("_name"))
+    linked = common * SIMILARITY.denominator >= union * SIMILARITY.numerator
+    exact = both.select("a", "b", (1 - common / union).alias("distance"), linked.alias("linked"))
+    far = sized.filter("NOT possible").select(
+        "a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("distance"), F.lit(False).alias("linked"))
+    return stored(exact.unionByName(far).groupBy("a", "b").agg(
+        F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared-pairs")
+
+
+def _named(pairs: DataFrame, column: str, classes: DataFrame) -> DataFrame:
+    """``column`` replaced by the class of that id, where it has one."""
+    step = classes.select(F.col("id").alias(column), F.col("name").alias("_name"))
+    return pairs.join(step, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
+
+
+def _unsettled(stars: DataFrame, met: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one signature in different components that no triangle inequality rules out.
+
+    ``met`` has the distance of each star link. A member lies between bounds of distance from
+    its signature's first document: exact for that one's own links, a sum and a difference for
+    members that an input task had starred. Similar members have bounds at most 0.1 apart.
+    """
+    apart = met.filter("part_x <> part_y")
+    mixed = stars.join(apart.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").select("sig").distinct()
+    rows = stored(stars.join(mixed, "sig", "left_semi").join(
+        met.select(F.col("x").alias("a"), F.col("y").alias("b"), "low", "high"), ["a", "b"]), "mixed-stars")
+    head = rows.groupBy("sig").agg(F.min("a").alias("head"))
+    rows = rows.join(head, "sig")
+    top = rows.filter("a = head").groupBy("sig", F.col("b").alias("id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    inner = (rows.filter("a <> head").join(top.select("sig", F.col("id").alias("a"), F.col("low").alias("low_a"),
+                                                      F.col("high").alias("high_a")), ["sig", "a"])
+             .select("sig", F.col("b").alias("id"), F.greatest(F.lit(0.0), F.col("low") - F.col("high_a"),
+                                                              F.col("low_a") - F.col("high")).alias("low"),
+                     (F.col("high") + F.col("high_a")).alias("high")))
+    first = head.select("sig", F.col("head").alias("id"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    member = (top.unionByName(inner).unionByName(first).groupBy("sig", "id")
+              .agg(F.max("low").alias("low"), F.min("high").alias("high"))
+              .join(label.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
+              .withColumn("part", F.coalesce("part", "id")))
+    member = stored(member.join(head, "sig").join(
+        label.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
+        .withColumn("main", F.coalesce("main", "head")), "members")
+    # of two parts, one is not the first document's
+    one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in ("id", "part", "low", "high")))
+    two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("id", "part", "low", "high")))
+    most = float(1 - SIMILARITY) + 1e-9
+    return (one.join(two, "sig").filter(f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most}")
+            .select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct())
 
 
 def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,36 +285,39 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                              F.col(text_col).cast("string").cast("binary").alias("text"))
     measured = stored(_measured(texts), "shingle-classes")
     known = measured.filter("id IS NOT NULL AND n_shingles > 0")
+    sizes = known.select("id", F.col("n_shingles").alias("n"))
     lead = known.groupBy("class").agg(F.min("id").alias("name"), F.max("id").alias("last")).filter("name <> last")
-    classes = stored(salted_join(known.select("id", "class").distinct(), lead.select("class", "name"), ["class"],
-                                 F.col("id")).filter("id <> name").select("id", "name"), "equal-sets")
+    classes = stored(known.select("id", "class").distinct().join(lead.select("class", "name"), "class")
+                     .filter("id <> name").select("id", "name"), "equal-sets")
+    same = classes.select(F.col("name").alias("a"), F.col("id").alias("b"))
 
     stars = stored(map_batches(
         map_batches(texts, _signed, "sig long, a long, b long").repartition("sig").sortWithinPartitions("sig", "a", "b"),
         _stars, "sig long, a long, b long"), "signature-stars")
-    raw = stars.select("a", "b").distinct()
-    named = stored(_renamed(_renamed(raw.withColumns({"x": F.col("a"), "y": F.col("b")}), "a", classes, "y"), "b",
-                            classes, "x"), "named-pairs")  # x, y: as met; a, b: their classes
-    pairs = named.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    same = classes.select(F.col("name").alias("a"), F.col("id").alias("b"))
-    links = stored(verified(texts, pairs), "verified-links")
-    label = components(links)
+    met = stars.select("a", "b").distinct().select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b")
+    met = stored(_named(_named(met, "a", classes), "b", classes)
+                 .select("x", "y", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "named-pairs")
+    pairs = met.filter("a <> b").select("a", "b").distinct()
+    found = compared(texts, pairs, sizes)
+    label = components(found.filter("linked").select("a", "b").unionByName(same))
 
     # exact rest: members of one signature that are still in different components
-    def component(rows, column, other):
-        return _renamed(rows, column, label.select(F.col("node").alias("id"), F.col("component").alias("name")), other)
-
-    apart = (component(component(named.filter("a <> b"), "a", "y"), "b", "x").filter("a <> b")
-             .select(F.col("x").alias("a"), F.col("y").alias("b")))
-    mixed = stars.join(apart, ["a", "b"]).select("sig").distinct()
-    member = stars.join(mixed, "sig").select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
-    member = _renamed(member, "id", classes, "sig").distinct().withColumn("part", F.col("id"))
-    member = stored(component(member, "part", "id"), "mixed-signatures")
-    if not member.isEmpty():
-        one, two = (member.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part"))) for k in "ab")
-        rest = (salted_join(one, two, ["sig"], F.col("id_a")).filter("part_a <> part_b AND id_a < id_b")
-                .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(texts, stored(rest, "rest-pairs")))
-    label = components(links.unionByName(same))
+    part = label.select("node", "component")
+    spans = met.join(found, ["a", "b"], "left").select(
+        "x", "y", F.coalesce(F.col("distance"), F.lit(0.0)).alias("low"),
+        F.when(F.col("a") == F.col("b"), F.lit(0.0)).when(F.col("linked"), F.col("distance"))
+        .otherwise(F.lit(1.0)).alias("high"))
+    for c in "xy":
+        spans = (spans.join(part.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
+                 .withColumn(f"part_{c}", F.coalesce(f"part_{c}", c)))
+    spans = stored(spans, "star-spans")
+    if not spans.filter("part_x <> part_y").isEmpty():
+        rest = _unsettled(stars, spans, label).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        rest = (_named(_named(rest, "a", classes), "b", classes).filter("a <> b")
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+        if not rest.isEmpty():
+            more = compared(texts, rest, sizes).filter("linked").select("a", "b")
+            label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     out = salted_join(measured, label.select(F.col("node").alias("id"), "component"), ["id"], F.col("class"), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
