@@ -89,3 +89,16 @@ def test_components(spark):
             low[a] = low[b] = min(low[a], low[b])
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: m for x, m in low.items() if x != m}
+
+
+def test_sketch_bits_never_exceed_the_differences():
+    rng = np.random.default_rng(3)
+    for size in [1, 20, 32, 33, 64, 65, 140, 700]:
+        for drop in (0, 1, size // 8):
+            base = np.unique(rng.integers(0, 2 ** 63, size, dtype=np.uint64))
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2 ** 63, drop + 1, dtype=np.uint64)]))
+            (x, xf), (y, yf) = partenum.sketch(base), partenum.sketch(other)
+            assert abs(len(x).bit_length() - len(y).bit_length()) <= 1
+            a, b = x if len(x) <= len(y) else xf, y if len(y) <= len(x) else yf
+            bits = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(base, other))

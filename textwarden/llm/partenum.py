@@ -11,9 +11,9 @@ Sets that share a signature form a star around the smallest id, per input task f
 over all, so no task or group pairs its members with each other. Star links are verified exactly
 on the sets. Where members of one signature remain in different components, all their untested
 pairs are verified too, so no link between components is lost. Equal sets are one class from the
-start. Sets travel only for documents that occur in candidate pairs. The distance is a metric, so
-pairs whose distances from their signature's first document differ by more than a link allows
-are not compared at all.
+start. Sets travel only for documents that occur in candidate pairs. Pairs of the rest are ruled
+out before they become rows where the triangle inequality or a parity sketch shows that they
+differ too much; neither can rule out a similar pair.
 
 Defined results: a text with fewer words than a shingle is one shingle; without words the set is
 empty, linked with nothing; rows without an id are linked with nothing and have no component.
@@ -191,8 +191,8 @@ def _measured(documents: DataFrame) -> DataFrame:
     return map_batches(documents, work, "id long, n_shingles long, class binary")
 
 
-def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents with these ids; a bounded filter first, then an exact join."""
+def _of_documents(documents: DataFrame, ids: DataFrame, schema: str, build) -> DataFrame:
+    """``build(set)`` of the documents with these ids; a bounded filter first, then an exact join."""
     code = F.xxhash64("id")
     byte = F.shiftrightunsigned(code, 3).bitwiseAND((1 << FILTER_BITS - 3) - 1)
     bits = (ids.groupBy(byte.alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(xxhash64(id) & 7 as int))")).alias("bits")))
@@ -208,19 +208,47 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
             hit = np.flatnonzero(shared.value[at.astype(np.int64)] >> (codes & 7).astype(np.uint8) & 1)
             for part in np.array_split(hit, max(1, len(hit) // 256)):
                 texts = batch.column(1).take(pa.array(part)).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(part)),
-                     pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "set"])
+                columns = build([shingles(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), *columns.values()],
+                                                 ["id", *columns])
 
-    found = map_batches(documents.filter("id IS NOT NULL").withColumn("code", code), work, "id long, set array<long>")
+    found = map_batches(documents.filter("id IS NOT NULL").withColumn("code", code), work, f"id long, {schema}")
     return found.join(ids, "id")
 
 
+def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    return _of_documents(documents, ids, "set array<long>", lambda sets: {
+        "set": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's parity bits, over two to four times as many cells as features, and the same folded once.
+
+    A feature that only one of two sets has flips one bit, so the bits that differ are at most as
+    many as the features that differ.
+    """
+    level = max(7, (2 * len(hashes) - 1).bit_length())
+    cells = (_mix(hashes ^ _D) & np.uint64((1 << level) - 1)).astype(np.int64)
+    parity = (np.bincount(cells, minlength=1 << level) & 1).astype(np.uint8)
+    folded = parity[:1 << level - 1] ^ parity[1 << level - 1:]
+    return tuple(np.packbits(x, bitorder="little").view(np.int64) for x in (parity, folded))
+
+
+def _sketches_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, bits, folded) of the documents with these ids."""
+    def build(sets):
+        both = [sketch(x) for x in sets]
+        return {"n": pa.array([len(x) for x in sets], pa.int64()),
+                "bits": pa.array([x[0] for x in both], pa.list_(pa.int64())),
+                "folded": pa.array([x[1] for x in both], pa.list_(pa.int64()))}
+
+    return _of_documents(documents, ids, "n long, bits array<long>, folded array<long>", build)
+
+
 def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b, distance): the exact Jaccard distance of each pair whose sizes allow a link."""
+    """(a, b, low, high, linked): bounds of the Jaccard distance, equal for all pairs whose sizes allow a link."""
     for c in "ab":
         pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c)
-    # distance 1 stands for pairs that their sizes rule out; no smaller one is possible than the sizes give
     bound = F.least("n_a", "n_b") * SIMILARITY.denominator >= F.greatest("n_a", "n_b") * SIMILARITY.numerator
     sized = stored(pairs.withColumn("possible", bound), "sized-pairs")
     near = sized.filter("possible").select("a", "b")
@@ -231,11 +259,13 @@ def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFr
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     linked = common * SIMILARITY.denominator >= union * SIMILARITY.numerator
-    exact = both.select("a", "b", (1 - common / union).alias("distance"), linked.alias("linked"))
+    distance = 1 - common / union
+    exact = both.select("a", "b", distance.alias("low"), distance.alias("high"), linked.alias("linked"))
     far = sized.filter("NOT possible").select(
-        "a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("distance"), F.lit(False).alias("linked"))
+        "a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("low"), F.lit(1.0).alias("high"),
+        F.lit(False).alias("linked"))
     return stored(exact.unionByName(far).groupBy("a", "b").agg(
-        F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared-pairs")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("linked").alias("linked")), "compared-pairs")
 
 
 def _named(pairs: DataFrame, column: str, classes: DataFrame) -> DataFrame:
@@ -244,12 +274,14 @@ def _named(pairs: DataFrame, column: str, classes: DataFrame) -> DataFrame:
     return pairs.join(step, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
 
 
-def _unsettled(stars: DataFrame, met: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one signature in different components that no triangle inequality rules out.
+def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (x, y) of one signature in different components that neither bound rules out.
 
     ``met`` has the distance of each star link. A member lies between bounds of distance from
     its signature's first document: exact for that one's own links, a sum and a difference for
-    members that an input task had starred. Similar members have bounds at most 0.1 apart.
+    members that an input task had starred. Similar members have bounds at most 0.1 apart, and
+    sketches that differ in no more bits than similar sets differ in features. Both are tests of
+    the join itself, so pairs that fail them never become rows.
     """
     apart = met.filter("part_x <> part_y")
     mixed = stars.join(apart.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").select("sig").distinct()
@@ -271,11 +303,19 @@ def _unsettled(stars: DataFrame, met: DataFrame, label: DataFrame) -> DataFrame:
     member = stored(member.join(head, "sig").join(
         label.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
         .withColumn("main", F.coalesce("main", "head")), "members")
+    member = member.join(stored(_sketches_of(documents, member.select("id").distinct()), "sketches"), "id")
     # of two parts, one is not the first document's
-    one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in ("id", "part", "low", "high")))
-    two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("id", "part", "low", "high")))
+    columns = ("id", "part", "low", "high", "n", "bits", "folded")
+    one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in columns))
+    two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in columns))
     most = float(1 - SIMILARITY) + 1e-9
-    return (one.join(two, "sig").filter(f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most}")
+    flipped = ("aggregate(zip_with(if(size(bits_x) <= size(bits_y), bits_x, folded_x), "
+               "if(size(bits_y) <= size(bits_x), bits_y, folded_y), (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
+    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    return (one.join(two, "sig").filter(
+        f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most} "
+        f"AND least(n_x, n_y) * {den} >= greatest(n_x, n_y) * {num} "
+        f"AND {flipped} * {den + num} <= (n_x + n_y) * {den - num}")
             .select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct())
 
 
@@ -304,15 +344,14 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # exact rest: members of one signature that are still in different components
     part = label.select("node", "component")
     spans = met.join(found, ["a", "b"], "left").select(
-        "x", "y", F.coalesce(F.col("distance"), F.lit(0.0)).alias("low"),
-        F.when(F.col("a") == F.col("b"), F.lit(0.0)).when(F.col("linked"), F.col("distance"))
-        .otherwise(F.lit(1.0)).alias("high"))
+        "x", "y", F.coalesce("low", F.lit(0.0)).alias("low"),
+        F.coalesce("high", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1.0)).alias("high"))
     for c in "xy":
         spans = (spans.join(part.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
                  .withColumn(f"part_{c}", F.coalesce(f"part_{c}", c)))
     spans = stored(spans, "star-spans")
     if not spans.filter("part_x <> part_y").isEmpty():
-        rest = _unsettled(stars, spans, label).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        rest = _unsettled(texts, stars, spans, label).select(F.col("x").alias("a"), F.col("y").alias("b"))
         rest = (_named(_named(rest, "a", classes), "b", classes).filter("a <> b")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
