@@ -54,8 +54,10 @@ def test_validation_and_storage(spark):
     good = ev.accepted(df).collect()
     assert len(good) == 4 and all(r.received_at for r in good)
     filled = [r for r in good if r.event_id not in ("evt_1", "evt_2", "evt_3")][0]
-    assert filled.event_id.startswith("evt_") and len(filled.event_id) == 12 and json.loads(filled.detected_tags) == []
-    assert ev.decoded_tags(ev.accepted(df)).filter("event_id = 'evt_1'").first().detected_tags == ["PII"]
+    assert filled.event_id.startswith("evt_") and len(filled.event_id) == 36 and filled.detected_tags == []
+    as_text = ev.accepted(df).selectExpr("* EXCEPT (detected_tags)", "to_json(detected_tags) AS detected_tags")
+    for table in (ev.accepted(df), as_text):
+        assert ev.decoded_tags(table).filter("event_id = 'evt_1'").first().detected_tags == ["PII"]
 
 
 def test_listing_and_lookup(spark):
@@ -183,7 +185,11 @@ def test_files(spark, tmp_path):
     blocked = quarantined(files).collect()
     assert {r.name for r in blocked} == {"prod.ENV", "a.b.pem"}
     assert blocked[0].risk_score == 100 and blocked[0].factors.asDict() == {"s": 100, "d": 75, "v": 80, "a": 85, "c": 100}
-    assert {r.name for r in scan_files(files).collect()} == {"notes.txt"}
+    (tmp_path / "latin.txt").write_bytes("Schlüssel ".encode("latin-1") + secret.encode())
+    (tmp_path / "cut.txt").write_bytes(b"x" * 65535 + "é ".encode() + secret.encode())
+    (tmp_path / "big.md").write_text("x " * 600_000 + secret)
+    files = payloads.read_files(spark, str(tmp_path), "claude.ai")
+    assert {r.name for r in scan_files(files).collect()} == {"notes.txt", "late.md", "latin.txt", "cut.txt", "big.md"}
     off = ScanOptions(quarantine_files=False)
     assert quarantined(files, off).count() == 0 and text_files(files, off).filter("name = 'prod.ENV'").count() == 1
     inside = payloads.read_files(spark, str(tmp_path), "files.corp")

@@ -145,7 +145,7 @@ def test_score_formula(spark):
 
 SCENARIOS = [  # text, score, risk decision, rule, final decision; to an external AI by paste
     ("What does a hash map do, and when is a tree the better choice?", 4, "ALLOW", None, "ALLOW"),
-    ("QVNJQVVBU01LVkdON1FGVlE3VkhXRTpOeGNUZE1WK3FucWp3RjJtSjRSWmtyWmh4WS9WUm5TRGJT", 62, "BLOCK", None, "ALLOW"),
+    ("aGFyYm91ciBsZWRnZXIsIHNlY29uZCBkcmFmdCwga2VwdCBieSB0aGUgbmlnaHQgY2xlcmsgMTk=", 62, "BLOCK", None, "ALLOW"),
     ("Write to maria.lopez@example.com about it", 63, "BLOCK", "POLICY_011", "WARN"),
     ("invoice: $ 12,500.00 is due", 66, "BLOCK", None, "BLOCK"),
     ("AKIA" + "ABCD1234EFGH5678", 77, "BLOCK", "POLICY_001", "BLOCK"),

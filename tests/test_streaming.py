@@ -38,6 +38,23 @@ def test_ingest_drops_repeats_and_invalid_rows(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(table).collect()) == ["e1", "e3", "e4"]
 
 
+def test_ingest_loses_no_valid_event(spark, tmp_path):
+    source, table, refused = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "refused")
+    nameless = {k: v for k, v in event(0).items() if k != "event_id"}
+    hours = 3_600_000
+    put(source, "1.json", [nameless, nameless, event("x", score=150), event("x", score=20), event("new", at=9 * hours)])
+    finish(jobs.ingest(spark, str(source), table, name=f"whole_test_{RUN}", once=True))
+    put(source, "2.json", [event("old", at=-9 * hours), event("new", at=9 * hours)])
+    finish(jobs.ingest(spark, str(source), table, name=f"whole_test_{RUN}", once=True))
+    finish(jobs.reject_stream(spark, str(source), refused, name=f"refused_test_{RUN}", once=True))
+    rows = spark.read.parquet(table).collect()
+    named = sorted(r.event_id for r in rows if not r.event_id.startswith("evt_"))
+    filled = [r.event_id for r in rows if r.event_id.startswith("evt_")]
+    assert named == ["enew", "eold", "ex"] and len(set(filled)) == 2 and all(len(i) == 36 for i in filled)
+    assert [r.risk_score for r in rows if r.event_id == "ex"] == [20] and rows[0].detected_tags == ["PII"]
+    assert [(r.event_id, r.reject_reason) for r in spark.read.json(refused).collect()] == [("ex", "risk_score out of range")]
+
+
 def test_stream_scan_equals_batch(spark, data, tmp_path):
     batch = planted(spark, data).select("doc_id", "text", "host", "action_type").withColumn(
         "ts", F.timestamp_millis(F.col("doc_id")))
@@ -94,7 +111,7 @@ def test_live_rollups_windows_and_sessions(spark, tmp_path):
     windows = memory(jobs.windowed_risk(events, "1 hour"), "complete", "windows")
     assert sum(r.events for r in windows) == 7
     found = memory(jobs.session_stream(events), "complete", "sessions")
-    assert sorted(r.events for r in found) == [1, 6]
+    assert sorted(r.events for r in found) == [1, 6] and all(r.tags == ["PII"] for r in found)
     put(source, "2.json", [event(100 + i, at=i) for i in range(101)])
     assert [r.events for r in memory(jobs.flood_stream(events), "complete", "floods")] == [102]
 

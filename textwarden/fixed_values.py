@@ -269,7 +269,6 @@ RESTRICTED_EXTENSIONS = [
     ".env", ".pem", ".key", ".pkcs12", ".pfx", ".id_rsa", ".id_ed25519", ".kdbx", ".credentials", ".cert",
 ]
 TEXT_EXTENSIONS = [".txt", ".csv", ".json", ".py", ".js", ".ts", ".sql", ".yaml", ".yml", ".sh", ".md", ".env"]
-FILE_SAMPLE_BYTES = 65536
 
 # --- fixed values: threat families over event tags --------------------------
 # (column, technique or None, substrings any tag may contain)

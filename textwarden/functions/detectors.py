@@ -96,8 +96,22 @@ FIRST_CHARS = {
 }
 
 
+_MAIL, _JWT = "a-zA-Z0-9._%+\\-", r"A-Za-z0-9_\-"
+# The same matches, counted in linear time and constant stack. A run of characters that can begin a match is
+# entered once, at its first possible start (later starts in it see the same rest), or where the last match ended.
+LINEAR = {
+    # only existence is reported, so the first three lines decide; a longer repeat would recurse line by line
+    "ENV_FILE": lambda p: p.replace("){2,}", "){2}"),
+    "EMAIL": lambda p: (rf"(?:\G(?!\A)\b[{_MAIL}]++|(?<![{_MAIL}])[.%+\-]*+(?=\w)[{_MAIL}]++)@"
+                        r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"),
+    "JWT_TOKEN": lambda p: (rf"(?:\G(?!\A)\beyJ|(?<![{_JWT}])(?>[{_JWT}]*?\beyJ))"
+                            rf"[{_JWT}]++\.[{_JWT}]++\.[{_JWT}]+\b"),
+}
+
+
 def java_pattern(name: str) -> str:
     pattern, flags = SPEC[name][5:]
+    pattern = LINEAR[name](pattern) if name in LINEAR else pattern
     translated = java_plain(pattern, flags)
     if name in FIRST_CHARS:
         prefix = "(?i)" if "i" in flags else ""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from textwarden.functions.regex import java_plain
-from textwarden.functions.text import has_astral, quote, utf16_length
+from textwarden.functions.text import has_astral, is_ascii, quote, utf16_length
 
 # --- fixed values -----------------------------------------------------------
 ENTROPY_THRESHOLD = 4.2
@@ -17,7 +17,11 @@ DELIMITERS = r"""\s=:"'`,;\[\]{}()"""
 BASE64 = r"^[A-Za-z0-9+/]{20,}={0,2}$"
 HEX = r"^[0-9a-fA-F]{24,}$"
 # kinds of character and their points: lower, upper, digit, ASCII punctuation, Base64 extras
-DENSITY = [("[a-z]", 20), ("[A-Z]", 20), ("[0-9]", 20), (r"[!-/:-@\[-`{-~]", 25), ("[+/=]", 15)]
+DENSITY = [("[a-z]", 20), ("[A-Z]", 20), ("[0-9]", 20), (r"""[!@#$%^&*()\-_+=\[\]{}|;:'",.<>?/\\`~]""", 25), ("[+/=]", 15)]
+
+
+#: a text beyond ASCII of this length may hold many kinds of character
+MANY = 2_000
 
 
 def shannon_entropy(text: str) -> str:
@@ -27,7 +31,12 @@ def shannon_entropy(text: str) -> str:
     """
     counts = (f"transform(array_distinct(split({text}, '')), c -> "
               f"(octet_length({text}) - octet_length(replace({text}, c, ''))) / octet_length(c))")
-    weighted = f"aggregate({counts}, 0D, (a, n) -> a + n * log2(n))"
+    few = f"aggregate({counts}, 0D, (a, n) -> a + n * log2(n))"
+    # with many kinds of character, sort them once and fold the runs instead of one pass per kind
+    many = (f"aggregate(array_sort(split({text}, '')), named_struct('c', '', 'n', 0D, 'a', 0D), "
+            f"(s, c) -> named_struct('c', c, 'n', if(c = s.c, s.n + 1, 1D), "
+            f"'a', if(c = s.c OR s.n = 0, s.a, s.a + s.n * log2(s.n))), s -> s.a + s.n * log2(s.n))")
+    weighted = f"if({is_ascii(text)} OR length({text}) < {MANY}, {few}, {many})"
     size = f"({utf16_length(text)})"
     return (f"CASE WHEN {text} = '' THEN 0D ELSE "
             f"greatest(0D, (length({text}) * log2({size}) - {weighted}) / {size}) END")

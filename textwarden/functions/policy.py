@@ -9,7 +9,7 @@ from textwarden.functions.text import literal_rows, quote
 
 RULE_SCHEMA = (
     "rank:int,source:int,ord:bigint,id:string,name:string,action:string,categories:array<string>,"
-    "tags:array<string>,tiers:array<string>,max_risk:int,reason:string"
+    "tags:array<string>,tiers:array<string>,max_risk:double,reason:string"
 )
 KEYS = ("id", "name", "action", "categories", "tags", "tiers", "max_risk", "reason")
 # blocking rules are tried first, then warnings, then allowances

@@ -57,12 +57,12 @@ def validated(events: DataFrame) -> DataFrame:
 
 
 def accepted(events: DataFrame) -> DataFrame:
-    """Valid events as stored: id filled in, time of receipt added, tags as JSON text."""
+    """Valid events as stored: a full-length id filled in, time of receipt added, tags never null."""
     return (validated(events).filter("reject_reason IS NULL").drop("reject_reason")
             .withColumns({
-                "event_id": F.expr("coalesce(event_id, concat('evt_', substring(md5(uuid()), 1, 8)))"),
+                "event_id": F.expr("coalesce(event_id, concat('evt_', replace(uuid(), '-', '')))"),
                 "received_at": F.current_timestamp(),
-                "detected_tags": F.expr("to_json(coalesce(detected_tags, cast(array() AS array<string>)))"),
+                "detected_tags": F.expr("coalesce(detected_tags, cast(array() AS array<string>))"),
             }))
 
 
@@ -84,7 +84,12 @@ def unique_events(events: DataFrame) -> DataFrame:
 
 
 def decoded_tags(events: DataFrame) -> DataFrame:
-    """Stored tag text back to an array; null becomes an empty array."""
+    """Tags that another writer stored as JSON text back to an array; null becomes an empty array.
+
+    Tables of this library hold arrays already and pass unchanged, but for nulls.
+    """
+    if events.schema["detected_tags"].dataType.typeName() == "array":
+        return events.withColumn("detected_tags", F.expr("coalesce(detected_tags, cast(array() AS array<string>))"))
     return events.withColumn("detected_tags", F.expr(
         "coalesce(from_json(detected_tags, 'array<string>'), cast(array() AS array<string>))"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textwarden.fixed_values import EXTERNAL_TIERS, FILE_SAMPLE_BYTES, RESTRICTED_EXTENSIONS, TEXT_EXTENSIONS
+from textwarden.fixed_values import EXTERNAL_TIERS, RESTRICTED_EXTENSIONS, TEXT_EXTENSIONS
 from textwarden.functions.destination import root_domain, tier_of, tier_score
 from textwarden.functions.text import quote
 from textwarden.operators.scan import scan
@@ -40,9 +40,9 @@ def quarantined(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
 
 
 def text_files(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
-    """Text-like files on their way out, with the leading bytes the scan looks at.
+    """Text-like files on their way out, with their whole content as text.
 
-    Only the first 64 KiB are read as text: that sample is the feature, as in the browser.
+    Bytes that are not valid UTF-8 become replacement characters, so no file ends the job.
     """
     named = with_extension(files)
     mime = "OR coalesce(mime, '') LIKE 'text/%'" if "mime" in files.columns else ""
@@ -52,7 +52,7 @@ def text_files(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
         wanted = wanted.filter(f"ext NOT IN {_in(RESTRICTED_EXTENSIONS)}")
     return wanted.selectExpr(
         "path", "name", "host", "'file_upload' AS action_type",
-        f"try_validate_utf8(decode(substring(content, 1, {FILE_SAMPLE_BYTES}), 'UTF-8')) AS text")
+        "make_valid_utf8(cast(content AS string)) AS text")
 
 
 def scan_files(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
@@ -64,8 +64,10 @@ def scan_typed(payloads: DataFrame, options: ScanOptions = DEFAULTS) -> DataFram
     """Typed messages: at least 8 characters, external destination, and a verdict worth showing."""
     from textwarden.functions.text import trimmed, utf16_length
 
-    typed = payloads.withColumn("action_type", F.lit("keystroke_typing")).filter(
-        f"({utf16_length(trimmed('text'))}) >= 8")
+    # the tier needs only the host, so text for internal hosts is never scanned
+    tier = tier_of("host", f"({root_domain('host')})", options.approved_ai_domains, options.restricted_destinations)
+    typed = (payloads.withColumn("action_type", F.lit("keystroke_typing"))
+             .filter(f"({utf16_length(trimmed('text'))}) >= 8").filter(f"({tier}) <> 'INTERNAL'"))
     judged = scan(typed, options=options)
     return judged.filter("tier <> 'INTERNAL' AND (final_decision = 'BLOCK' "
                          "OR (final_decision = 'WARN' AND risk_score >= 70))")

@@ -9,15 +9,25 @@ from textwarden.options import DEFAULTS, ScanOptions
 
 STORE_SCHEMA = "id bigint, name string, conditions string, action string, enabled int, created_at string"
 CONDITIONS = ("struct<detectedCategories:array<string>,detectedTags:array<string>,"
-              "destinationTiers:array<string>,maxRiskScore:int>")
-#: rules are carried as one array value; far above any rule set written by people
-MAX_RULES = 50_000
+              "destinationTiers:array<string>,maxRiskScore:double,_malformed:string>")
 
 
 def read_policies(store: DataFrame) -> DataFrame:
-    """All stored rules by id, with the conditions decoded."""
-    return store.withColumn(
-        "conditions", F.from_json(F.coalesce("conditions", F.lit("{}")), CONDITIONS)).orderBy("id")
+    """All stored rules by id, with the conditions decoded.
+
+    ``malformed`` marks rules whose conditions are not an object of the known types. Their
+    conditions read as unstated, so such rules must not be evaluated.
+    """
+    parsed = F.from_json(F.coalesce("conditions", F.lit("{}")), CONDITIONS, {"columnNameOfCorruptRecord": "_malformed"})
+    return (store.withColumn("conditions", parsed)
+            .withColumn("malformed", F.col("conditions").isNull() | F.col("conditions._malformed").isNotNull())
+            .withColumn("conditions", F.col("conditions").dropFields("_malformed")).orderBy("id"))
+
+
+def malformed_policies(store: DataFrame) -> DataFrame:
+    """Stored rules that are set aside, as stored."""
+    bad = read_policies(store).filter("malformed").select("id")
+    return store.join(bad, "id", "left_semi")
 
 
 def policy_row(spark: SparkSession, rule_id: int, name: str, conditions: str, action: str) -> DataFrame:
@@ -31,11 +41,11 @@ def policy_row(spark: SparkSession, rule_id: int, name: str, conditions: str, ac
 def rules_from(store: DataFrame, options: ScanOptions = DEFAULTS) -> Column:
     """Rules of the store followed by the built-in rules, as one array in evaluation order.
 
-    The array is a scalar subquery, so payloads are neither joined nor shuffled for it. A
-    store beyond MAX_RULES is refused rather than cut.
+    The array is a scalar subquery, sorted within it, so payloads are neither joined nor
+    shuffled for it and see the finished array. Rules with malformed conditions are left out.
     """
     rank = "CASE action " + " ".join(f"WHEN '{a}' THEN {r}" for a, r in ACTION_RANK.items()) + " END"
-    stored = read_policies(store)
+    stored = read_policies(store).filter("NOT malformed")
     if options.honour_rule_enabled:
         stored = stored.filter("enabled = 1")
     rows = stored.selectExpr(
@@ -43,7 +53,5 @@ def rules_from(store: DataFrame, options: ScanOptions = DEFAULTS) -> Column:
         "conditions.detectedCategories AS categories", "conditions.detectedTags AS tags",
         "conditions.destinationTiers AS tiers", "conditions.maxRiskScore AS max_risk",
         "cast(null AS string) AS reason").filter("rank IS NOT NULL")
-    size = F.count(F.lit(1))
     listed = F.collect_list(F.struct(*rows.columns)).cast(f"array<struct<{RULE_SCHEMA}>>")
-    checked = F.when(size <= MAX_RULES, listed).otherwise(F.raise_error(F.lit("too many stored policy rules")))
-    return F.sort_array(F.concat(rows.agg(checked).scalar(), F.expr(rules_literal(options.extra_rules))))
+    return rows.agg(F.sort_array(F.concat(listed, F.expr(rules_literal(options.extra_rules))))).scalar()

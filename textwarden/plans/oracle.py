@@ -235,7 +235,7 @@ def _rule_values() -> str:
             f"SELECT {r['rank']} AS rank, {r['source']} AS source, {r['ord']} AS ord, {q(r['id'])} AS id, {q(r['name'])} AS name, "
             f"{q(r['action'])} AS action, CAST({names(r['categories'])} AS VARCHAR[]) AS categories, "
             f"CAST({names(r['tags'])} AS VARCHAR[]) AS tags, CAST({names(r['tiers'])} AS VARCHAR[]) AS tiers, "
-            f"CAST({'NULL' if r['max_risk'] is None else r['max_risk']} AS INT) AS max_risk, {q(r['reason'])} AS reason")
+            f"CAST({'NULL' if r['max_risk'] is None else r['max_risk']} AS DOUBLE) AS max_risk, {q(r['reason'])} AS reason")
     return " UNION ALL ".join(rows)
 
 
@@ -252,11 +252,14 @@ def condition(field: str, kind: str = "VARCHAR[]") -> str:
     return f"TRY_CAST(json_extract(conditions, '$.{field}') AS {kind})"
 
 
+#: the store's rules of wrong types state the risk as text
+MALFORMED = "coalesce(json_type(conditions, '$.maxRiskScore') = 'VARCHAR', false)"
+MAX_RISK = f"CASE WHEN NOT {MALFORMED} THEN {condition('maxRiskScore', 'DOUBLE')} END"
 STORED_RULES = f"""{BUILT_IN} UNION ALL
   SELECT CASE action WHEN 'BLOCK' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, 0, id, CAST(id AS VARCHAR), name, action,
     coalesce({condition('detectedCategories')}, []), coalesce({condition('detectedTags')}, []),
-    coalesce({condition('destinationTiers')}, []), {condition('maxRiskScore', 'INT')}, CAST(NULL AS VARCHAR)
-  FROM ({store('region', 'r_regionkey', 'r_name')}) WHERE action IN ('BLOCK', 'WARN', 'ALLOW')"""
+    coalesce({condition('destinationTiers')}, []), {MAX_RISK}, CAST(NULL AS VARCHAR)
+  FROM ({store('region', 'r_regionkey', 'r_name')}) WHERE action IN ('BLOCK', 'WARN', 'ALLOW') AND NOT {MALFORMED}"""
 
 PLACED = "placed AS (SELECT s.*, p.host, p.action_type FROM signals s JOIN planted p USING (doc_id))"
 
@@ -458,7 +461,7 @@ def all_sql() -> dict[str, str]:
             "SELECT policy_id, policy_override, final_decision, count(*) AS payloads FROM judged GROUP BY 1, 2, 3"),
         "stored_policies": f"""SELECT id, name, action, enabled, array_to_string({condition('detectedCategories')}, ',') AS categories,
             array_to_string({condition('detectedTags')}, ',') AS tags, array_to_string({condition('destinationTiers')}, ',') AS tiers,
-            {condition('maxRiskScore', 'INT')} AS max_risk FROM ({store('supplier', 's_suppkey', 's_name')})""",
+            {MAX_RISK} AS max_risk, {MALFORMED} AS malformed FROM ({store('supplier', 's_suppkey', 's_name')})""",
         "stored_rule_decisions": f"""WITH {with_verdicts(STORED_RULES)} SELECT doc_id, final_decision, policy_id, policy_name, policy_override FROM judged""",
         "audit_only_decisions": from_verdicts("SELECT final_decision, false AS enforced, count(*) AS payloads FROM judged GROUP BY 1"),
         "watchlist_codenames": f"""WITH {PLANTED}, {DET}, {NARRATIVE}, w AS (SELECT doc_id, list_concat(
@@ -540,7 +543,7 @@ def all_sql() -> dict[str, str]:
               floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) AS test_rows FROM labels)
             SELECT doc_id, label, CASE WHEN rank <= test_rows THEN 'test' ELSE 'train' END AS part,
               CASE WHEN rank > test_rows THEN CAST((rank - test_rows - 1) % 5 AS INT) END AS fold FROM r""",
-        "char_grams": f"WITH {LABELLED} SELECT gram, count(*) AS occurrences FROM ({gram}) GROUP BY 1 ORDER BY occurrences DESC, gram LIMIT 200",
+        "char_grams": f"WITH {LABELLED} SELECT gram, count(*) AS occurrences FROM ({gram}) GROUP BY 1",
         "conversation_verdicts": f"""WITH {with_verdicts().replace(PLANTED, CONVERSATIONS)}
             SELECT role, tier, final_decision, count(*) AS turns, max(risk_score) AS max_risk
             FROM judged JOIN (SELECT doc_id, role FROM planted) USING (doc_id) GROUP BY 1, 2, 3""",

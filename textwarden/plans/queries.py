@@ -10,7 +10,7 @@ from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
 from textwarden.operators import analytics, evaluate, events as ev, policies, redact, sessions, training
-from textwarden.operators.files import scan_typed, with_extension
+from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
 from textwarden.operators.sealed import sealed
 from textwarden.options import ScanOptions
@@ -255,10 +255,10 @@ def policy_hits(spark, sf):
 RULE_CONDITIONS = """CASE {key} % 5
     WHEN 0 THEN '{{"detectedTags": ["EMAIL"], "destinationTiers": ["APPROVED_SAAS"]}}'
     WHEN 1 THEN '{{"detectedCategories": ["SOURCE_CODE", "PII"]}}'
-    WHEN 2 THEN '{{"maxRiskScore": 40}}'
+    WHEN 2 THEN '{{"maxRiskScore": 40.5}}'
     WHEN 3 THEN '{{"detectedTags": ["ML_SENSITIVE"], "destinationTiers": ["INTERNAL", "APPROVED_AI"]}}'
-    ELSE '{{}}' END"""
-RULE_ACTIONS = "CASE {key} % 5 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'WARN' WHEN 2 THEN 'ALLOW' WHEN 3 THEN 'BLOCK' ELSE 'AUDIT' END"
+    ELSE '{{"maxRiskScore": "90"}}' END"""
+RULE_ACTIONS = "CASE {key} % 5 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'WARN' WHEN 2 THEN 'ALLOW' ELSE 'BLOCK' END"
 
 
 def rule_store(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -274,7 +274,7 @@ def stored_policies(spark, sf):
     return policies.read_policies(rule_store(table(spark, sf, "supplier"), "s_suppkey", "s_name")).selectExpr(
         "id", "name", "action", "enabled", "array_join(conditions.detectedCategories, ',') AS categories",
         "array_join(conditions.detectedTags, ',') AS tags", "array_join(conditions.destinationTiers, ',') AS tiers",
-        "conditions.maxRiskScore AS max_risk")
+        "conditions.maxRiskScore AS max_risk", "malformed")
 
 
 @query
@@ -325,10 +325,10 @@ def file_extensions(spark, sf):
     names = "get(array('notes.txt', 'prod.env', 'id.pem', 'table.csv', 'photo.png', 'README', 'vault.kdbx', 'a.b.SQL'), cast(doc_id % 8 AS int))"
     files = adapters.payloads_documents(spark, sf).selectExpr(
         f"concat('/out/', doc_id, '/', {names}) AS path", "host", "octet_length(text) AS length")
-    restricted = "ext IN ('.env', '.pem', '.key', '.pkcs12', '.pfx', '.id_rsa', '.id_ed25519', '.kdbx', '.credentials', '.cert')"
-    return (with_extension(files).selectExpr(
-        "ext", "tier", f"{restricted} AND tier IN ('EXTERNAL_AI', 'UNKNOWN_SAAS', 'SUSPICIOUS') AS quarantined")
-        .groupBy("ext", "tier", "quarantined").agg(F.count(F.lit(1)).alias("files")))
+    blocked = quarantined(files).select("path", F.lit(True).alias("quarantined"))
+    return (with_extension(files).join(blocked, "path", "left")
+            .groupBy("ext", "tier", F.coalesce("quarantined", F.lit(False)).alias("quarantined"))
+            .agg(F.count(F.lit(1)).alias("files")))
 
 
 # --- redaction -------------------------------------------------------------------
@@ -568,8 +568,7 @@ def stratified_split(spark, sf):
 @query
 def char_grams(spark, sf):
     grams = labelled(spark, sf).select(F.explode(F.expr(training.char_grams())).alias("gram"))
-    return (grams.groupBy("gram").agg(F.count(F.lit(1)).alias("occurrences"))
-            .orderBy(F.desc("occurrences"), "gram").limit(200))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 @query

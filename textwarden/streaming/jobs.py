@@ -42,17 +42,32 @@ def with_time(events: DataFrame) -> DataFrame:
 
 
 def unique(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of an event id that arrive within the delay (bounded state)."""
-    return with_time(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Drop repeats of an event id that arrive within the delay of each other (bounded state).
+
+    Time is that of arrival (``received_at``), so an event is never late, however old its own
+    time is. Every row must carry an id: fill it in first, or rows without one count as repeats.
+    """
+    return (with_time(events).withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"]))
 
 
 def ingest(spark: SparkSession, source: str, table: str, name: str = "ingest", once: bool = False) -> StreamingQuery:
-    """Append valid, unique events to the event table, partitioned by day."""
-    stored = ev.accepted(unique(read_events(spark, source))).withColumn("event_date", F.to_date("ts"))
+    """Append valid, unique events to the event table, partitioned by day.
+
+    Rows are checked and given an id before repeats are dropped, so a rejected row never takes
+    an id away from a valid one. ``reject_stream`` keeps what this leaves out.
+    """
+    stored = unique(ev.accepted(read_events(spark, source))).withColumn("event_date", F.to_date("ts"))
     writer = stored.writeStream.format("parquet").option("path", table).partitionBy("event_date")
     return _start(writer.outputMode("append"), spark, name, once)
 
 
+def reject_stream(spark: SparkSession, source: str, folder: str, name: str = "rejects",
+                  once: bool = False) -> StreamingQuery:
+    """Write the events that ``ingest`` refuses, with the reason, as JSON."""
+    writer = ev.rejected(read_events(spark, source)).writeStream.format("json").option("path", folder)
+    return _start(writer.outputMode("append"), spark, name, once)
+
+
 def scan_stream(payloads: DataFrame, table: str, suffix: str, policies=None, name: str = "scan",
                 once: bool = False, options: ScanOptions = DEFAULTS) -> StreamingQuery:
     """Scan a stream of payloads into the event table.
@@ -65,8 +80,9 @@ def scan_stream(payloads: DataFrame, table: str, suffix: str, policies=None, nam
     def write(batch: DataFrame, batch_id: int) -> None:
         rules = None if policies is None else rules_from(policies(), options)
         events = ev.build_events(scan(batch, rules=rules, options=options), suffix, options)
-        # one folder per micro-batch: a batch that is run again replaces its own output
-        events.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        # one folder per micro-batch, by day: a batch that is run again replaces its own output
+        (events.withColumn("event_date", F.to_date(F.timestamp_millis("timestamp")))
+         .write.mode("overwrite").partitionBy("event_date").parquet(f"{table}/batch={batch_id}"))
 
     return _start(payloads.writeStream.foreachBatch(write), spark, name, once)
 
@@ -98,10 +114,17 @@ def flood_stream(events: DataFrame, limit: int = 100, delay: str = "10 minutes")
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Activity sessions per employee."""
-    return (events.withWatermark("ts", delay)
+    """Activity sessions per employee, with the union of their tags.
+
+    Each event is spread to one row per tag first, so the state of a session holds the distinct
+    tags only. Events more than ``delay`` behind the newest one are left out.
+    """
+    tags = F.expr("if(coalesce(size(detected_tags), 0) > 0, detected_tags, array(cast(null AS string)))")
+    rows = (events.withColumn("_tags", tags).select("*", F.posexplode("_tags").alias("_n", "_tag")))
+    return (rows.withWatermark("ts", delay)
             .groupBy("employee_id", F.session_window("ts", gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("events"), F.max("risk_score").alias("max_risk")))
+            .agg(F.count_if(F.col("_n") == 0).alias("events"), F.max("risk_score").alias("max_risk"),
+                 F.sort_array(F.collect_set("_tag")).alias("tags")))
 
 
 def last_events(events: DataFrame, keep: int = 100) -> DataFrame:
