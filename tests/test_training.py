@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from textwarden.operators import evaluate, training
+from textwarden.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +58,12 @@ def test_class_balance(corpus):
 def test_train_report_and_reload(spark, corpus, tmp_path):
     split = training.stratified_split(corpus, "id").cache()
     model, report = training.report(split)
-    row = report.first()
+    sinks.append_report(report, str(tmp_path / "versions"))
+    sinks.append_report(report.withColumn("f1", F.lit(0.0)).withColumn("trained_at", F.timestamp_millis(F.lit(0))),
+                        str(tmp_path / "versions"))
+    versions = spark.read.parquet(str(tmp_path / "versions"))
+    assert versions.count() == 2
+    row = training.latest(versions).first()
     assert (row.sample_size, row.train_size, row.test_size) == (165, 132, 33)
     assert row.cv_f1_mean >= 0.80 and row.f1 >= 0.85 and row.fp == 0
     path = str(tmp_path / "model")

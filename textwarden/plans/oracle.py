@@ -516,6 +516,12 @@ def all_sql() -> dict[str, str]:
             SELECT *, count(*) AS events FROM i GROUP BY ALL""",
         "ingest_validation": """SELECT CASE WHEN event_id % 11 = 0 THEN 'missing destination_category' WHEN event_id % 13 = 0 THEN 'missing action'
             WHEN floor(value) NOT BETWEEN 0 AND 100 THEN 'risk_score out of range' END AS reject_reason, count(*) AS events FROM events GROUP BY 1""",
+        "ingested_events": """WITH w AS (SELECT CASE WHEN event_id % 17 > 0 THEN 'evt_' || event_id END AS id, epoch_us(ts) // 1000 AS timestamp,
+            CAST(floor(value) AS INT) AS risk_score, CASE WHEN event_id % 7 > 0 THEN event_type || ',PII' END AS t,
+            CASE WHEN event_id % 11 = 0 THEN 'missing destination_category'
+            WHEN floor(value) NOT BETWEEN 0 AND 100 THEN 'risk_score out of range' END AS reject_reason FROM events)
+            SELECT CASE WHEN reject_reason IS NULL THEN coalesce(id, 'filled') ELSE id END AS event_id, timestamp, risk_score,
+            CASE WHEN reject_reason IS NULL THEN coalesce(t, '') ELSE t END AS tags, reject_reason FROM w""",
         "unique_event_ids": """SELECT 'evt_' || (event_id // 10) AS event_id, (epoch_us(ts) // 1000) AS timestamp, event_type AS action FROM events
             QUALIFY row_number() OVER (PARTITION BY event_id // 10 ORDER BY (epoch_us(ts) // 1000), event_type) = 1""",
         "sampled_events": from_events("""SELECT action, count(*) AS events FROM ev

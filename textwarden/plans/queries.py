@@ -465,6 +465,21 @@ def ingest_validation(spark, sf):
     return ev.validated(wire).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query
+def ingested_events(spark, sf):
+    """Wire events as stored or refused: missing ids filled in, missing tags empty; all rows of the input."""
+    wire = table(spark, sf, "events").selectExpr(
+        "CASE WHEN event_id % 17 > 0 THEN concat('evt_', event_id) END AS event_id",
+        "unix_millis(cast(ts AS timestamp)) AS timestamp",
+        "CASE WHEN event_id % 11 = 0 THEN null ELSE 'EXTERNAL_AI' END AS destination_category",
+        "CASE WHEN event_id % 7 > 0 THEN array(event_type, 'PII') END AS detected_tags",
+        "CAST(floor(value) AS INT) AS risk_score", "'WARN' AS action")
+    shown = ["timestamp", "risk_score", "array_join(detected_tags, ',') AS tags"]
+    stored = ev.accepted(wire).selectExpr("if(length(event_id) = 36, 'filled', event_id) AS event_id", *shown,
+                                          "cast(null AS string) AS reject_reason")
+    return stored.unionByName(ev.rejected(wire).selectExpr("event_id", *shown, "reject_reason"))
+
+
 @query
 def unique_event_ids(spark, sf):
     """Repeats of an id removed: ids are made to repeat by dropping their last digit."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textwarden.operators.events import decoded_tags
+
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Append events by day; readers prune by day.
@@ -18,12 +20,18 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Stored events with their tags as arrays, whoever wrote them."""
+    return decoded_tags(spark.read.parquet(path))
 
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     alerts.write.mode(mode).json(path)
 
 
+def append_report(report: DataFrame, path: str) -> None:
+    """Add a training report to the table of model versions."""
+    report.write.mode("append").parquet(path)
+
+
 def append_policies(rules: DataFrame, path: str) -> None:
     rules.write.mode("append").parquet(path)
