@@ -221,28 +221,30 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
         "set": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's parity bits, over two to four times as many cells as features, and the same folded once.
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A set's parity bits, over one to two times as many cells as features.
 
     A feature that only one of two sets has flips one bit, so the bits that differ are at most as
-    many as the features that differ.
+    many as the features that differ. The halves of a sketch combine to the one of half the cells.
     """
-    level = max(7, (2 * len(hashes) - 1).bit_length())
+    level = max(7, (len(hashes) - 1).bit_length())
     cells = (_mix(hashes ^ _D) & np.uint64((1 << level) - 1)).astype(np.int64)
     parity = (np.bincount(cells, minlength=1 << level) & 1).astype(np.uint8)
-    folded = parity[:1 << level - 1] ^ parity[1 << level - 1:]
-    return tuple(np.packbits(x, bitorder="little").view(np.int64) for x in (parity, folded))
+    return np.packbits(parity, bitorder="little").view(np.int64)
 
 
 def _sketches_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, bits, folded) of the documents with these ids."""
-    def build(sets):
-        both = [sketch(x) for x in sets]
-        return {"n": pa.array([len(x) for x in sets], pa.int64()),
-                "bits": pa.array([x[0] for x in both], pa.list_(pa.int64())),
-                "folded": pa.array([x[1] for x in both], pa.list_(pa.int64()))}
+    """(id, n, bits) of the documents with these ids."""
+    return _of_documents(documents, ids, "n long, bits array<long>", lambda sets: {
+        "n": pa.array([len(x) for x in sets], pa.int64()),
+        "bits": pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))})
 
-    return _of_documents(documents, ids, "n long, bits array<long>, folded array<long>", build)
+
+def _folded(bits: str, to: str) -> str:
+    """A sketch at the length of the other one of a pair, which is the same or half of it."""
+    half = f"cast(size({bits}) / 2 as int)"
+    return (f"if(size({bits}) <= size({to}), {bits}, zip_with(slice({bits}, 1, {half}), "
+            f"slice({bits}, {half} + 1, {half}), (a, b) -> a ^ b))")
 
 
 def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -305,12 +307,12 @@ def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: Da
         .withColumn("main", F.coalesce("main", "head")), "members")
     member = member.join(stored(_sketches_of(documents, member.select("id").distinct()), "sketches"), "id")
     # of two parts, one is not the first document's
-    columns = ("id", "part", "low", "high", "n", "bits", "folded")
+    columns = ("id", "part", "low", "high", "n", "bits")
     one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in columns))
     two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in columns))
     most = float(1 - SIMILARITY) + 1e-9
-    flipped = ("aggregate(zip_with(if(size(bits_x) <= size(bits_y), bits_x, folded_x), "
-               "if(size(bits_y) <= size(bits_x), bits_y, folded_y), (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
+    flipped = (f"aggregate(zip_with({_folded('bits_x', 'bits_y')}, {_folded('bits_y', 'bits_x')}, "
+               "(a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
     return (one.join(two, "sig").filter(
         f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most} "
