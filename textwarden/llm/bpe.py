@@ -34,9 +34,9 @@ from textwarden.llm.common import map_batches
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: a batch of texts is encoded when it holds this many characters
-HELD_CHARS = 1 << 24
+HELD_CHARS = 1 << 22
 #: pre-tokens that a worker remembers between batches
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 ADDED = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
