@@ -6,6 +6,8 @@ read again as the docs of the next one. All but the last return the columns of d
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.llm import bpe, line_dedup, mixing, partenum, toxicity
@@ -13,6 +15,9 @@ from textwarden.llm.common import stored
 from textwarden.llm.queries import toxicity_model, vocabulary_path
 from textwarden.sources.tables import table
 
+#: words of a shingle and least Jaccard similarity of near copies
+NEAR_WORDS, NEAR_SIMILARITY = 5, Fraction(4, 5)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a significant toxic passage; labels of held-out rows are not used."""
@@ -30,8 +35,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    copies = (partenum.similar(docs).filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct())
+    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id."""
+    linked = partenum.similar(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    copies = linked.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

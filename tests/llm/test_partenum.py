@@ -1,10 +1,12 @@
 import itertools
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textwarden.llm import partenum
 from textwarden.llm.components import components
 
@@ -103,3 +105,49 @@ def test_sketch_bits_never_exceed_the_differences():
             b = b if len(a) == len(b) else b[:len(a)] ^ b[len(a):]
             bits = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
             assert bits <= len(np.setxor1d(base, other))
+
+
+def test_five_words_at_four_fifths_against_all_pairs(spark, docs):
+    rng, rows = random.Random(5), []
+    for size in (4, 6, 12, 30, 60, 120, 300):
+        base = [f"x{rng.randint(0, 5000)}" for _ in range(size)]
+        for _ in range(10):
+            rows.append((len(rows), " ".join(edited(base, rng, rng.choice([0, 1, 2, max(1, size // 50), size // 40]))) or "x"))
+        for added in (size // 10, size // 7, size // 5, size // 4, size // 3):  # an added passage
+            rows.append((len(rows), " ".join(base + [f"n{rng.randint(0, 10 ** 6)}" for _ in range(added)])))
+        chain = base
+        for _ in range(8):
+            chain = edited(chain, rng, max(1, size // 45))
+            rows.append((len(rows), " ".join(chain) or "x"))
+    rng.shuffle(rows)
+
+    def components_of(words, tenths):
+        sets = []
+        for i, text in rows:
+            w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+            sets.append((i, {tuple(w[k:k + words]) for k in range(max(1, len(w) - words + 1))}))
+        low = {i: i for i, _ in sets}
+        links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 10 * len(x & y) >= tenths * len(x | y)]
+        for _ in rows:
+            for a, b in links:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    want = components_of(5, 8)
+    assert want != components_of(3, 9)
+    got = {r.id: r.component_id for r in partenum.similar(docs(rows), words=5, similarity=Fraction(4, 5)).collect()}
+    assert got == want
+    kept = corpus_pipeline.dedup_near(spark, docs(rows), "").collect()
+    assert {r.doc_id for r in kept} == {i for i in want if want[i] == i}
+
+
+def test_signatures_at_four_fifths():
+    rng, bands = np.random.default_rng(6), partenum.Bands(Fraction(4, 5))
+    for size in [1, 4, 5, 9, 16, 25, 60, 333, 2000]:
+        for _ in range(20):
+            drop, add = rng.integers(0, size // 6 + 1, 2)
+            base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+            other = np.concatenate([base[drop:], rng.integers(0, 2 ** 63, add, dtype=np.uint64)])
+            if 5 * (size - drop) >= 4 * (size + add):
+                a, b = (set(partenum.signatures(np.unique(x), bands).tolist()) for x in (base, other))
+                assert a & b, (size, drop, add)

@@ -34,8 +34,8 @@ from xxhash import xxh3_64_intdigest
 from textwarden.llm.common import map_batches, salted_join, stored
 from textwarden.llm.components import components
 
+#: words of a shingle and the least Jaccard similarity of a link, unless the caller gives others
 WORDS = 3
-#: the least Jaccard similarity of a link
 SIMILARITY = Fraction(9, 10)
 CELLS = 3
 #: a task stars its signatures when it holds this many
@@ -129,9 +129,9 @@ def _rows(sig: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a), other], ["sig", "a", "b"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, similarity: Fraction) -> Iterator[pa.RecordBatch]:
     """(sig, a, null) of the smallest document of each signature met, (sig, a, b) of the others."""
-    bands, held, classes, size = Bands(), [], {}, 0
+    bands, held, classes, size = Bands(similarity), [], {}, 0
 
     def flush():
         sig, doc, low = _star(np.concatenate([s for s, _ in held]), np.concatenate([d for _, d in held]))
@@ -141,7 +141,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes = shingles(text)
+            hashes = shingles(text, words)
             if doc is None or not len(hashes):
                 continue
             digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -178,11 +178,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.concatenate([a[other], b[~alone]]))
 
 
-def _measured(documents: DataFrame) -> DataFrame:
+def _measured(documents: DataFrame, words: int) -> DataFrame:
     """(id, n_shingles, class): the digest of each document's set."""
     def work(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())],
@@ -191,7 +191,7 @@ def _measured(documents: DataFrame) -> DataFrame:
     return map_batches(documents, work, "id long, n_shingles long, class binary")
 
 
-def _of_documents(documents: DataFrame, ids: DataFrame, schema: str, build) -> DataFrame:
+def _of_documents(documents: DataFrame, ids: DataFrame, words: int, schema: str, build) -> DataFrame:
     """``build(set)`` of the documents with these ids; a bounded filter first, then an exact join."""
     code = F.xxhash64("id")
     byte = F.shiftrightunsigned(code, 3).bitwiseAND((1 << FILTER_BITS - 3) - 1)
@@ -208,7 +208,7 @@ def _of_documents(documents: DataFrame, ids: DataFrame, schema: str, build) -> D
             hit = np.flatnonzero(shared.value[at.astype(np.int64)] >> (codes & 7).astype(np.uint8) & 1)
             for part in np.array_split(hit, max(1, len(hit) // 256)):
                 texts = batch.column(1).take(pa.array(part)).to_pylist()
-                columns = build([shingles(t) for t in texts])
+                columns = build([shingles(t, words) for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), *columns.values()],
                                                  ["id", *columns])
 
@@ -216,8 +216,8 @@ def _of_documents(documents: DataFrame, ids: DataFrame, schema: str, build) -> D
     return found.join(ids, "id")
 
 
-def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    return _of_documents(documents, ids, "set array<long>", lambda sets: {
+def _sets_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    return _of_documents(documents, ids, words, "set array<long>", lambda sets: {
         "set": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
 
@@ -233,9 +233,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def _sketches_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+def _sketches_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, n, bits) of the documents with these ids."""
-    return _of_documents(documents, ids, "n long, bits array<long>", lambda sets: {
+    return _of_documents(documents, ids, words, "n long, bits array<long>", lambda sets: {
         "n": pa.array([len(x) for x in sets], pa.int64()),
         "bits": pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))})
 
@@ -247,20 +247,21 @@ def _folded(bits: str, to: str) -> str:
             f"slice({bits}, {half} + 1, {half}), (a, b) -> a ^ b))")
 
 
-def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame, words: int = WORDS,
+             similarity: Fraction = SIMILARITY) -> DataFrame:
     """(a, b, low, high, linked): bounds of the Jaccard distance, equal for all pairs whose sizes allow a link."""
     for c in "ab":
         pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c)
-    bound = F.least("n_a", "n_b") * SIMILARITY.denominator >= F.greatest("n_a", "n_b") * SIMILARITY.numerator
+    bound = F.least("n_a", "n_b") * similarity.denominator >= F.greatest("n_a", "n_b") * similarity.numerator
     sized = stored(pairs.withColumn("possible", bound), "sized-pairs")
     near = sized.filter("possible").select("a", "b")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets_of(documents, ids), "candidate-sets")
+    sets = stored(_sets_of(documents, ids, words), "candidate-sets")
     left = salted_join(near, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), ["b"], F.col("a"))
     both = salted_join(left, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), ["a"], F.col("b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    linked = common * SIMILARITY.denominator >= union * SIMILARITY.numerator
+    linked = common * similarity.denominator >= union * similarity.numerator
     distance = 1 - common / union
     exact = both.select("a", "b", distance.alias("low"), distance.alias("high"), linked.alias("linked"))
     far = sized.filter("NOT possible").select(
@@ -276,12 +277,13 @@ def _named(pairs: DataFrame, column: str, classes: DataFrame) -> DataFrame:
     return pairs.join(step, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
 
 
-def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: DataFrame) -> DataFrame:
+def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: DataFrame, words: int,
+               similarity: Fraction) -> DataFrame:
     """Pairs (x, y) of one signature in different components that neither bound rules out.
 
     ``met`` has the distance of each star link. A member lies between bounds of distance from
     its signature's first document: exact for that one's own links, a sum and a difference for
-    members that an input task had starred. Similar members have bounds at most 0.1 apart, and
+    members that an input task had starred. Similar members have bounds at most ``1 - similarity`` apart, and
     sketches that differ in no more bits than similar sets differ in features. Both are tests of
     the join itself, so pairs that fail them never become rows.
     """
@@ -305,15 +307,15 @@ def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: Da
     member = stored(member.join(head, "sig").join(
         label.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
         .withColumn("main", F.coalesce("main", "head")), "members")
-    member = member.join(stored(_sketches_of(documents, member.select("id").distinct()), "sketches"), "id")
+    member = member.join(stored(_sketches_of(documents, member.select("id").distinct(), words), "sketches"), "id")
     # of two parts, one is not the first document's
     columns = ("id", "part", "low", "high", "n", "bits")
     one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in columns))
     two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in columns))
-    most = float(1 - SIMILARITY) + 1e-9
+    most = float(1 - similarity) + 1e-9
     flipped = (f"aggregate(zip_with({_folded('bits_x', 'bits_y')}, {_folded('bits_y', 'bits_x')}, "
                "(a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
-    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    num, den = similarity.numerator, similarity.denominator
     return (one.join(two, "sig").filter(
         f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most} "
         f"AND least(n_x, n_y) * {den} >= greatest(n_x, n_y) * {num} "
@@ -321,11 +323,15 @@ def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: Da
             .select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct())
 
 
-def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; the component is the smallest id reachable by links."""
+def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+            similarity: Fraction = SIMILARITY) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; the component is the smallest id reachable by links.
+
+    A link is a Jaccard similarity of at least ``similarity`` between the sets of ``words``-word shingles.
+    """
     texts = documents.select(F.col(id_col).cast("long").alias("id"),
                              F.col(text_col).cast("string").cast("binary").alias("text"))
-    measured = stored(_measured(texts), "shingle-classes")
+    measured = stored(_measured(texts, words), "shingle-classes")
     known = measured.filter("id IS NOT NULL AND n_shingles > 0")
     sizes = known.select("id", F.col("n_shingles").alias("n"))
     lead = known.groupBy("class").agg(F.min("id").alias("name"), F.max("id").alias("last")).filter("name <> last")
@@ -334,13 +340,13 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = classes.select(F.col("name").alias("a"), F.col("id").alias("b"))
 
     stars = stored(map_batches(
-        map_batches(texts, _signed, "sig long, a long, b long").repartition("sig").sortWithinPartitions("sig", "a", "b"),
+        map_batches(texts, lambda batches: _signed(batches, words, similarity), "sig long, a long, b long").repartition("sig").sortWithinPartitions("sig", "a", "b"),
         _stars, "sig long, a long, b long"), "signature-stars")
     met = stars.select("a", "b").distinct().select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b")
     met = stored(_named(_named(met, "a", classes), "b", classes)
                  .select("x", "y", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "named-pairs")
     pairs = met.filter("a <> b").select("a", "b").distinct()
-    found = compared(texts, pairs, sizes)
+    found = compared(texts, pairs, sizes, words, similarity)
     label = components(found.filter("linked").select("a", "b").unionByName(same))
 
     # exact rest: members of one signature that are still in different components
@@ -353,12 +359,12 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  .withColumn(f"part_{c}", F.coalesce(f"part_{c}", c)))
     spans = stored(spans, "star-spans")
     if not spans.filter("part_x <> part_y").isEmpty():
-        rest = _unsettled(texts, stars, spans, label).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        rest = _unsettled(texts, stars, spans, label, words, similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
         rest = (_named(_named(rest, "a", classes), "b", classes).filter("a <> b")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
         if not rest.isEmpty():
-            more = compared(texts, rest, sizes).filter("linked").select("a", "b")
+            more = compared(texts, rest, sizes, words, similarity).filter("linked").select("a", "b")
             label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     out = salted_join(measured, label.select(F.col("node").alias("id"), "component"), ["id"], F.col("class"), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -145,7 +146,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its set size and the component of its links."""
-    found = partenum.similar(table(spark, sf, "documents").select("doc_id", "text"))
+    found = partenum.similar(table(spark, sf, "documents").select("doc_id", "text"), words=3, similarity=Fraction(9, 10))
     return found.withColumnRenamed("id", "doc_id")
 
 
