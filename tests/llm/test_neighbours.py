@@ -53,3 +53,22 @@ def test_fewer_rows_than_asked_and_none(spark):
     assert len(out) == 20 and all(r.vec_id != r.query_id for r in out)
     assert neighbours.search(spark.createDataFrame([], SCHEMA), 20, 20).count() == 0
     assert neighbours.search(spark.createDataFrame(rows[:1], SCHEMA), 20, 20).count() == 0
+
+
+def recall(spark, rows, every, top, **options):
+    """(share of the right ids, ids by query, right ids by query)."""
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+    got, want = {}, {q: [i for i, _ in found] for q, found in brute(rows, every, top).items()}
+    for r in neighbours.search(df, every, top, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(want)
+    share = sum(len(set(got[q]) & set(want[q])) for q in want) / (top * len(want))
+    return share, got, want
+
+
+def test_recall_beside_one_row_of_huge_norm(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(rng.standard_normal((700, 16)))]
+    rows.append((5001, [1e8 * y for y in rows[3][1]]))
+    share = recall(spark, rows, 20, 10, block=128, tables=4)[0]
+    assert share >= 0.95, share

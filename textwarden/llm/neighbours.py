@@ -5,8 +5,9 @@ orders. Each round of NN-descent brings the sampled neighbours and reverse neigh
 vector together by Spark joins, compares them with each other, and keeps the nearest ``DEGREE``
 of each: neighbours of neighbours become neighbours. A query walks the graph greedily: it
 repeatedly expands the best ``BEAM`` vectors that it has not expanded yet, until none is left
-among its best. Distances inside graph and walk use half-precision copies; the scores of the
-result are computed in double precision on the original vectors, for the ``REFINED`` best.
+among its best. Graph and walk use copies in single precision, each with a scale of its own, and
+compute in double precision, so neither a vector's size nor that of the others costs it digits;
+the scores of the result are computed on the original vectors, ``REFINED`` times as many as asked.
 
 All vectors are indexed. No group exceeds a block or twice the sample; a vector that is
 everybody's neighbour meets its neighbours in a bounded sample, as in the method, and its
@@ -30,12 +31,14 @@ DEGREE, TABLES, BLOCK = 32, 12, 1024
 ROUNDS, SAMPLE = 3, 16
 BEAM, STEPS, REFINED = 96, 12, 3
 _PLANES = 16
-_GRAPH = "id long, ids array<long>, scores array<float>"
-_LONGS, _FLOATS = pa.list_(pa.int64()), pa.list_(pa.float32())
+_GRAPH = "id long, ids array<long>, scores array<double>"
+_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float16) for x in column.to_pylist()]).astype(np.float32)
+def _matrix(vecs: list[bytes]) -> np.ndarray:
+    """The vectors of packed copies, as doubles."""
+    raw = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), -1)
+    return raw[:, 8:].copy().view(np.float32) * raw[:, :8].copy().view(np.float64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +61,22 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.size("vector") == (row.n if row else 0))
 
 
-def _halves(rows: DataFrame) -> DataFrame:
-    """(id, vec): half-precision copies, scaled by the largest component of all."""
-    top = rows.agg(F.max(F.expr("array_max(transform(vector, x -> abs(x)))"))).first()[0] or 1.0
+def _packed(rows: DataFrame) -> DataFrame:
+    """(id, vec): a scale in double precision, then the vector over it in single precision.
 
+    The scale is a power of two near the vector's largest component, so vectors that were in
+    single precision lose nothing.
+    """
     def work(batches):
         for batch in batches:
-            flat = np.asarray(batch.column(1).flatten()) / top
-            whole = flat.reshape(batch.num_rows, -1).astype(np.float16) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in whole], pa.binary())],
-                                             ["id", "vec"])
+            out = []
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                scale = np.ldexp(1.0, np.frexp(np.abs(x).max(axis=1))[1] - 1)
+                out = [a.tobytes() + b.tobytes() for a, b in zip(scale, (x / scale[:, None]).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
 
-    return stored(map_batches(rows, work, "id long, vec binary"), "half-vectors")
+    return stored(map_batches(rows, work, "id long, vec binary"), "packed-vectors")
 
 
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
@@ -84,7 +91,7 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                                pa.array([x[1] for x in out], _LONGS),
-                                               pa.array([x[2] for x in out], _FLOATS)], ["id", "ids", "scores"])
+                                               pa.array([x[2] for x in out], _DOUBLES)], ["id", "ids", "scores"])
 
         for batch in batches:
             out = []
@@ -93,7 +100,7 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
                     if held:
                         done(out)
                     last, held = id_, []
-                held.append((np.array(ids, np.int64), np.array(scores, np.float32)))
+                held.append((np.array(ids, np.int64), np.array(scores, np.float64)))
                 if len(held) > 64:
                     held = [_best(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), degree)]
             yield rows(out)
@@ -105,15 +112,15 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
     return map_batches(lists.repartition("id").sortWithinPartitions("id"), work, _GRAPH)
 
 
-def _blocks(halves: DataFrame, n: int, degree: int, tables: int, block: int) -> DataFrame:
+def _blocks(packed: DataFrame, n: int, degree: int, tables: int, block: int) -> DataFrame:
     """The first graph: the best of each vector within its block of every table."""
     def place(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1).to_pylist())
             for t in range(tables):
-                y = x @ np.random.default_rng(t).standard_normal((x.shape[1], _PLANES)).astype(np.float32)
+                y = x @ np.random.default_rng(t).standard_normal((x.shape[1], _PLANES))
                 code = (y[:, :-1] > 0) @ (1 << np.arange(_PLANES - 2, -1, -1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int32)),
@@ -137,22 +144,22 @@ def _blocks(halves: DataFrame, n: int, degree: int, tables: int, block: int) ->
             at = np.flatnonzero(table == t)
             if len(at) < 2:
                 continue
-            x = _matrix(rows.column("vec").take(pa.array(at)))
+            x = _matrix(rows.column("vec").take(pa.array(at)).to_pylist())
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             k = min(degree, len(at) - 1)
             near = np.argpartition(-s, k - 1, axis=1)[:, :k]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[at]), pa.array(list(ids[at][near]), _LONGS),
-                 pa.array(list(np.take_along_axis(s, near, 1)), _FLOATS)], ["id", "ids", "scores"])
+                 pa.array(list(np.take_along_axis(s, near, 1)), _DOUBLES)], ["id", "ids", "scores"])
 
     parts = max(8, -(-n * tables // (block * 8)))
-    placed = (map_batches(halves, place, "table int, code int, place float, id long, vec binary")
+    placed = (map_batches(packed, place, "table int, code int, place double, id long, vec binary")
               .repartitionByRange(parts, "table", "code", "place").sortWithinPartitions("table", "code", "place", "id"))
     return map_batches(placed, compare, _GRAPH)
 
 
-def _descend(graph: DataFrame, halves: DataFrame, round_: int, sample: int) -> DataFrame:
+def _descend(graph: DataFrame, packed: DataFrame, round_: int, sample: int) -> DataFrame:
     """One round: (id, ids, scores) of the neighbours' neighbours that beat the worst neighbour of each."""
     edges = graph.select(F.col("id").alias("u"), F.explode(F.expr(
         f"slice(transform(array_sort(transform(ids, v -> named_struct('h', xxhash64(id, v, {round_}), 'v', v))), x -> x.v), "
@@ -160,7 +167,7 @@ def _descend(graph: DataFrame, halves: DataFrame, round_: int, sample: int) -> D
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     chance = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(round_)), "v")
     drawn = both.withColumn("n", F.row_number().over(chance)).filter(F.col("n") <= 2 * sample).drop("n")
-    nodes = halves.join(graph.select("id", F.element_at("scores", -1).alias("worst")), "id").withColumnRenamed("id", "v")
+    nodes = packed.join(graph.select("id", F.element_at("scores", -1).alias("worst")), "id").withColumnRenamed("id", "v")
     groups = salted_join(drawn, nodes, ["v"], F.col("u"), salts=4)
 
     def work(batches):
@@ -168,16 +175,16 @@ def _descend(graph: DataFrame, halves: DataFrame, round_: int, sample: int) -> D
 
         def compare(rows):
             ids = np.array([r[0] for r in rows], np.int64)
-            x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
+            x = _matrix([r[1] for r in rows])
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
-            good = s > np.array([r[2] for r in rows], np.float32)[:, None]
+            good = s > np.array([r[2] for r in rows])[:, None]
             return [(ids[i], ids[good[i]], s[i][good[i]]) for i in np.flatnonzero(good.any(axis=1))]
 
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                                pa.array([x[1] for x in out], _LONGS),
-                                               pa.array([x[2] for x in out], _FLOATS)], ["id", "ids", "scores"])
+                                               pa.array([x[2] for x in out], _DOUBLES)], ["id", "ids", "scores"])
 
         for batch in batches:
             out = []
@@ -195,30 +202,30 @@ def _descend(graph: DataFrame, halves: DataFrame, round_: int, sample: int) -> D
                        work, _GRAPH)
 
 
-def build_graph(halves: DataFrame, n: int, degree: int = DEGREE, tables: int = TABLES, block: int = BLOCK,
+def build_graph(packed: DataFrame, n: int, degree: int = DEGREE, tables: int = TABLES, block: int = BLOCK,
                 rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
     """(id, ids, scores): the approximate nearest neighbours of every vector, nearest first."""
-    graph = stored(_merged(_blocks(halves, n, degree, tables, block), degree), "graph")
+    graph = stored(_merged(_blocks(packed, n, degree, tables, block), degree), "graph")
     for k in range(rounds):
-        graph = stored(_merged(graph.unionByName(_descend(graph, halves, k, sample)), degree), "graph")
+        graph = stored(_merged(graph.unionByName(_descend(graph, packed, k, sample)), degree), "graph")
     return graph
 
 
-def _adjacent(graph: DataFrame, halves: DataFrame, n: int) -> tuple[DataFrame, str]:
+def _adjacent(graph: DataFrame, packed: DataFrame, n: int) -> tuple[DataFrame, str]:
     """(node, ids, vecs) with the neighbours' vectors at hand, bucketed by node so that steps need not move it."""
     edges = graph.select(F.col("id").alias("node"), F.explode("ids").alias("v"))
-    joined = salted_join(edges, halves.withColumnRenamed("id", "v"), ["v"], F.col("node"), salts=4)
-    packed = (joined.groupBy("node").agg(F.collect_list(F.struct("v", "vec")).alias("near"))
+    joined = salted_join(edges, packed.withColumnRenamed("id", "v"), ["v"], F.col("node"), salts=4)
+    lists = (joined.groupBy("node").agg(F.collect_list(F.struct("v", "vec")).alias("near"))
               .select("node", F.expr("transform(near, x -> x.v)").alias("ids"),
                       F.expr("transform(near, x -> x.vec)").alias("vecs")))
     name = f"adjacent_{uuid.uuid4().hex}"
     buckets = max(16, -(-n // BLOCK))
-    (packed.repartition(buckets, "node").write.bucketBy(buckets, "node")
+    (lists.repartition(buckets, "node").write.bucketBy(buckets, "node")
      .option("path", shared_folder(graph.sparkSession, "adjacent")).saveAsTable(name))
     return graph.sparkSession.table(name), name
 
 
-_STATE = "q long, vec binary, ids array<long>, scores array<float>, done array<boolean>, todo array<long>"
+_STATE = "q long, vec binary, ids array<long>, scores array<double>, done array<boolean>, todo array<long>"
 
 
 def _advance(rows: DataFrame, beam: int, pool: int) -> DataFrame:
@@ -235,7 +242,7 @@ def _advance(rows: DataFrame, beam: int, pool: int) -> DataFrame:
             out.append((last, vec, ids, scores, [i in ready for i in ids.tolist()], todo))
 
         def table(out):
-            kinds = (pa.int64(), pa.binary(), _LONGS, _FLOATS, pa.list_(pa.bool_()), _LONGS)
+            kinds = (pa.int64(), pa.binary(), _LONGS, _DOUBLES, pa.list_(pa.bool_()), _LONGS)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)],
                                               ["q", "vec", "ids", "scores", "done", "todo"])
 
@@ -246,7 +253,7 @@ def _advance(rows: DataFrame, beam: int, pool: int) -> DataFrame:
                     if held:
                         done(out)
                     last, held, vec, expanded = q, [], None, set()
-                held.append((np.array(ids, np.int64), np.array(scores, np.float32)))
+                held.append((np.array(ids, np.int64), np.array(scores, np.float64)))
                 if own is not None:
                     vec, expanded = own, {i for i, f in zip(ids, flags) if f}
             yield table(out)
@@ -264,13 +271,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for q, vec, floor, ids, vecs in zip(*(c.to_pylist() for c in batch.columns)):
-            x = np.frombuffer(b"".join(vecs), np.float16).reshape(len(ids), -1).astype(np.float32)
-            s = x @ np.frombuffer(vec, np.float16).astype(np.float32)
+            s = _matrix(vecs) @ _matrix([vec])[0]
             good = s > floor
             out.append((q, np.array(ids, np.int64)[good], s[good]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int64()), pa.nulls(len(out), pa.binary()),
-             pa.array([x[1] for x in out], _LONGS), pa.array([x[2] for x in out], _FLOATS),
+             pa.array([x[1] for x in out], _LONGS), pa.array([x[2] for x in out], _DOUBLES),
              pa.nulls(len(out), pa.list_(pa.bool_()))], ["q", "vec", "ids", "scores", "done"])
 
 
@@ -278,12 +284,12 @@ def search(vectors: DataFrame, every: int, top: int, id_col: str = "vec_id", vec
            beam: int = BEAM, steps: int = STEPS, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each row whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vec_col)
-    halves = _halves(rows)
-    n = halves.count()
-    graph = build_graph(halves, n, **graph_options)
-    near, name = _adjacent(graph, halves, n)
+    packed = _packed(rows)
+    n = packed.count()
+    graph = build_graph(packed, n, **graph_options)
+    near, name = _adjacent(graph, packed, n)
     pool = 3 * beam
-    queries = halves.filter(F.col("id") % every == 0)
+    queries = packed.filter(F.col("id") % every == 0)
     first = (queries.join(graph, "id", "left")
              .select(F.col("id").alias("q"), "vec", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"),
                      F.coalesce("scores", F.array().cast("array<float>")).alias("scores"))
@@ -293,9 +299,9 @@ def search(vectors: DataFrame, every: int, top: int, id_col: str = "vec_id", vec
         if state.filter("size(todo) > 0").isEmpty():
             break
         floor = F.when(F.size("scores") >= pool, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")))
-        frontier = state.select("q", "vec", floor.cast("float").alias("floor"), F.explode("todo").alias("node"))
+        frontier = state.select("q", "vec", floor.cast("double").alias("floor"), F.explode("todo").alias("node"))
         met = map_batches(frontier.join(near, "node").select("q", "vec", "floor", "ids", "vecs"), _expand,
-                          "q long, vec binary, ids array<long>, scores array<float>, done array<boolean>")
+                          "q long, vec binary, ids array<long>, scores array<double>, done array<boolean>")
         state = stored(_advance(state.drop("todo").unionByName(met), beam, pool), "walk")
     found = state.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, REFINED * top)).alias("vec_id"))
     near_v = rows.select(F.col("id").alias("vec_id"), "vector")
