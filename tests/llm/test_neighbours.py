@@ -72,3 +72,17 @@ def test_recall_beside_one_row_of_huge_norm(spark):
     rows.append((5001, [1e8 * y for y in rows[3][1]]))
     share = recall(spark, rows, 20, 10, block=128, tables=4)[0]
     assert share >= 0.95, share
+
+
+def test_groups_of_equal_vectors_larger_than_a_block(spark):
+    rng = np.random.default_rng(4)
+    same, short = rng.standard_normal((2, 16))
+    rows = []
+    for i in range(1200):
+        v = (same, 0.25 * short, rng.standard_normal(16))[i % 3]
+        rows.append((i * 7919 % 1200, [float(y) for y in v]))
+    share, got, want = recall(spark, rows, 30, 10, block=64, tables=4, rounds=1, beam=16, steps=6)
+    assert share >= 0.95, share
+    equal = {i for i, v in rows if v[0] == float(same[0])}
+    whole = [q for q in want if q in equal and set(want[q]) <= equal]
+    assert whole and all(got[q] == want[q] for q in whole)

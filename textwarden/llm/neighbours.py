@@ -9,6 +9,9 @@ among its best. Graph and walk use copies in single precision, each with a scale
 compute in double precision, so neither a vector's size nor that of the others costs it digits;
 the scores of the result are computed on the original vectors, ``REFINED`` times as many as asked.
 
+Equal vectors are one node, the smallest of their ids, with as many of their smallest ids as a
+query can return; graph and walk see distinct vectors only, and the winners become ids at the end.
+
 All vectors are indexed. No group exceeds a block or twice the sample; a vector that is
 everybody's neighbour meets its neighbours in a bounded sample, as in the method, and its
 joins are salted. Defined results: vectors that are null, zero, hold nulls or non-finite
@@ -61,6 +64,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.size("vector") == (row.n if row else 0))
 
 
+def _distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(id, vector, ids): each distinct vector with its ``most`` smallest ids, the first of them as its id."""
+    rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))  # limited in each task before the shuffle
+    groups = rows.withColumn("n", rank).filter(F.col("n") <= most).groupBy("vector").agg(
+        F.sort_array(F.collect_list("id")).alias("ids"))
+    return stored(groups.select(F.col("ids")[0].alias("id"), "vector", "ids"), "distinct-vectors")
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """(id, vec): a scale in double precision, then the vector over it in single precision.
 
@@ -284,12 +295,15 @@ def search(vectors: DataFrame, every: int, top: int, id_col: str = "vec_id", vec
            beam: int = BEAM, steps: int = STEPS, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each row whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vec_col)
-    packed = _packed(rows)
+    nodes = _distinct(rows, top + 1)
+    packed = _packed(nodes)
     n = packed.count()
     graph = build_graph(packed, n, **graph_options)
     near, name = _adjacent(graph, packed, n)
     pool = 3 * beam
-    queries = packed.filter(F.col("id") % every == 0)
+    asked = stored(salted_join(rows.filter(F.col("id") % every == 0), nodes.select("vector", F.col("id").alias("q")),
+                               ["vector"], F.col("id")).select(F.col("id").alias("query_id"), "q"), "queries")
+    queries = packed.join(asked.select(F.col("q").alias("id")).distinct(), "id")
     first = (queries.join(graph, "id", "left")
              .select(F.col("id").alias("q"), "vec", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"),
                      F.coalesce("scores", F.array().cast("array<float>")).alias("scores"))
@@ -303,14 +317,20 @@ def search(vectors: DataFrame, every: int, top: int, id_col: str = "vec_id", vec
         met = map_batches(frontier.join(near, "node").select("q", "vec", "floor", "ids", "vecs"), _expand,
                           "q long, vec binary, ids array<long>, scores array<double>, done array<boolean>")
         state = stored(_advance(state.drop("todo").unionByName(met), beam, pool), "walk")
-    found = state.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, REFINED * top)).alias("vec_id"))
-    near_v = rows.select(F.col("id").alias("vec_id"), "vector")
-    joined = salted_join(found, near_v, ["vec_id"], F.col("query_id"), salts=4)
-    joined = joined.join(rows.select(F.col("id").alias("query_id"), F.col("vector").alias("other")), "query_id")
-    scored = joined.select("query_id", "vec_id", F.expr(
+    # a query's equals are its candidates too
+    found = state.select("q", F.explode(F.concat(F.array("q"), F.slice("ids", 1, REFINED * top))).alias("node"))
+    joined = salted_join(found, nodes.withColumnRenamed("id", "node"), ["node"], F.col("q"), salts=4)
+    joined = joined.join(nodes.select(F.col("id").alias("q"), F.col("vector").alias("other")), "q")
+    scored = joined.select("q", "node", "ids", F.expr(
         "aggregate(zip_with(vector, other, (x, y) -> x * y), 0D, (a, x) -> a + x)").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = stored(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-                 .select("query_id", "rank", "vec_id", "score"), "nearest")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+    best = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= top + 1)
+    # one more than asked, as a query is among the ids itself
+    lists = best.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.expr(
+        "transform(ids, i -> struct(-score AS low, i AS vec_id, score AS score))")))), 1, top + 1).alias("found"))
+    results = salted_join(asked, lists, ["q"], F.col("query_id"))
+    results = results.select("query_id", F.posexplode(F.slice(F.expr(
+        "filter(found, x -> x.vec_id <> query_id)"), 1, top)).alias("at", "hit"))
+    out = stored(results.select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.score"), "nearest")
     graph.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return out
