@@ -8,7 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.llm import (
-    archive, bpe, licences, line_dedup, line_quality, mixing, neighbours, partenum, rotation, toxicity)
+    archive, bpe, licences, line_dedup, line_quality, mixing, neighbours, packing, partenum, rotation,
+    toxicity)
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -212,3 +213,11 @@ FROM o GROUP BY conv_id, perspective, block
 def op4_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth row, found by greedy search of the neighbour graph."""
     return neighbours.search(table(spark, sf, "embeddings"), every=20, top=20)
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 4096."""
+    source = bpe.read_text(spark, vocabulary_path("word_bpe_49k.json"))
+    cut = packing.pieces(table(spark, sf, "documents").select("doc_id", "text"), source)
+    return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
