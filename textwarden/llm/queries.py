@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.llm import (
     archive, bpe, licences, line_dedup, line_quality, mixing, neighbours, packing, partenum, rotation,
-    toxicity)
+    toxicity, whitening)
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
 
@@ -221,3 +221,9 @@ def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     source = bpe.read_text(spark, vocabulary_path("word_bpe_49k.json"))
     cut = packing.pieces(table(spark, sf, "documents").select("doc_id", "text"), source)
     return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
