@@ -15,7 +15,7 @@ from textwarden.llm.common import stored
 @pytest.fixture(scope="module")
 def duck(data):
     connection = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     return connection
 

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.llm import (
-    archive, bpe, licences, line_dedup, line_quality, mixing, neighbours, packing, partenum, rotation,
+    archive, bpe, lexical, licences, line_dedup, line_quality, mixing, neighbours, packing, partenum, rotation,
     toxicity, whitening)
 from textwarden.llm.common import shared_folder
 from textwarden.sources.tables import table
@@ -227,3 +227,30 @@ def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector on the first four whitened components."""
     return whitening.whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    shards = lexical.index(table(spark, sf, "documents").select("doc_id", "text"))
+    return lexical.search(table(spark, sf, "benchmark"), shards)
+
+
+def _lexical_sql() -> str:
+    found = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {found} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({found}) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+c AS (SELECT item_id, row, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+SQL["op12_lexical_search"] = _lexical_sql()
