@@ -149,3 +149,19 @@ def test_query_against_brute_force(spark, data):
     for pieces in by_sequence.values():
         check_gapless(pieces, 4096)
     assert len(by_sequence) == best_fit([r.length for r in found], 4096)
+
+
+def test_ids_of_random_texts_equal_the_library(source):
+    """All characters that the split into words or the case could touch, next to each other."""
+    rng = random.Random(7)
+    pool = ("aZ'sT9 \t\n.,-_!\x00\x1c\x85\xa0ñÑéßÅ×÷ªİıǅȺɏɐΣςσǰ̱̀̇̌́JHTWYİ2½²Ⅳ〇文😀​‍ 　ﬁKÅ"
+            "ͅΆЙй́가각ᄀ᠎").replace("İ", "İ", 1)
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(4000)]
+    texts += [t.replace("9", "<|endoftext|>") for t in texts[:300]] + ["we'll we'LL it'S don't'd ''s 's's"] * 2
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = packing.Encoder(source)
+    got = encoder.encode(texts[:2000]) + encoder.encode(texts[2000:])
+    assert [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == []

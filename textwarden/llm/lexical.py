@@ -30,7 +30,7 @@ TOP = 20
 #: a task closes a shard when it holds this many terms
 HELD = 1 << 21
 #: items of a block, and shards that a task goes through for a block
-BLOCK, SHARDS = 256, 8
+BLOCK, SHARDS = 256, 2
 #: documents of a window
 WINDOW = 128
 #: lists that together have at most one posting for this many documents of a shard are added up first
@@ -301,13 +301,12 @@ def _searched(n_documents: int, n_terms: int, top: int):
 
 def search(items: DataFrame, shards: DataFrame, id_col: str = "item_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` documents of an index for every item."""
-    spark = shards.sparkSession
     asked = item_terms(items, id_col, text_col)
     totals = shards.filter("term IS NULL").agg(F.count(F.lit(1)), F.sum("n"), F.sum("total")).first()
     n_shards, n_documents, n_terms = totals[0], totals[1] or 0, totals[2] or 1
     n_queries = asked.select("query").distinct().count()
     blocks = max(1, -(-n_queries // BLOCK))
-    parts = max(1, min(n_shards, max(2 * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS))))
+    parts = max(1, -(-n_shards // SHARDS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     wanted = asked.groupBy("term").agg(F.collect_set("block").alias("blocks"))
     lists = shards.filter("term IS NOT NULL")
@@ -333,7 +332,7 @@ def search(items: DataFrame, shards: DataFrame, id_col: str = "item_id", text_co
             F.lit(1).alias("kind"), "term", "a", "b", no_names, no_gains))
         .unionByName(hits.select(F.explode("blocks").alias("block"), part, "shard", F.lit(2).alias("kind"), "term", "a", "b",
                                  no_names, no_gains)))
-    rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "shard", "kind")
+    rows = rows.repartition(2 * blocks * parts, "block", "part").sortWithinPartitions("block", "part", "shard", "kind")
     found = map_batches(rows, _searched(n_documents, n_terms, top), "query long, part long, doc_id long, score long")
     ranked = found
     for keys in (["query", F.expr("part div 256")], ["query"]):

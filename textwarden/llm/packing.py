@@ -15,9 +15,11 @@ ones are replaced; equal lengths take their slots in the order of the stored pie
 from __future__ import annotations
 
 import functools
+import json
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,24 @@ CAPACITY = 4096
 END = 1
 #: pieces of one length that a task ranks, about
 CELL_ROWS = 50_000
-#: chunks of text whose ids a worker remembers between batches, and the longest of them
+#: words whose ids a worker remembers between batches, and the longest of them in bytes
 REMEMBERED, LONGEST = 400_000, 64
 #: texts are encoded in groups of about this many characters
 HELD_CHARS = 1 << 22
-#: separators that Python takes for white space and the tokenizer does not
-_ODD = re.compile("[\x1c-\x1f]")
+#: letters of two Latin blocks: letters in every version of Unicode, as are their small forms (all but U+0130)
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]").search
+_CHUNKS = re.compile("[^ \t\n\x0b\x0c\r]+").findall
+#: the words of text that has no other characters, as the tokenizer finds them (fixed value: the vocabulary file's pattern)
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\x0b\x0c\r0-9{_LETTERS}]+").findall
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers library, each distinct chunk between blanks encoded once.
+    """Token ids of texts by the tokenizers library, each distinct word encoded once.
 
-    The tokenizer must drop white space and never look across it, as word-level BPE with word ends does.
+    The tokenizer must lower the case, drop white space, never look across it and mark the ends of
+    words, as that of ``word_bpe_49k.json`` does. Text of ASCII and Latin letters is cut into words
+    here; the library takes other chunks between blanks whole, and texts with special tokens.
     """
 
     def __init__(self, source: str):
@@ -50,28 +58,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(source)
+        self.special = [t["content"] for t in model["added_tokens"]]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in model["model"]["vocab"].items() if t.endswith(model["model"]["end_of_word_suffix"])]] = True
         self.known: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of these words; plain ones are encoded by the hundred, as each ends in one mark."""
+        odd = [w for w in words if not w.isascii() and _OTHER(w)]
+        plain = [w for w in words if w.isascii() or not _OTHER(w)]
+        groups = [plain[a:a + 500] for a in range(0, len(plain), 500)]
+        for group, ids in zip(groups, self._library([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip(group, [data[x:y] for x, y in zip(at, at[1:])]))
+            else:
+                odd += group
+        self.known.update(zip(odd, (x.tobytes() for x in self._library(odd))))
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not _OTHER(text):
+            return _WORDS(text.lower())
+        return list(chain.from_iterable([c] if _OTHER(c) else _WORDS(c.lower()) for c in _CHUNKS(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        chunks = [[t] if _ODD.search(t) else t.split() for t in texts]
-        wanted = set().union(*chunks)
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        split = [self._words(t) for t in texts]
+        wanted = set().union(*split)
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known = {}
         new = [w for w in wanted if w not in self.known]
-        ids = dict(zip(new, self._library(new)))
-        kept = {w: x for w, x in ids.items() if len(w) <= LONGEST}
-        self.known.update(kept)
-        if len(kept) == len(ids):
-            get = self.known.__getitem__
-        else:
-            def get(w, own=ids, known=self.known):
-                return own[w] if w in own else known[w]
-        return [b"".join(map(get, words)) for words in chunks]
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = ids.tobytes()
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
