@@ -41,7 +41,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _OTHER = re.compile(f"[^\x00-\x7f{_LETTERS}]").search
 _CHUNKS = re.compile("[^ \t\n\x0b\x0c\r]+").findall
 #: the words of text that has no other characters, as the tokenizer finds them (fixed value: the vocabulary file's pattern)
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\x0b\x0c\r0-9{_LETTERS}]+").findall
+_WORDS = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^ \t\n\x0b\x0c\r0-9{_LETTERS}]+").findall
 
 
 class Encoder:
@@ -67,10 +67,9 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str], odd: set[str]) -> None:
         """Remember the ids of these words; plain ones are encoded by the hundred, as each ends in one mark."""
-        odd = [w for w in words if not w.isascii() and _OTHER(w)]
-        plain = [w for w in words if w.isascii() or not _OTHER(w)]
+        plain, odd = list(words - odd), list(words & odd)
         groups = [plain[a:a + 500] for a in range(0, len(plain), 500)]
         for group, ids in zip(groups, self._library([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self.last[ids]) + 1
@@ -81,27 +80,30 @@ class Encoder:
                 odd += group
         self.known.update(zip(odd, (x.tobytes() for x in self._library(odd))))
 
-    def _words(self, text: str) -> list[str]:
+    def _words(self, text: str, odd: set[str]) -> list[str]:
+        """The words of a text; chunks that are not plain are noted."""
         if text.isascii() or not _OTHER(text):
             return _WORDS(text.lower())
-        return list(chain.from_iterable([c] if _OTHER(c) else _WORDS(c.lower()) for c in _CHUNKS(text)))
+        chunks = _CHUNKS(text)
+        odd.update(filter(_OTHER, chunks))
+        return list(chain.from_iterable([c] if c in odd else _WORDS(c.lower()) for c in chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        split = [self._words(t) for t in texts]
+        odd: set[str] = set()
+        split = [self._words(t, odd) for t in texts]
         wanted = set().union(*split)
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
-        new = [w for w in wanted if w not in self.known]
-        self._learn(new)
+        if len(self.known) > REMEMBERED:  # keep the words that this batch has again, frequent ones among them
+            self.known = {w: self.known[w] for w in wanted.intersection(self.known)}
+        new = wanted.difference(self.known)
+        self._learn(new, odd)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids.tobytes()
-        for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
+        for w in [w for w in new if len(w) > LONGEST]:
+            del self.known[w]
         return out
 
 
