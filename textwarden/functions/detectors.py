@@ -8,6 +8,7 @@ long token, a digit run) is tested first and the regular expression runs only be
 from __future__ import annotations
 
 from textwarden.fixed_values import DETECTORS
+from textwarden.functions.delimiters import BREAK, broken_schemes, broken_servers, possessive
 from textwarden.functions.regex import java_plain
 from textwarden.functions.text import is_ascii, literal_rows, quote
 
@@ -106,6 +107,20 @@ LINEAR = {
                         r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"),
     "JWT_TOKEN": lambda p: (rf"(?:\G(?!\A)\beyJ|(?<![{_JWT}])(?>[{_JWT}]*?\beyJ))"
                             rf"[{_JWT}]++\.[{_JWT}]++\.[{_JWT}]+\b"),
+    **dict.fromkeys(["DB_POSTGRES", "DB_MONGODB", "DB_MYSQL", "PASSPORT_NUMBER", "FINANCIAL_AMOUNT"], possessive),
+    # without a usable credential part, the rest may still stand alone
+    "DB_REDIS": lambda p: possessive(p).replace(r":\/\/(?:", rf"(?:{BREAK}:\/\/|:\/\/(?:").replace("@)?", "@)?)"),
+    "DB_MSSQL": lambda p: possessive(p).replace(r"Server\s*=\s*[^;]+;\s*.*Password\s*=\s*[^;]+",
+                                                r"Server\s*+=[^;]++;\s*+.*Password\s*+=[^;]+"),
+}
+# The text with starts that have no usable end marked (see ``delimiters``).
+_STOPS = r"""\s"'"""
+INDEXED = {
+    "DB_POSTGRES": broken_schemes("_plain", "postgres(?:ql)?", _STOPS),
+    "DB_MONGODB": broken_schemes("_plain", r"mongodb(?:\+srv)?", _STOPS),
+    "DB_MYSQL": broken_schemes("_plain", "mysql", _STOPS),
+    "DB_REDIS": broken_schemes("_plain", "redis(?:s)?", _STOPS, need=8),
+    "DB_MSSQL": broken_servers(broken_schemes("_plain", "mssql|sqlserver", _STOPS)),
 }
 
 
@@ -149,7 +164,7 @@ def _count(name: str) -> str:
     pattern = quote(java_pattern(name))
     if "1" in SPEC[name][6]:
         return f"CASE WHEN {GATES[name]} AND _plain RLIKE {pattern} THEN 1 ELSE 0 END"
-    return f"CASE WHEN {GATES[name]} THEN regexp_count(_plain, {pattern}) ELSE 0 END"
+    return f"CASE WHEN {GATES[name]} THEN regexp_count({INDEXED.get(name, '_plain')}, {pattern}) ELSE 0 END"
 
 
 def gate_columns() -> list[str]:

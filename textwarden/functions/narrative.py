@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textwarden.fixed_values import INDICATORS
+from textwarden.functions.delimiters import possessive
 from textwarden.functions.regex import java_plain
 from textwarden.functions.text import literal_rows, quote, trimmed, utf16_length
 
@@ -29,7 +30,7 @@ def indicator_counts(text: str = "_plain", low: str = "_low") -> str:
         gate = "(" + " OR ".join(f"contains({low}, '{word}')" for word in REQUIRED[name]) + ")"
         if name in ASSIGNED:
             gate = f"_assign AND {gate}"
-        counts.append(f"CASE WHEN {gate} THEN regexp_count({text}, {quote(java_plain(pattern, 'i'))}) ELSE 0 END")
+        counts.append(f"CASE WHEN {gate} THEN regexp_count({text}, {quote(java_plain(possessive(pattern), 'i'))}) ELSE 0 END")
     none = ", ".join("0" for _ in INDICATORS)
     return (f"CASE WHEN ({utf16_length(trimmed(text))}) >= {MIN_TEXT} "
             f"THEN array({', '.join(counts)}) ELSE array({none}) END")

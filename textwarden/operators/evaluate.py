@@ -14,7 +14,13 @@ QUICK_TOKEN = 16
 QUICK_ENTROPY = 4.2
 # The bulk check only asks whether a match exists, so the open-ended repeats are cut to their
 # minimum; the result is the same and the time linear.
-_BULK_EXISTS = r"[^,\n],(?:[^,\n]+,){3}[^,\n]+\n(?:[^,\n]+,){4}"
+_EXISTS = {
+    "Bulk": r"[^,\n],(?:[^,\n]+,){3}[^,\n]+\n(?:[^,\n]+,){4}",
+    # from the first BEGIN of a line only
+    "Private Key": r"(?<![^\n\r])(?>[^\n\r]*?BEGIN).+PRIVATE KEY",
+    # only starts before the last ``@`` can match
+    "DB Connection": r"postgres:\/\/[^:]++:[^@]++@",
+}
 
 
 def quick_detect(df: DataFrame, text: str = "text") -> DataFrame:
@@ -27,8 +33,9 @@ def quick_detect(df: DataFrame, text: str = "text") -> DataFrame:
             scored = measured(f"filter({long}, t -> ({utf16_length('t')}) >= {QUICK_TOKEN})")
             test = f"exists({scored}, m -> m.h >= {QUICK_ENTROPY}D)"
         else:
-            chosen = _BULK_EXISTS if category == "BULK_DATA" else pattern
-            test = f"_plain RLIKE {quote(java_plain(chosen, flags))}"
+            chosen = _EXISTS.get("Bulk" if category == "BULK_DATA" else name, pattern)
+            read = "left(_plain, length(_plain) - length(substring_index(_plain, '@', -1)))" if name == "DB Connection" else "_plain"
+            test = f"{read} RLIKE {quote(java_plain(chosen, flags))}"
         tests.append(f"named_struct('name', '{name}', 'sensitivity', {sensitivity}, 'hit', {test})")
     found = (df.selectExpr(*keep, f"{plain_blanks(text)} AS _plain")
              .selectExpr(*keep, f"filter(array({', '.join(tests)}), c -> c.hit) AS _found"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from textwarden.fixed_values import REDACTIONS
-from textwarden.functions.detectors import _has, _has_low, _in_long, _like, _long
+from textwarden.functions.delimiters import ESCAPE, broken_schemes, escaped, possessive, unescaped
+from textwarden.functions.detectors import _JWT, _MAIL, _has, _has_low, _in_long, _like, _long
 from textwarden.functions.regex import java, java_plain
 from textwarden.functions.text import is_blank, quote
 from textwarden.operators.scan import with_gates
@@ -38,7 +39,7 @@ GATES = {
     "DISCORD_TOKEN": _long(r"[A-Za-z0-9_\-]{23}\.[A-Za-z0-9_\-]{6}"),
     "JWT": _has("eyJ"),
     "PRIVATE_KEY": _has("-----BEGIN "),
-    "DB_URI": "_uri AND _at",
+    "DB_URI": f"_uri AND _at AND {_has_low('postgres', 'mongodb', 'mysql', 'redis', 'mssql')}",
     "GENERIC_SECRET_VALUE": f"_assign AND {_has_low('passw', 'secret', 'token', 'key')}",
     "EMAIL": f"_at AND {_like('[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]')}",
     "PHONE": "_groups",
@@ -47,10 +48,28 @@ GATES = {
 }
 
 
-def _pattern(keywords: str | None, pattern: str, flags: str) -> str:
-    """Java pattern; with keywords, group 1 is what stands between keyword and value."""
+# The same matches in linear time (see ``detectors.LINEAR``): group 1 is the part of a run before the first possible
+# start, which stays in the text, and group 2 the match.
+LINEAR = {
+    "EMAIL": (rf"(?:\G(?!\A)\b|(?<![{_MAIL}])([.%+\-]*+)(?=\w))([{_MAIL}]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}\b)"),
+    "JWT": (rf"(?:\G(?!\A)\b(?=eyJ)|(?<![{_JWT}])(?>([{_JWT}]*?)\b(?=eyJ)))(eyJ[{_JWT}]++\.[{_JWT}]++\.[{_JWT}]+\b)"),
+}
+_SCHEMES = r"postgres(?:ql)?|mongodb(?:\+srv)?|mysql|redis|mssql"
+# What a rule reads instead of the whole running text, and how its output is read back: connection strings without a
+# usable end are marked, and a key block needs an end mark after it, so only the text up to the last one can match.
+SCOPES = {
+    "DB_URI": (broken_schemes(escaped("_text"), _SCHEMES, r"""\s"'""", mark=ESCAPE + "1"), unescaped),
+    "PRIVATE_KEY": (r"regexp_extract(_text, '(?s)^(.*-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)', 1)", str),
+}
+
+
+def _pattern(rule: str, keywords: str | None, pattern: str, flags: str) -> str:
+    """Java pattern; with keywords or in linear form, group 1 is what stands before the value and stays."""
+    if rule in LINEAR:
+        return java_plain(LINEAR[rule])
     # the long blank classes are needed only where the pattern mentions blanks
     if keywords is None:
+        pattern = possessive(pattern)
         return java(pattern, flags) if r"\s" in pattern else java_plain(pattern, flags)
     between = java(r"""\s*[:=]\s*["']?""")
     return f"(?i)(?<={keywords})({between})({java_plain(pattern)})"
@@ -58,25 +77,32 @@ def _pattern(keywords: str | None, pattern: str, flags: str) -> str:
 
 def _rule(df: DataFrame, position: int, offset: str) -> DataFrame:
     rule, label, keywords, pattern, flags = REDACTIONS[position]
-    regex = quote(_pattern(keywords, pattern, flags))
-    group, kept = (2, f"_before{position}[i - 1], ") if keywords else (0, "")
+    regex = quote(_pattern(rule, keywords, pattern, flags))
+    grouped = bool(keywords) or rule in LINEAR
+    group, kept = (2, f"_before{position}[i - 1], ") if grouped else (0, "")
     others = [c for c in df.columns if c not in ("_text", "_log")]
+    scope, restored = SCOPES.get(rule, ("_text", str))
+    if rule in SCOPES:
+        df = df.selectExpr("*", f"CASE WHEN _g{position} THEN {scope} ELSE '' END AS _scope")
+    else:
+        df = df.selectExpr("*", "_text AS _scope")
 
     def matches(number: int) -> str:
-        return (f"CASE WHEN _g{position} THEN regexp_extract_all(_text, {regex}, {number}) "
+        return (f"CASE WHEN _g{position} THEN regexp_extract_all(_scope, {regex}, {number}) "
                 f"ELSE cast(array() AS array<string>) END")
 
     found = df.selectExpr(
-        "*", f"{matches(group)} AS _found", *([f"{matches(1)} AS _before{position}"] if keywords else []))
+        "*", f"{matches(group)} AS _found", *([f"{matches(1)} AS _before{position}"] if grouped else []))
     name = f"concat('[{label}_', {offset}i, ']')"
-    numbered = (f"array_join(transform(split(_text, {regex}, -1), (part, i) -> "
+    numbered = (f"array_join(transform(split(_scope, {regex}, -1), (part, i) -> "
                 f"CASE WHEN i = 0 THEN part ELSE concat({kept}{name}, part) END), '')")
-    entry = (f"transform(_found, (m, j) -> named_struct('original', concat(substring(m, 1, 8), '***'), "
+    rest = ", substring(_text, length(_scope) + 1)" if rule == "PRIVATE_KEY" else ""
+    entry = (f"transform(_found, (m, j) -> named_struct('original', concat(substring({restored('m')}, 1, 8), '***'), "
              f"'placeholder', concat('[{label}_', {offset}j + 1, ']'), 'rule', '{rule}'))")
     seen = [f"size(_found) AS _n{position}"] if label == "OPENAI_API_KEY" else []
     return found.selectExpr(
         *others, *seen,
-        f"CASE WHEN size(_found) = 0 THEN _text ELSE {numbered} END AS _text",
+        f"CASE WHEN size(_found) = 0 THEN _text ELSE concat({restored(numbered)}{rest}) END AS _text",
         f"CASE WHEN size(_found) = 0 THEN _log ELSE concat(_log, {entry}) END AS _log")
 
 
