@@ -247,27 +247,47 @@ def _folded(bits: str, to: str) -> str:
             f"slice({bits}, {half} + 1, {half}), (a, b) -> a ^ b))")
 
 
+def _flipped(x: str, y: str) -> str:
+    """In how many bits two sketches differ."""
+    return (f"aggregate(zip_with({_folded(x, y)}, {_folded(y, x)}, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
+
+
 def compared(documents: DataFrame, pairs: DataFrame, sizes: DataFrame, words: int = WORDS,
              similarity: Fraction = SIMILARITY) -> DataFrame:
-    """(a, b, low, high, linked): bounds of the Jaccard distance, equal for all pairs whose sizes allow a link."""
+    """(a, b, low, high, linked): bounds of the Jaccard distance, equal for all pairs that could be linked.
+
+    Sizes rule out pairs first, then sketches of a hundredth of a set's size; sets travel only for the
+    documents of the pairs that are left, once per document and the task that compares them.
+    """
+    num, den = similarity.numerator, similarity.denominator
     for c in "ab":
         pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c)
-    bound = F.least("n_a", "n_b") * similarity.denominator >= F.greatest("n_a", "n_b") * similarity.numerator
+    bound = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     sized = stored(pairs.withColumn("possible", bound), "sized-pairs")
-    near = sized.filter("possible").select("a", "b")
+    ids = sized.filter("possible").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = stored(_sketches_of(documents, ids, words).select("id", "bits"), "pair-sketches")
+    seen = sized.filter("possible")
+    for c, other in ("ba", "ab"):
+        seen = salted_join(seen, sketches.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}")), [c], F.col(other))
+    seen = stored(seen.select("a", "b", "n_a", "n_b", F.expr(_flipped("bits_a", "bits_b")).alias("flips"))
+                  .withColumn("possible", F.expr(f"flips * {den + num} <= (n_a + n_b) * {den - num}")), "sketched-pairs")
+    near = seen.filter("possible").select("a", "b")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(_sets_of(documents, ids, words), "candidate-sets")
     left = salted_join(near, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), ["b"], F.col("a"))
     both = salted_join(left, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), ["a"], F.col("b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    linked = common * similarity.denominator >= union * similarity.numerator
+    linked = common * den >= union * num
     distance = 1 - common / union
     exact = both.select("a", "b", distance.alias("low"), distance.alias("high"), linked.alias("linked"))
+    # sets of x and y features that differ in at least f have a distance of at least 2 f / (x + y + f)
+    apart = seen.filter("NOT possible").select(
+        "a", "b", F.expr("2 * flips / (n_a + n_b + flips)").alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
     far = sized.filter("NOT possible").select(
         "a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("low"), F.lit(1.0).alias("high"),
         F.lit(False).alias("linked"))
-    return stored(exact.unionByName(far).groupBy("a", "b").agg(
+    return stored(exact.unionByName(apart).unionByName(far).groupBy("a", "b").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max("linked").alias("linked")), "compared-pairs")
 
 
@@ -313,13 +333,11 @@ def _unsettled(documents: DataFrame, stars: DataFrame, met: DataFrame, label: Da
     one = member.filter("part <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in columns))
     two = member.select("sig", *(F.col(c).alias(f"{c}_y") for c in columns))
     most = float(1 - similarity) + 1e-9
-    flipped = (f"aggregate(zip_with({_folded('bits_x', 'bits_y')}, {_folded('bits_y', 'bits_x')}, "
-               "(a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
     num, den = similarity.numerator, similarity.denominator
     return (one.join(two, "sig").filter(
         f"part_x <> part_y AND low_x - high_y <= {most} AND low_y - high_x <= {most} "
         f"AND least(n_x, n_y) * {den} >= greatest(n_x, n_y) * {num} "
-        f"AND {flipped} * {den + num} <= (n_x + n_y) * {den - num}")
+        f"AND {_flipped('bits_x', 'bits_y')} * {den + num} <= (n_x + n_y) * {den - num}")
             .select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct())
 
 
