@@ -56,14 +56,33 @@ def validated(events: DataFrame) -> DataFrame:
         f"CASE {' '.join(missing)} WHEN risk_score NOT BETWEEN 0 AND 100 THEN 'risk_score out of range' END"))
 
 
-def accepted(events: DataFrame) -> DataFrame:
+def filled_ids(events: DataFrame, origin: str | None = None) -> DataFrame:
+    """Events with a full-length id each.
+
+    With the name of a column that says where a row came from (its file), a missing id is derived from that
+    place, the row and its number among equal rows there, so reading the input again gives the same ids.
+    Without one it is random, and the rows must be stored before their ids are used twice.
+    """
+    if origin is None:
+        return events.withColumn("event_id", F.expr("coalesce(event_id, concat('evt_', replace(uuid(), '-', '')))"))
+    columns = [c for c in events.columns if c != origin]
+    content = F.sha2(F.to_json(F.struct(*columns)), 256)
+    same = Window.partitionBy(origin, "_content").orderBy(F.lit(0))
+    named = events.filter("event_id IS NOT NULL")
+    nameless = (events.filter("event_id IS NULL").withColumn("_content", content)
+                .withColumn("_number", F.row_number().over(same))
+                .withColumn("event_id", F.concat(F.lit("evt_"), F.substring(
+                    F.sha2(F.concat_ws("|", origin, "_content", "_number"), 256), 1, 32))))
+    return named.unionByName(nameless.select(*events.columns))
+
+
+def accepted(events: DataFrame, origin: str | None = None) -> DataFrame:
     """Valid events as stored: a full-length id filled in, time of receipt added, tags never null."""
-    return (validated(events).filter("reject_reason IS NULL").drop("reject_reason")
-            .withColumns({
-                "event_id": F.expr("coalesce(event_id, concat('evt_', replace(uuid(), '-', '')))"),
-                "received_at": F.current_timestamp(),
-                "detected_tags": F.expr("coalesce(detected_tags, cast(array() AS array<string>))"),
-            }))
+    valid = validated(events).filter("reject_reason IS NULL").drop("reject_reason")
+    filled = filled_ids(valid, origin)
+    return (filled if origin is None else filled.drop(origin)).withColumns({
+        "received_at": F.current_timestamp(),
+        "detected_tags": F.expr("coalesce(detected_tags, cast(array() AS array<string>))")})
 
 
 def rejected(events: DataFrame) -> DataFrame:

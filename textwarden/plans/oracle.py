@@ -524,6 +524,9 @@ def all_sql() -> dict[str, str]:
             CASE WHEN reject_reason IS NULL THEN coalesce(t, '') ELSE t END AS tags, reject_reason FROM w""",
         "unique_event_ids": """SELECT 'evt_' || (event_id // 10) AS event_id, (epoch_us(ts) // 1000) AS timestamp, event_type AS action FROM events
             QUALIFY row_number() OVER (PARTITION BY event_id // 10 ORDER BY (epoch_us(ts) // 1000), event_type) = 1""",
+        "unique_ids_over_batches": """SELECT * FROM (SELECT 'evt_' || (event_id // 10) AS event_id, (epoch_us(ts) // 1000) AS timestamp,
+                event_type AS action, event_id * 7 % 10 // 4 AS batch FROM events)
+            QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY batch, timestamp, action) = 1""",
         "sampled_events": from_events("""SELECT action, count(*) AS events FROM ev
             WHERE action <> 'ALLOW' OR CAST('0x' || left(md5(event_id), 8) AS BIGINT) % 100 < 25 GROUP BY 1"""),
         "payload_size_proof": from_events("SELECT count(*) AS events, sum(content_length) AS payload_chars, true AS bounded FROM ev"),

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
-from textwarden.operators import analytics, evaluate, events as ev, policies, redact, sessions, training
+from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, sessions, training
 from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
 from textwarden.operators.sealed import sealed
 from textwarden.options import ScanOptions
 from textwarden.sources import adapters
-from textwarden.sources.tables import spread, table
+from textwarden.sources.tables import scratch, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -488,6 +488,21 @@ def unique_event_ids(spark, sf):
     return ev.unique_events(log)
 
 
+@query
+def unique_ids_over_batches(spark, sf):
+    """Events that arrive in three batches, each checked against the ids that all earlier ones stored."""
+    log = table(spark, sf, "events").selectExpr(
+        "concat('evt_', event_id DIV 10) AS event_id", "unix_millis(cast(ts AS timestamp)) AS timestamp", "event_type AS action",
+        "event_id * 7 % 10 DIV 4 AS batch")
+    folder = scratch(spark, "unique-ids")
+    index = keys.KeyIndex(spark, f"{folder}/keys")
+    for batch in range(3):
+        rows = ev.unique_events(log.filter(f"batch = {batch}").drop("batch"))
+        keys.first_seen(rows, index, batch).write.parquet(f"{folder}/rows/batch={batch}")
+        index.commit(spark.read.parquet(f"{folder}/rows/batch={batch}").select(F.col("event_id").alias("key")), batch)
+    return spark.read.parquet(f"{folder}/rows")
+
+
 @query
 def sampled_events(spark, sf):
     kept = ev.sample_benign(event_rows(spark, sf), ScanOptions(sample_rate=25))

@@ -11,9 +11,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textwarden.operators import analytics, events as ev
+from textwarden.operators.keys import KeyIndex, first_seen
 from textwarden.operators.policies import rules_from
 from textwarden.operators.scan import scan
 from textwarden.options import DEFAULTS, ScanOptions
+from textwarden.sources.tables import read_or_empty
 
 LAST_SCHEMA = "device_id string, event_ids array<string>"
 LAST_STATE = "event_ids array<string>, times array<bigint>"
@@ -46,19 +48,42 @@ def unique(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     Time is that of arrival (``received_at``), so an event is never late, however old its own
     time is. Every row must carry an id: fill it in first, or rows without one count as repeats.
+    ``ingest`` drops repeats for ever, by an index of the stored ids.
     """
     return (with_time(events).withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["event_id"]))
 
 
-def ingest(spark: SparkSession, source: str, table: str, name: str = "ingest", once: bool = False) -> StreamingQuery:
-    """Append valid, unique events to the event table, partitioned by day.
+def store_batch(batch: DataFrame, batch_id: int, table: str, index: KeyIndex) -> None:
+    """Append the valid events of a batch whose ids were never stored, and commit their ids.
+
+    Rows go to the batch's own folder before their ids do. If the job ends in between, the batch
+    runs again under the same number, sees only earlier batches in the index, and replaces both.
+    """
+    spark = batch.sparkSession
+    origin = "_origin" if "_origin" in batch.columns else None
+    folder = f"{table}/batch={batch_id}"
+    if origin is None:  # ids may be random: fix them first
+        staged = f"{index.folder}/staged"
+        ev.accepted(batch).write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+    else:
+        rows = ev.accepted(batch, origin)
+    fresh = first_seen(ev.unique_events(rows), index, batch_id)
+    (fresh.withColumn("event_date", F.to_date(F.timestamp_millis("timestamp")))
+     .write.mode("overwrite").partitionBy("event_date").parquet(folder))
+    index.commit(read_or_empty(spark, folder, "event_id string").select(F.col("event_id").alias("key")), batch_id)
+
+
+def ingest(spark: SparkSession, source: str, table: str, name: str = "ingest", once: bool = False,
+           index: KeyIndex | None = None) -> StreamingQuery:
+    """Append valid events with ids never stored before to the event table, by batch and day.
 
     Rows are checked and given an id before repeats are dropped, so a rejected row never takes
     an id away from a valid one. ``reject_stream`` keeps what this leaves out.
     """
-    stored = unique(ev.accepted(read_events(spark, source))).withColumn("event_date", F.to_date("ts"))
-    writer = stored.writeStream.format("parquet").option("path", table).partitionBy("event_date")
-    return _start(writer.outputMode("append"), spark, name, once)
+    index = index or KeyIndex(spark, f"{table.rstrip('/')}_keys")
+    rows = read_events(spark, source).select("*", F.col("_metadata.file_path").alias("_origin"))
+    return _start(rows.writeStream.foreachBatch(lambda batch, i: store_batch(batch, i, table, index)), spark, name, once)
 
 
 def reject_stream(spark: SparkSession, source: str, folder: str, name: str = "rejects",
