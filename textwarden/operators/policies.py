@@ -38,20 +38,26 @@ def policy_row(spark: SparkSession, rule_id: int, name: str, conditions: str, ac
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("created_at"))
 
 
-def rules_from(store: DataFrame, options: ScanOptions = DEFAULTS) -> Column:
-    """Rules of the store followed by the built-in rules, as one array in evaluation order.
-
-    The array is a scalar subquery, sorted within it, so payloads are neither joined nor
-    shuffled for it and see the finished array. Rules with malformed conditions are left out.
-    """
+def stored_rules(store: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
+    """Well-formed rules of a store, one row each, with their place in the order of evaluation."""
     rank = "CASE action " + " ".join(f"WHEN '{a}' THEN {r}" for a, r in ACTION_RANK.items()) + " END"
     stored = read_policies(store).filter("NOT malformed")
     if options.honour_rule_enabled:
         stored = stored.filter("enabled = 1")
-    rows = stored.selectExpr(
+    return stored.selectExpr(
         f"{rank} AS rank", "0 AS source", "id AS ord", "cast(id AS string) AS id", "name", "action",
         "conditions.detectedCategories AS categories", "conditions.detectedTags AS tags",
         "conditions.destinationTiers AS tiers", "conditions.maxRiskScore AS max_risk",
         "cast(null AS string) AS reason").filter("rank IS NOT NULL")
+
+
+def rules_from(store: DataFrame, options: ScanOptions = DEFAULTS) -> Column:
+    """Rules of a small store followed by the built-in rules, as one array in evaluation order.
+
+    The array is a scalar subquery, sorted within it, so payloads are neither joined nor
+    shuffled for it and see the finished array. Rules with malformed conditions are left out.
+    Every payload walks the array; ``rule_table.compile_rules`` serves stores of any size.
+    """
+    rows = stored_rules(store, options)
     listed = F.collect_list(F.struct(*rows.columns)).cast(f"array<struct<{RULE_SCHEMA}>>")
     return rows.agg(F.sort_array(F.concat(listed, F.expr(rules_literal(options.extra_rules))))).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.functions import destination, detectors, entropy, linear, narrative, policy, risk
 from textwarden.functions.text import is_blank, plain_blanks, utf16_length
+from textwarden.operators.rule_table import RuleTable
 from textwarden.operators.sealed import sealed
 from textwarden.options import DEFAULTS, ScanOptions
 
@@ -102,10 +103,17 @@ def summarize_signals(df: DataFrame) -> DataFrame:
     )
 
 
-def judge(df: DataFrame, rules: Column | None = None, options: ScanOptions = DEFAULTS) -> DataFrame:
-    """Score and decide payloads that carry summarised signals, ``host`` and ``action_type``."""
-    if rules is None:
-        rules = F.expr(policy.rules_literal(options.extra_rules))
+def judge(df: DataFrame, rules: Column | RuleTable | None = None, options: ScanOptions = DEFAULTS) -> DataFrame:
+    """Score and decide payloads that carry summarised signals, ``host`` and ``action_type``.
+
+    ``rules`` is an ordered array of rules or a compiled table; without it the built-in rules hold.
+    """
+    features = ("categories", "policy_tags", "tier", "risk_score")
+    if isinstance(rules, RuleTable):
+        read, first = rules.columns(), rules.first_match(*features)
+    else:
+        read = [(F.expr(policy.rules_literal(options.extra_rules)) if rules is None else rules).alias("_rules")]
+        first = policy.first_match("_rules", *features)
     tier = destination.tier_of("host", "_root", options.approved_ai_domains, options.restricted_destinations)
     placed = (df.selectExpr("*", f"{destination.root_domain('host')} AS _root")
               .selectExpr("*", f"{tier} AS tier"))
@@ -117,10 +125,9 @@ def judge(df: DataFrame, rules: Column | None = None, options: ScanOptions = DEF
         f"{risk.context_factor('tier', 'categories')} AS c",
     )
     clean = "size(categories) = 0 AND size(policy_tags) = 0"
-    first = policy.first_match("_rules", "categories", "policy_tags", "tier", "risk_score")
     judged = (
         factored.selectExpr("*", f"{risk.risk_score('s', 'd', 'v', 'a', 'c')} AS risk_score")
-        .select("*", rules.alias("_rules"), F.expr(risk.risk_decision("risk_score")).alias("risk_decision"))
+        .select("*", *read, F.expr(risk.risk_decision("risk_score")).alias("risk_decision"))
         .selectExpr("*", f"{first} AS _rule")
         .selectExpr("*", f"{policy.outcome('_rule', clean, 'risk_score', 'risk_decision')} AS _policy")
     )
@@ -134,7 +141,7 @@ def judge(df: DataFrame, rules: Column | None = None, options: ScanOptions = DEF
     return sealed(final, kept, verdict)
 
 
-def scan(df: DataFrame, text: str = "text", rules: Column | None = None,
+def scan(df: DataFrame, text: str = "text", rules: Column | RuleTable | None = None,
          options: ScanOptions = DEFAULTS) -> DataFrame:
     """The whole pipeline over payloads with ``text``, ``host`` and ``action_type``."""
     return judge(summarize_signals(detect(df, text, options)), rules, options)

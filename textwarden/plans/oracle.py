@@ -10,7 +10,7 @@ from textwarden import fixed_values as fv
 from textwarden.functions import entropy, linear, narrative
 from textwarden.functions.policy import rule_rows
 from textwarden.functions.regex import SPACE_CHARS, re2
-from textwarden.plans.queries import BENIGN_FRAGMENTS, RULE_ACTIONS, RULE_CONDITIONS
+from textwarden.plans.queries import BENIGN_FRAGMENTS, MANY_CONDITIONS, RULE_ACTIONS, RULE_CONDITIONS
 from textwarden.sources.adapters import ACTIONS, EVENT_ACTIONS, FRAGMENTS, HOSTS, fragment_sql
 
 
@@ -255,11 +255,21 @@ def condition(field: str, kind: str = "VARCHAR[]") -> str:
 #: the store's rules of wrong types state the risk as text
 MALFORMED = "coalesce(json_type(conditions, '$.maxRiskScore') = 'VARCHAR', false)"
 MAX_RISK = f"CASE WHEN NOT {MALFORMED} THEN {condition('maxRiskScore', 'DOUBLE')} END"
-STORED_RULES = f"""{BUILT_IN} UNION ALL
+
+
+def stored_rules(rules: str) -> str:
+    """The built-in rules and those of a store."""
+    return f"""{BUILT_IN} UNION ALL
   SELECT CASE action WHEN 'BLOCK' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, 0, id, CAST(id AS VARCHAR), name, action,
     coalesce({condition('detectedCategories')}, []), coalesce({condition('detectedTags')}, []),
     coalesce({condition('destinationTiers')}, []), {MAX_RISK}, CAST(NULL AS VARCHAR)
-  FROM ({store('region', 'r_regionkey', 'r_name')}) WHERE action IN ('BLOCK', 'WARN', 'ALLOW') AND NOT {MALFORMED}"""
+  FROM ({rules}) WHERE action IN ('BLOCK', 'WARN', 'ALLOW') AND NOT {MALFORMED}"""
+
+
+STORED_RULES = stored_rules(store("region", "r_regionkey", "r_name"))
+MANY_RULES = stored_rules(_STORE.format(
+    table="part", key="p_partkey", name="p_name", conditions=MANY_CONDITIONS.format(key="p_partkey"),
+    action=RULE_ACTIONS.format(key="p_partkey")))
 
 PLACED = "placed AS (SELECT s.*, p.host, p.action_type FROM signals s JOIN planted p USING (doc_id))"
 
@@ -463,6 +473,7 @@ def all_sql() -> dict[str, str]:
             array_to_string({condition('detectedTags')}, ',') AS tags, array_to_string({condition('destinationTiers')}, ',') AS tiers,
             {MAX_RISK} AS max_risk, {MALFORMED} AS malformed FROM ({store('supplier', 's_suppkey', 's_name')})""",
         "stored_rule_decisions": f"""WITH {with_verdicts(STORED_RULES)} SELECT doc_id, final_decision, policy_id, policy_name, policy_override FROM judged""",
+        "rule_table_decisions": f"""WITH {with_verdicts(MANY_RULES)} SELECT doc_id, final_decision, policy_id, policy_name, policy_override FROM judged""",
         "audit_only_decisions": from_verdicts("SELECT final_decision, false AS enforced, count(*) AS payloads FROM judged GROUP BY 1"),
         "watchlist_codenames": f"""WITH {PLANTED}, {DET}, {NARRATIVE}, w AS (SELECT doc_id, list_concat(
             {first_seen('list_transform(narr, lambda f: f.category)')},

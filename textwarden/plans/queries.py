@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
-from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, sessions, training
+from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, rule_table, sessions, training
 from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
 from textwarden.operators.sealed import sealed
@@ -260,6 +260,14 @@ RULE_CONDITIONS = """CASE {key} % 5
     ELSE '{{"maxRiskScore": "90"}}' END"""
 RULE_ACTIONS = "CASE {key} % 5 WHEN 0 THEN 'BLOCK' WHEN 1 THEN 'WARN' WHEN 2 THEN 'ALLOW' ELSE 'BLOCK' END"
 
+#: conditions from the rule's number: category and tag lists, some of them of names that no payload has, and risk limits
+MANY_CONDITIONS = """concat('{{"detectedCategories": [', CASE {key} % 7 WHEN 0 THEN '"PII"' WHEN 1 THEN '"FINANCIAL", "SOURCE_CODE"'
+        WHEN 2 THEN '"INFRASTRUCTURE"' WHEN 3 THEN '"UNHEARD_OF"' ELSE '' END,
+    '], "detectedTags": [', CASE {key} % 11 WHEN 0 THEN '"EMAIL", "JWT"' WHEN 1 THEN '"CLOUD"' WHEN 2 THEN '"IBAN", "SSN"'
+        WHEN 3 THEN '"TAG_' || ({key} % 100) || '"' ELSE '' END,
+    '], "destinationTiers": [', CASE {key} % 5 WHEN 0 THEN '"EXTERNAL_AI"' WHEN 1 THEN '"APPROVED_SAAS", "INTERNAL"' ELSE '' END,
+    ']', CASE {key} % 3 WHEN 0 THEN '' ELSE ', "maxRiskScore": ' || (5 + {key} % 40 / 4 + 0.5) END, '}}')"""
+
 
 def rule_store(rows: DataFrame, key: str, name: str) -> DataFrame:
     """A policy store with one stored rule per row of a given table."""
@@ -285,6 +293,20 @@ def stored_rule_decisions(spark, sf):
     return judged.select("doc_id", "final_decision", "policy_id", "policy_name", "policy_override")
 
 
+def many_rules(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """A policy store with one rule per row of a given table, each with its own mix of conditions."""
+    return rows.selectExpr(
+        f"cast({key} AS bigint) AS id", f"concat('Rule ', {name}) AS name", f"{MANY_CONDITIONS.format(key=key)} AS conditions",
+        f"{RULE_ACTIONS.format(key=key)} AS action", "1 AS enabled", "'2024-01-01T00:00:00+00:00' AS created_at")
+
+
+@query
+def rule_table_decisions(spark, sf):
+    """Verdicts under a compiled table of one stored rule per part and the built-in ones."""
+    rules = rule_table.compile_rules(many_rules(table(spark, sf, "part"), "p_partkey", "p_name"), scratch(spark, "rules"))
+    return scan(planted(spark, sf), rules=rules).select("doc_id", "final_decision", "policy_id", "policy_name", "policy_override")
+
+
 @query
 def audit_only_decisions(spark, sf):
     judged = scan(planted(spark, sf), options=ScanOptions(audit_only=True))
