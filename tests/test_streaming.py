@@ -87,6 +87,32 @@ def test_policies_are_read_for_every_batch(spark, tmp_path):
     assert out == {"1": "WARN", "2": "BLOCK"}
 
 
+def test_a_replayed_batch_is_judged_by_the_same_rules(spark, tmp_path):
+    """Rules that are appended between two runs of a batch wait for the next one."""
+    rules, folder = str(tmp_path / "rules"), f"{tmp_path}/events_rules/batch=0"
+    now = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx\")"
+
+    def append(i, action):
+        spark.range(1).selectExpr(f"cast({i} AS bigint) AS id", "'r' AS name", "'{}' AS conditions", f"'{action}' AS action",
+                                  "1 AS enabled", f"{now} AS created_at").write.mode("append").parquet(rules)
+
+    def judged(folder):
+        payload = spark.createDataFrame([("let a = 1; let b = 2", "docs.google.com", "paste")], "text string, host string, action_type string")
+        row = scan(payload, rules=jobs.rules_of_batch(spark.read.parquet(rules), folder)).first()
+        return row.policy_id, row.final_decision
+
+    append(1, "WARN")
+    assert judged(folder) == ("1", "WARN")
+    append(2, "BLOCK")
+    append(1, "ALLOW")  # an edit of the first rule
+    assert judged(folder) == ("1", "WARN")
+    # the table was not whole when the first run ended: only its moment is left
+    half = f"{tmp_path}/half/batch=0"
+    spark.read.parquet(f"{folder}/moment").write.parquet(f"{half}/moment")
+    assert judged(half) == ("1", "WARN")
+    assert judged(f"{tmp_path}/events_rules/batch=1") == ("2", "BLOCK")
+
+
 def test_alerts(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "alerts")
     put(source, "1.json", [event(1), event(2, "BLOCK"), event(3, "WARN", 70)])

@@ -24,6 +24,20 @@ def read_policies(store: DataFrame) -> DataFrame:
             .withColumn("conditions", F.col("conditions").dropFields("_malformed")).orderBy("id"))
 
 
+def rules_as_of(store: DataFrame, moment: Column) -> DataFrame:
+    """The store as it stood at a moment: of each id the version appended last up to then.
+
+    Rows are only ever appended, an edit being a new row of the same id. Rows whose time of
+    creation cannot be read count as the oldest; of equally old rows the greatest by content stands.
+    """
+    columns = [c for c in store.columns if c != "id"]
+    since = F.coalesce(F.try_to_timestamp("created_at"), F.timestamp_millis(F.lit(0)))
+    version = F.struct(since.alias("_since"), *columns)
+    return (store.withColumn("_version", version).filter(F.col("_version._since") <= moment)
+            .groupBy("id").agg(F.max("_version").alias("_version"))
+            .select("id", *[F.col(f"_version.{c}").alias(c) for c in columns]).select(*store.columns))
+
+
 def malformed_policies(store: DataFrame) -> DataFrame:
     """Stored rules that are set aside, as stored."""
     bad = read_policies(store).filter("malformed").select("id")

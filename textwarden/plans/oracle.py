@@ -34,6 +34,10 @@ def trim(text: str) -> str:
     return f"trim({text}, {q(SPACE_CHARS)})"
 
 
+def ascii_lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def half_up(value: str) -> str:
     return f"CAST(floor({value} + 0.5) AS INT)"
 
@@ -474,6 +478,17 @@ def all_sql() -> dict[str, str]:
             {MAX_RISK} AS max_risk, {MALFORMED} AS malformed FROM ({store('supplier', 's_suppkey', 's_name')})""",
         "stored_rule_decisions": f"""WITH {with_verdicts(STORED_RULES)} SELECT doc_id, final_decision, policy_id, policy_name, policy_override FROM judged""",
         "rule_table_decisions": f"""WITH {with_verdicts(MANY_RULES)} SELECT doc_id, final_decision, policy_id, policy_name, policy_override FROM judged""",
+        "watchlist_names": f"""WITH raw AS (SELECT p_name AS name FROM part UNION ALL
+                SELECT unnest(list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM (SELECT string_split(text, ' ') AS w FROM benchmark)),
+            n AS (SELECT DISTINCT {ascii_lower('name')} AS name FROM raw WHERE {trim('name')} <> ''),
+            d AS (SELECT doc_id, {ascii_lower('text')} AS low FROM documents)
+            SELECT doc_id, name FROM d, n WHERE contains(low, name)
+            AND regexp_matches(low, '(?:^|[^a-z0-9_-])' || regexp_escape(name) || '(?:$|[^a-z0-9_-])')""",
+        "rules_as_of": f"""WITH e AS (SELECT c_nationkey AS id, c_name AS name, {RULE_ACTIONS.format(key='c_custkey')} AS action,
+                CAST(c_custkey % 2 AS INT) AS enabled, c_custkey % 300 AS day, {RULE_CONDITIONS.format(key='c_custkey')} AS conditions FROM customer),
+            m AS (SELECT unnest([3, 40, 150, 400]) AS day)
+            SELECT m.day, id, name, action, enabled FROM e JOIN m ON e.day <= m.day
+            QUALIFY row_number() OVER (PARTITION BY m.day, id ORDER BY e.day DESC, name DESC, conditions DESC, action DESC, enabled DESC) = 1""",
         "audit_only_decisions": from_verdicts("SELECT final_decision, false AS enforced, count(*) AS payloads FROM judged GROUP BY 1"),
         "watchlist_codenames": f"""WITH {PLANTED}, {DET}, {NARRATIVE}, w AS (SELECT doc_id, list_concat(
             {first_seen('list_transform(narr, lambda f: f.category)')},

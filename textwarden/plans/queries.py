@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
-from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, rule_table, sessions, training
+from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, rule_table, sessions, training, watchlist
 from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
 from textwarden.operators.sealed import sealed
@@ -320,6 +320,37 @@ def watchlist_codenames(spark, sf):
     return watched.selectExpr("doc_id", "array_join(narrative.categories, ',') AS categories").filter("categories <> ''")
 
 
+def watched_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names to watch for: every part's name, and every two neighbouring words of the benchmark passages."""
+    words = table(spark, sf, "benchmark").select(F.split("text", " ").alias("w"))
+    pairs = words.select(F.explode(F.expr(
+        "transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', get(w, i - 1), get(w, i)))")).alias("name"))
+    return table(spark, sf, "part").select(F.col("p_name").alias("name")).unionByName(pairs)
+
+
+@query
+def watchlist_names(spark, sf):
+    """Every watched name of a long list that a document holds."""
+    docs = adapters.payloads_documents(spark, sf).select("doc_id", "text")
+    return watchlist.find_names(docs, watched_names(spark, sf), "doc_id")
+
+
+@query
+def rules_as_of(spark, sf):
+    """The stored rules in force at four moments: customers as edits of the rules of their nation, a day apart."""
+    edits = table(spark, sf, "customer").selectExpr(
+        "cast(c_nationkey AS bigint) AS id", "c_name AS name", f"{RULE_CONDITIONS.format(key='c_custkey')} AS conditions",
+        f"{RULE_ACTIONS.format(key='c_custkey')} AS action", "CAST(c_custkey % 2 AS INT) AS enabled",
+        "date_format(timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 300 AS int)), "
+        "'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS+00:00') AS created_at")
+    found = None
+    for day in (3, 40, 150, 400):
+        moment = F.expr(f"timestamp '2024-01-01 00:00:00' + make_dt_interval({day})")
+        valid = policies.rules_as_of(edits, moment).select(F.lit(day).alias("day"), "id", "name", "action", "enabled")
+        found = valid if found is None else found.unionByName(valid)
+    return found
+
+
 # --- payload gates ---------------------------------------------------------------
 
 @query

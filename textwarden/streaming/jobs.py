@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textwarden.operators import analytics, events as ev
 from textwarden.operators.keys import KeyIndex, first_seen
-from textwarden.operators.policies import rules_from
+from textwarden.operators.policies import rules_as_of
+from textwarden.operators.rule_table import RuleTable, compile_rules
 from textwarden.operators.scan import scan
 from textwarden.options import DEFAULTS, ScanOptions
 from textwarden.sources.tables import read_or_empty
@@ -93,17 +94,35 @@ def reject_stream(spark: SparkSession, source: str, folder: str, name: str = "re
     return _start(writer.outputMode("append"), spark, name, once)
 
 
+def rules_of_batch(store: DataFrame, folder: str, options: ScanOptions = DEFAULTS) -> RuleTable:
+    """The rules that a batch is judged by, kept in its folder: a batch that runs again gets the same ones.
+
+    The first run notes its moment, takes the store as of then and keeps the compiled table. A run
+    that ended before the table was whole compiles it again as of the noted moment, so rules
+    appended in between wait for the next batch.
+    """
+    spark = store.sparkSession
+    noted = read_or_empty(spark, f"{folder}/moment", "moment timestamp").first()
+    if noted is None:
+        spark.range(1).select(F.current_timestamp().alias("moment")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/moment")
+        noted = spark.read.parquet(f"{folder}/moment").first()
+    if read_or_empty(spark, f"{folder}/rules/cells", "cells array<array<int>>").isEmpty():
+        return compile_rules(rules_as_of(store, F.lit(noted.moment)), f"{folder}/rules", options)
+    return RuleTable(spark, f"{folder}/rules")
+
+
 def scan_stream(payloads: DataFrame, table: str, suffix: str, policies=None, name: str = "scan",
                 once: bool = False, options: ScanOptions = DEFAULTS) -> StreamingQuery:
     """Scan a stream of payloads into the event table.
 
     ``policies`` is a function that reads the rule table; it is called for every
-    micro-batch, so edited rules take effect with the next one.
+    micro-batch, so edited rules take effect with the next one. The rules of each batch are
+    kept beside the event table.
     """
     spark = payloads.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rules = None if policies is None else rules_from(policies(), options)
+        rules = None if policies is None else rules_of_batch(policies(), f"{table.rstrip('/')}_rules/batch={batch_id}", options)
         events = ev.build_events(scan(batch, rules=rules, options=options), suffix, options)
         # one folder per micro-batch, by day: a batch that is run again replaces its own output
         (events.withColumn("event_date", F.to_date(F.timestamp_millis("timestamp")))
