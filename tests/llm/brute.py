@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from fractions import Fraction
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -21,12 +22,12 @@ def line_dedup(rows):
         yield i, "\n".join(kept), len(lines) - len(kept)
 
 
-def near_copies(rows):
-    """The smallest id reachable by links of a Jaccard similarity of 0.9, by all pairs."""
+def near_copies(rows, size=3, similarity=Fraction(9, 10)):
+    """The smallest id reachable by links of this Jaccard similarity of word shingles, by all pairs."""
     sets = {}
     for i, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-        sets[i] = {tuple(words[k:k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+        sets[i] = {tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
     low = {i: i for i in sets}
 
     def root(i):
@@ -36,9 +37,9 @@ def near_copies(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 10 * min(len(x), len(y)) >= 9 * max(len(x), len(y)):
+        if x and y and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
             n = len(x & y)
-            if 100 * n >= 90 * (len(x) + len(y) - n):
+            if n >= similarity * (len(x) + len(y) - n):
                 a, b = root(a), root(b)
                 low[max(a, b)] = min(a, b)
     return {i: root(i) for i in sets}

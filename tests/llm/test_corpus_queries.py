@@ -70,7 +70,7 @@ def test_stages_against_brute_force(spark, data):
                     if not dropped or t.strip(" \t\n\x0b\x0c\r")}
             assert {i: r.text for i, r in kept.items()} == want
         elif name == "jaccard_join":
-            low = near_copies([(i, r.text) for i, r in before.items()])
+            low = near_copies([(i, r.text) for i, r in before.items()], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_SIMILARITY)
             assert set(kept) == {i for i in before if low[i] == i}
         else:
             counts = {}

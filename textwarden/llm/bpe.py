@@ -20,7 +20,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +160,7 @@ class PairIndex:
 class Coder:
     """Encodes and decodes batches of texts; remembers a bounded number of pre-tokens.
 
-    ``known`` maps a pre-token to its ids, the ids as comma-joined text, and their bytes.
+    ``known`` maps a pre-token to its ids as comma-joined text, and their bytes.
     """
 
     def __init__(self, source: str):
@@ -170,7 +169,7 @@ class Coder:
         self.find = regex.compile(PATTERN).findall
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.known: dict[str, tuple[list[int], str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
 
     def pretokens(self, text: str) -> list[str]:
         if self.special is None or self.special.search(text) is None:
@@ -192,7 +191,7 @@ class Coder:
         index.merge_all()
         found = index.results(len(words)) + [[special[w]] for w in new if w in special]
         words += [w for w in new if w in special]
-        self.known.update({w: (ids, ",".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
+        self.known.update({w: (",".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids]))
                            for w, ids in zip(words, found)})
 
     def split(self, texts: list[str]) -> list[list[str]]:
@@ -201,7 +200,8 @@ class Coder:
         return split
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable([self.known[w][0] for w in words])) for words in self.split(texts)]
+        return [list(map(int, ",".join([self.known[w][0] for w in words]).split(","))) if words else []
+                for words in self.split(texts)]
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.vocabulary.tokens
@@ -227,10 +227,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
 
 
-def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.StructField], function) -> DataFrame:
-    """Input columns plus ``columns``, whose values ``function(coder, texts)`` gives as lists."""
+def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.StructField], function,
+          keep: list[str] | None = None) -> DataFrame:
+    """Input columns (or those of ``keep``) plus ``columns``, whose values ``function(coder, texts)`` gives as lists."""
     added = [c.name for c in columns]
-    keep = [c for c in documents.columns if c not in added]
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in added]
     packed = documents.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
                               F.struct(*keep).alias("_row"))
     shared = documents.sparkSession.sparkContext.broadcast(source)  # the vocabulary file, fixed size
@@ -275,16 +276,19 @@ def _digests(coder: Coder, texts: list[str]) -> list[list]:
     out: list[list] = [[], [], []]
     for words in coder.split(texts):
         own = [coder.known[w] for w in words]
-        ids = ",".join([x[1] for x in own])
-        text = b"".join([x[2] for x in own]).decode("utf-8", "replace")
+        ids = ",".join([x[0] for x in own])
+        text = b"".join([x[1] for x in own]).decode("utf-8", "replace")
         out[0].append(ids.count(",") + bool(ids))
         out[1].append(hashlib.sha256(ids.encode()).hexdigest())
         out[2].append(hashlib.sha256(text.encode()).hexdigest())
     return out
 
 
-def digests(documents: DataFrame, source: str, text_col: str = "text") -> DataFrame:
-    """Every document encoded and decoded: n_tokens, ids_sha256 (comma-joined), decoded_sha256."""
+def digests(documents: DataFrame, source: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every document encoded and decoded: n_tokens, ids_sha256 (comma-joined), decoded_sha256.
+
+    With ``keep``, only these input columns stay, and texts need not travel back from the workers.
+    """
     return coded(documents, source, text_col,
                  [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.StringType()) for c in ADDED[1:])],
-                 _digests)
+                 _digests, keep)

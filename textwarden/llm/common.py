@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textwarden.sources.tables import scratch
+
 #: the white space that separates words, as bytes and as a Java character class
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,10 +20,8 @@ SALTS = 64
 _SHIPPED: set[str] = set()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: a new folder name below ``spark.checkpoint.dir``
+shared_folder = scratch
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -76,8 +76,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
     source = bpe.read_text(spark, vocabulary_path())
-    return bpe.digests(table(spark, sf, "documents").select("doc_id", "text"), source)\
-        .select("doc_id", *bpe.ADDED)
+    return bpe.digests(table(spark, sf, "documents").select("doc_id", "text"), source, keep=["doc_id"])
 
 
 @query
