@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text of the mix encoded and decoded: token count and digests."""
-    coded = bpe.digests(docs, bpe.read_text(spark, vocabulary_path()))
-    return coded.select("doc_id", "lang", "source", *bpe.ADDED)
+    return bpe.digests(docs, bpe.read_text(spark, vocabulary_path()), keep=["doc_id", "lang", "source"])
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("jaccard_join", dedup_near),
