@@ -559,6 +559,10 @@ def all_sql() -> dict[str, str]:
         "risk_trend": from_events(f"SELECT timestamp // {6 * hour} * {6 * hour} AS window_start, {trend} FROM ev GROUP BY 1"),
         "risk_trend_sliding": from_events(f"""SELECT (timestamp // {6 * hour} - k) * {6 * hour} AS window_start, {trend}
             FROM ev, (SELECT unnest([0, 1]) AS k) GROUP BY 1"""),
+        "risk_trend_fine": from_events(f"""SELECT (timestamp // {hour // 2} - k) * {hour // 2} AS window_start,
+            (timestamp // {hour // 2} - k) * {hour // 2} + {24 * hour} AS window_end, {trend} FROM ev, (SELECT unnest(range(48)) AS k) GROUP BY 1, 2"""),
+        "device_floods_sliding": from_events(f"""SELECT device_id, (timestamp // {2 * hour} - k) * {2 * hour} AS window_start, count(*) AS events
+            FROM ev, (SELECT unnest(range(5)) AS k) WHERE timestamp < (timestamp // {2 * hour} - k) * {2 * hour} + {9 * hour} GROUP BY 1, 2 HAVING count(*) > 5"""),
         "leak_sessions": from_events(f"""SELECT employee_id, min(timestamp) AS session_start, max(timestamp) AS session_end, count(*) AS events,
             max(risk_score) AS max_risk, coalesce(array_to_string(list_sort(list_distinct(flatten(list(detected_tags)))), ','), '') AS tags FROM (
               SELECT *, sum(fresh) OVER (PARTITION BY employee_id ORDER BY timestamp, event_id) AS session FROM (

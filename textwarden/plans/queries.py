@@ -588,6 +588,20 @@ def risk_trend_sliding(spark, sf):
     return trend.selectExpr(f"{epoch('window_start')} AS window_start", "events", "blocks", "max_risk", "total_risk")
 
 
+@query
+def risk_trend_fine(spark, sf):
+    """Windows of a day that overlap every half hour."""
+    trend = sessions.risk_trend(timed_events(spark, sf), "1 day", "30 minutes")
+    return trend.selectExpr(f"{epoch('window_start')} AS window_start", f"{epoch('window_end')} AS window_end",
+                            "events", "blocks", "max_risk", "total_risk")
+
+
+@query
+def device_floods_sliding(spark, sf):
+    found = sessions.floods(timed_events(spark, sf), 5, "9 hours", "2 hours")
+    return found.selectExpr("device_id", f"{epoch('window_start')} AS window_start", "events")
+
+
 @query
 def leak_sessions(spark, sf):
     found = sessions.leak_sessions(timed_events(spark, sf), 4 * 3600)
