@@ -33,9 +33,9 @@ from textwarden.llm.common import map_batches
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: a batch of texts is encoded when it holds this many characters
-HELD_CHARS = 1 << 22
-#: pre-tokens that a worker remembers between batches
-REMEMBERED = 250_000
+HELD_CHARS = 1 << 21
+#: pre-tokens that a worker remembers between batches, but for those of the last one
+REMEMBERED = 150_000
 ADDED = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -182,9 +182,9 @@ class Coder:
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the pre-tokens of these texts that are not known yet."""
         wanted = set().union(*texts)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, wanted
+        if len(self.known) > REMEMBERED:  # keep those that this batch has again, frequent ones among them
+            self.known = {w: self.known[w] for w in wanted.intersection(self.known)}
+        new = wanted.difference(self.known)
         special, tokens, decimal = self.vocabulary.special, self.vocabulary.tokens, self.decimal
         words = [w for w in new if w not in special]
         index = PairIndex([w.encode() for w in words], self.vocabulary)
@@ -244,6 +244,8 @@ def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.Stru
                 values = function(coder, texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), *(pa.array(v) for v in values)], ["_row", *added])
+                del texts, values
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     out = map_batches(packed, work, T.StructType([packed.schema["_row"], *columns]))
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *added)
