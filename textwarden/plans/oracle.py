@@ -379,6 +379,50 @@ def matrix(source: str, key: str = "") -> str:
     FROM ({source}) {group}))"""
 
 
+#: the classifier's tables; the coefficients of ``coefficients`` are those of ``model`` 0 to 5 by position, 2000 at most
+MODEL = """marks AS (SELECT doc_id, CAST(quality AS INT) AS label, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rank,
+    floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) AS test_rows FROM labels),
+split AS (SELECT doc_id, label, CASE WHEN rank <= test_rows THEN 'test' ELSE 'train' END AS part,
+    CASE WHEN rank > test_rows THEN CAST((rank - test_rows - 1) % 5 AS INT) END AS fold, text FROM marks JOIN documents USING (doc_id)),
+wrd AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) || ' ' AS w FROM split),
+cnt AS (SELECT doc_id, substr(w, i, n) AS term, count(*) AS tf FROM wrd, (SELECT unnest([1, 2, 3]) AS n),
+    LATERAL (SELECT unnest(range(1, length(w) + 2 - n)) AS i) GROUP BY 1, 2),
+top AS (SELECT term, sum(tf) AS occurrences, count(*) AS df FROM cnt WHERE doc_id IN (SELECT doc_id FROM split WHERE part = 'train')
+    GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2000),
+voc AS (SELECT term, CAST(occurrences AS BIGINT) AS occurrences, df, row_number() OVER (ORDER BY term) - 1 AS position,
+    ln((1.0 + (SELECT count(*) FROM split WHERE part = 'train')) / (1.0 + df)) + 1 AS idf FROM top),
+raw AS (SELECT doc_id, position, tf * idf AS value FROM cnt JOIN voc USING (term)),
+fea AS (SELECT doc_id, position, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS value FROM raw),
+mdl AS (SELECT unnest(range(6)) AS model),
+own AS (SELECT model, doc_id, label, count(*) OVER (PARTITION BY model) / (2.0 * count(*) OVER (PARTITION BY model, label)) AS weight
+    FROM split, mdl WHERE part = 'train' AND fold <> model)"""
+
+
+def slopes(coefficients: str, intercept: str) -> str:
+    """CTE ``slope`` (model, place, number) at given coefficients, and ``loss`` (model, number)."""
+    return f"""mar AS (SELECT o.model, o.doc_id, label, weight, {intercept} + coalesce(m, 0) AS margin FROM own o
+    LEFT JOIN (SELECT doc_id, sum(value * {coefficients}) AS m FROM fea GROUP BY 1) USING (doc_id)),
+off AS (SELECT model, doc_id, weight * (1 / (1 + exp(-margin)) - label) AS off, weight * ln(1 + exp(CASE WHEN label = 1 THEN -margin ELSE margin END)) AS cost FROM mar),
+inner_ AS (SELECT model, position AS at, sum(value * off) AS number FROM off JOIN fea USING (doc_id) GROUP BY 1, 2),
+slope AS (SELECT m.model, v.position AS place, coalesce(number, 0) + {coefficients} / 5.0 AS number FROM mdl m CROSS JOIN voc v
+    LEFT JOIN inner_ i ON i.model = m.model AND i.at = v.position
+    UNION ALL SELECT model, (SELECT count(*) FROM voc), sum(off) FROM off GROUP BY 1)"""
+
+
+STEP = f"""{MODEL}, {slopes('0', '0')},
+jud AS (SELECT s.doc_id, part, fold, label, coalesce(sum(-f.value * g.number / 100), 0) - any_value(b.number) / 100 AS margin FROM split s
+    JOIN slope b ON b.model = coalesce(s.fold, 5) AND b.place = (SELECT count(*) FROM voc)
+    LEFT JOIN fea f ON f.doc_id = s.doc_id LEFT JOIN slope g ON g.model = coalesce(s.fold, 5) AND g.place = f.position GROUP BY 1, 2, 3, 4)"""
+
+
+def scores(group: str = "") -> str:
+    """Metrics of ``prd`` (predicted, expected); a ratio without cases is 0."""
+    lead = f"{group}, " if group else ""
+    return f"""cnf AS (SELECT {lead}count(*) FILTER (predicted AND expected) AS tp, count(*) FILTER (predicted AND NOT expected) AS fp,
+    count(*) FILTER (NOT predicted AND NOT expected) AS tn, count(*) FILTER (NOT predicted AND expected) AS fn FROM prd {'GROUP BY ' + group if group else ''}),
+sco AS (SELECT *, tp + fp + tn + fn AS total, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM cnf)"""
+
+
 LABELLED = "lab AS (SELECT d.doc_id, d.text, d.lang AS category, CAST(l.quality AS INT) AS label FROM documents d JOIN labels l USING (doc_id))"
 
 
@@ -583,6 +627,18 @@ def all_sql() -> dict[str, str]:
             SELECT doc_id, label, CASE WHEN rank <= test_rows THEN 'test' ELSE 'train' END AS part,
               CASE WHEN rank > test_rows THEN CAST((rank - test_rows - 1) % 5 AS INT) END AS fold FROM r""",
         "char_grams": f"WITH {LABELLED} SELECT gram, count(*) AS occurrences FROM ({gram}) GROUP BY 1",
+        "model_vocabulary": f"WITH {MODEL} SELECT term, occurrences, df, position, round(idf, 8) AS idf FROM voc",
+        "model_features": f"""WITH {MODEL} SELECT s.doc_id, label, part, fold, count(value) AS terms, coalesce(round(sum(value), 6), 0) AS total, round(max(value), 6) AS largest
+            FROM split s LEFT JOIN fea USING (doc_id) GROUP BY 1, 2, 3, 4""",
+        "model_gradient": f"""WITH {MODEL}, {slopes('((position % 7 - 3) / 10.0)', '0.1')}, pen AS (SELECT sum(((position % 7 - 3) / 10.0) ** 2) / 10.0 AS p FROM voc)
+            SELECT model, place, round(number, 5) AS number FROM slope UNION ALL
+            SELECT model, (SELECT count(*) + 1 FROM voc), round(sum(cost) + any_value(p), 5) FROM off, pen GROUP BY 1""",
+        "model_step_predictions": f"WITH {STEP} SELECT doc_id, part, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS probability FROM jud",
+        "model_step_metrics": f"""WITH {STEP}, prd AS (SELECT margin > 0 AS predicted, label = 1 AS expected FROM jud WHERE part = 'test'), {scores()}
+            SELECT tp, fp, tn, fn, total, round((tp + tn) / total, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall,
+            round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM sco""",
+        "model_step_folds": f"""WITH {STEP}, prd AS (SELECT fold, margin > 0 AS predicted, label = 1 AS expected FROM jud WHERE part = 'train'), {scores('fold')}
+            SELECT fold, total, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM sco""",
         "conversation_verdicts": f"""WITH {with_verdicts().replace(PLANTED, CONVERSATIONS)}
             SELECT role, tier, final_decision, count(*) AS turns, max(risk_score) AS max_risk
             FROM judged JOIN (SELECT doc_id, role FROM planted) USING (doc_id) GROUP BY 1, 2, 3""",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
-from textwarden.operators import analytics, evaluate, events as ev, keys, policies, redact, rule_table, sessions, training, watchlist
+from textwarden.operators import analytics, evaluate, events as ev, gradient, keys, policies, redact, rule_table, sessions, training, watchlist
 from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
 from textwarden.operators.sealed import sealed
@@ -688,6 +689,77 @@ def model_cross_validation(spark, sf):
     return training.cross_validate(training.stratified_split(labelled(spark, sf), "doc_id").persist())
 
 
+def model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary with inverse frequencies of the training part, and the features of all labelled documents (stored)."""
+    folder = scratch(spark, "model")
+    split = training.stratified_split(table(spark, sf, "labels").selectExpr("doc_id", "cast(quality AS int) AS label"), "doc_id")
+    docs = labelled(spark, sf).select("doc_id", "text").join(split, "doc_id")
+    gradient.gram_counts(docs, "doc_id").write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    train = split.filter("part = 'train'").join(docs.select("doc_id"), "doc_id", "left_semi")
+    terms = gradient.inverse_frequencies(gradient.vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi")), train.count())
+    terms.write.parquet(f"{folder}/terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    gradient.features(docs.drop("text"), counts, terms, "doc_id").write.parquet(f"{folder}/rows")
+    return terms, spark.read.parquet(f"{folder}/rows")
+
+
+def trained_passes(terms: DataFrame, rows: DataFrame) -> gradient.Passes:
+    return gradient.Passes(rows.filter("part = 'train'"), terms.count())
+
+
+@query
+def model_vocabulary(spark, sf):
+    """The most frequent grams of the training part with their inverse document frequency."""
+    terms, _ = model_rows(spark, sf)
+    return terms.select("term", "occurrences", "df", "position", F.round("idf", 8).alias("idf"))
+
+
+@query
+def model_features(spark, sf):
+    """Per labelled document: how many known grams it has, and the sum and the largest of their weights."""
+    _, rows = model_rows(spark, sf)
+    return rows.selectExpr("doc_id", "label", "part", "fold", "size(positions) AS terms", "round(aggregate(values, 0D, (a, v) -> a + v), 6) AS total",
+                           "round(array_max(values), 6) AS largest")
+
+
+@query
+def model_gradient(spark, sf):
+    """Loss and gradient of the models of all folds and of the whole, at the same made-up coefficients."""
+    terms, rows = model_rows(spark, sf)
+    passes = trained_passes(terms, rows)
+    at = np.append((np.arange(passes.terms) % 7 - 3) / 10, 0.1)
+    loss, slope = passes(np.tile(at, (passes.folds + 1, 1)))
+    numbers = [(m, i, float(x)) for m in range(passes.folds + 1) for i, x in enumerate([*slope[m], loss[m]])]  # bounded by the vocabulary
+    return spark.createDataFrame(numbers, "model int, place int, number double").withColumn("number", F.round("number", 5))
+
+
+def one_step(spark: SparkSession, sf: str) -> DataFrame:
+    """All labelled documents, judged by models one step of steepest descent away from zero."""
+    terms, rows = model_rows(spark, sf)
+    passes = trained_passes(terms, rows)
+    _, slope = passes(np.zeros((passes.folds + 1, passes.terms + 1)))
+    return gradient.predicted(rows, -slope / 100)
+
+
+@query
+def model_step_predictions(spark, sf):
+    return one_step(spark, sf).selectExpr("doc_id", "part", "round(margin, 6) AS margin", "round(probability, 6) AS probability")
+
+
+@query
+def model_step_metrics(spark, sf):
+    """Hold-out metrics of the model of the whole training part after one step."""
+    return training.score(one_step(spark, sf).filter("part = 'test'"))
+
+
+@query
+def model_step_folds(spark, sf):
+    """F1 of each fold, judged by the model that left it out, after one step."""
+    held = one_step(spark, sf).filter("part = 'train'")
+    return evaluate.metrics(evaluate.confusion(held, F.col("prediction") == 1, F.col("label") == 1, "fold")).select("fold", "total", "f1")
+
+
 @query
 def length_profile(spark, sf):
     """Payload lengths in UTF-16 units and their volume factor."""
