@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textwarden.operators.training import C, FOLDS, MAX_ITERATIONS, MAX_TERMS, char_grams
+from textwarden.sources.workers import map_batches
 
 #: correction pairs of the minimiser
 PAIRS = 10
@@ -90,7 +91,7 @@ class Passes:
                     total += np.frombuffer(row.as_buffer())
             yield _partial(total)
 
-        parts = self.rows.mapInArrow(work, "part binary").coalesce(PARTIALS).mapInArrow(gather, "part binary").collect()
+        parts = map_batches(map_batches(self.rows, work, "part binary").coalesce(PARTIALS), gather, "part binary").collect()
         shared.unpersist()
         total = sum((np.frombuffer(r.part) for r in parts), np.zeros(len(models) * (size + 1))).reshape(len(models), size + 1)
         loss, gradient = total[:, -1].copy(), total[:, :-1].copy()
@@ -189,5 +190,5 @@ def predicted(rows: DataFrame, models: np.ndarray, folds: int = FOLDS) -> DataFr
 
     packed = rows.select(F.struct(*columns).alias("row"), F.col("fold").cast("int").alias("fold"), "positions", "values")
     schema = f"row {packed.schema['row'].dataType.simpleString()}, margin double"
-    out = packed.mapInArrow(work, schema).select("row.*", "margin")
+    out = map_batches(packed, work, schema).select("row.*", "margin")
     return out.withColumn("probability", 1 / (1 + F.exp(-F.col("margin")))).withColumn("prediction", (F.col("margin") > 0).cast("int"))

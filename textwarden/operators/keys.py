@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.sources.tables import read_or_empty
+from textwarden.sources.workers import ship
 
 BUCKETS = 256
 BITS_PER_KEY = 24
@@ -58,6 +59,7 @@ class KeyIndex:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        ship(spark)
 
     def _dealt(self, keys: DataFrame) -> DataFrame:
         hashed = keys.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL").distinct()

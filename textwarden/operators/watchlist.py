@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textwarden.functions.text import is_blank, plain_blanks
+from textwarden.sources.workers import map_batches
 
 #: characters of all names of a block: an automaton of at most about 300 MB in a Python worker
 BLOCK_CHARS = 2_000_000
@@ -67,7 +68,7 @@ def find_names(payloads: DataFrame, names: DataFrame, key: str, text: str = "tex
         own = watched if blocks == 1 else watched.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
         listed = payloads.sparkSession.sparkContext.broadcast([r.name for r in own.collect()])
         if listed.value:
-            part = texts.mapInArrow(_searcher(listed, key), schema)
+            part = map_batches(texts, _searcher(listed, key), schema)
             found = part if found is None else found.unionByName(part)
     return payloads.sparkSession.createDataFrame([], schema) if found is None else found
 
