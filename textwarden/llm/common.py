@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.sources.tables import scratch
+from textwarden.sources.workers import map_batches, ship
+
+__all__ = ["map_batches", "salted_join", "shared_folder", "ship", "stored"]
 
 #: the white space that separates words, as bytes and as a Java character class
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of one join key are dealt to this many tasks
 SALTS = 64
-_SHIPPED: set[str] = set()
 
 
 #: a new folder name below ``spark.checkpoint.dir``
@@ -41,24 +37,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     needed = dealt.select(*keys, "_salt").distinct()
     return dealt.join(needed.join(right, keys), [*keys, "_salt"], how).drop("_salt")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application; they may not find it themselves."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
-
-
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
-                ) -> DataFrame:
-    """``mapInArrow`` whose function may use this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
