@@ -2,13 +2,16 @@
 
 Tokens are the words of a text (lower case, without punctuation at the ends) and their prefixes
 of 4 to 6 letters. Their log-odds between toxic and clean training texts take an informative
-Dirichlet prior from the counts of all documents. A word scores the log-odds of its strongest
-significant token; every word costs ``DRIFT``. A linear scan finds all maximal scoring segments
-of a text (Ruzzo and Tompa). Their scores follow an extreme-value law in clean text: lambda
-solves ``sum p * exp(lambda * s) = 1`` over the clean token scores, and K is the rate of
-positive segments in clean texts, so that ``E = K * words * exp(-lambda * S)``. The evidence of
-a document is the sum of ``-log E`` over its significant segments, and a logistic curve through
-training texts turns it into a score from 0 to 1.
+Dirichlet prior from the counts of all documents (a word counts once in a text, however often one
+text repeats it); those that differ from zero by ``LEAST_Z``
+standard errors are the lexicon, with their sign: tokens of clean texts count against a passage. A
+word scores the log-odds of its most specific token in the lexicon, others nothing; every word costs
+a drift, just so much that clean words lose ``MARGIN`` on average. A linear scan finds all maximal
+scoring segments of a text (Ruzzo and Tompa). Their scores follow an extreme-value law in clean
+text: lambda solves ``sum p * exp(lambda * s) = 1`` over the scores of the words of clean training
+texts, and K is the rate of positive segments there, so that ``E = K * words * exp(-lambda * S)``.
+The evidence of a document is the sum of ``-log E`` over its significant segments, and a logistic
+curve through training texts turns it into a score from 0 to 1.
 
 The training texts are a hash sample of about ``MOST_TRAINING`` labelled texts per class, each
 distinct text once; counts of the prior cover all documents. Defined results: null and empty
@@ -35,24 +38,24 @@ from textwarden.llm.common import map_batches, stored
 #: labelled texts of a class that the lexicon and the calibration learn from, about
 MOST_TRAINING = 20_000
 #: pseudo-count of the prior, as a share of the training words; it goes to the tokens by their share of all documents
-PRIOR = 0.01
-#: a token enters the lexicon at this log-odds, this many standard errors, and this often in toxic texts
-LEAST_ODDS, LEAST_Z, LEAST_COUNT = 4.0, 2.5, 5
-#: at most so many tokens, the most significant ones
-LEXICON = 200_000
-PREFIXES = (4, 5, 6)
-DRIFT = 0.2
+PRIOR = 0.1
+#: a token enters the lexicon at this many standard errors, and from this many training texts on
+LEAST_Z, LEAST_COUNT = 3.0, 4
+PREFIXES = (6, 5, 4)
+#: what a clean word loses on average, at least
+MARGIN = 0.05
 #: segments up to this E-value are significant
 MOST_E = 0.5
-#: filter of the tokens that occur in toxic training texts: 2 ** 24 bits, 2 MiB
+#: filter of the tokens that occur often enough in training texts: 2 ** 24 bits, 2 MiB
 FILTER_BITS = 24
-REMEMBERED = 1_000_000
+#: words that a task counts or remembers at a time
+REMEMBERED = 200_000
 ADDED = ["score", "predicted", "passages"]
 _PUNCTUATION = string.punctuation + "¡¿«»…–—“”‘’"
 
 
 def tokens_of(word: str) -> list[int]:
-    """Hashes of a word and its prefixes; none for bare punctuation."""
+    """Hashes of a word and its prefixes, the most specific first; none for bare punctuation."""
     word = word.lower().strip(_PUNCTUATION)
     if not word:
         return []
@@ -60,7 +63,7 @@ def tokens_of(word: str) -> list[int]:
                                                   for n in PREFIXES if len(word) > n)]
 
 
-def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) in linear time.
 
     ``hits`` are the (position, weight) of scoring words in order; every word costs ``drift``.
@@ -88,6 +91,7 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 @dataclass
 class Model:
     lexicon: dict[int, float] = field(default_factory=dict)
+    drift: float = MARGIN
     lambda_: float = 1.0
     k: float = 1.0
     slope: float = 0.0
@@ -103,26 +107,35 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.intercept + self.slope * evidence))))
 
 
+def word_score(word: str, lexicon: dict[int, float]) -> float:
+    """The log-odds of a word's most specific token in the lexicon, 0 without one."""
+    return next((lexicon[t] for t in tokens_of(word) if t in lexicon), 0.0)
+
+
 class Scanner:
     """Finds scoring words; remembers a bounded number of words."""
 
     def __init__(self, model: Model):
         self.model, self.seen, self.hot = model, set(), {}
 
+    def split(self, text: str | None) -> list[str]:
+        """The words of a text, whose scores are known from then on."""
+        words = (text or "").split()
+        new = set(words) - self.seen
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.hot, new = set(), {}, set(words)
+        for word in new:
+            score = word_score(word, self.model.lexicon)
+            if score:
+                self.hot[word] = score
+        self.seen |= new
+        return words
+
     def segments(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-        split = [(t or "").split() for t in texts]
-        for words in split:
-            new = set(words) - self.seen
-            if len(self.seen) > REMEMBERED:
-                self.seen, self.hot, new = set(), {}, set(words)
-            for word in new:
-                weight = max((self.model.lexicon.get(t, 0.0) for t in tokens_of(word)), default=0.0)
-                if weight > 0:
-                    self.hot[word] = weight
-            self.seen |= new
-            hot = self.hot
+        for text in texts:
+            words, hot = self.split(text), self.hot
             hits = [(i, hot[w]) for i, w in enumerate(words) if w in hot]
-            yield len(words), maximal_segments(hits) if hits else []
+            yield len(words), maximal_segments(hits, self.model.drift) if hits else []
 
 
 def training(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -145,7 +158,7 @@ def _labelled(documents: DataFrame, sample: DataFrame, id_col: str, text_col: st
 
 
 def _count_tokens(texts: DataFrame, keep=None) -> DataFrame:
-    """(token, toxic, n) summed over words; ``keep`` is a broadcast filter of tokens."""
+    """(token, toxic, n) summed over the distinct words of each text; ``keep`` is a broadcast filter of tokens."""
     def report(counts: dict[int, Counter]):
         rows = Counter()
         for label, words in counts.items():
@@ -162,7 +175,7 @@ def _count_tokens(texts: DataFrame, keep=None) -> DataFrame:
         counts: dict[int, Counter] = {}
         for batch in batches:
             for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                counts.setdefault(-1 if label is None else label, Counter()).update((text or "").split())
+                counts.setdefault(-1 if label is None else label, Counter()).update(set((text or "").split()))
             if sum(map(len, counts.values())) > REMEMBERED:
                 yield from report(counts)
                 counts = {}
@@ -171,15 +184,15 @@ def _count_tokens(texts: DataFrame, keep=None) -> DataFrame:
     return map_batches(texts, work, "token long, toxic int, n long").groupBy("token", "toxic").agg(F.sum("n").alias("n"))
 
 
-def _lexicon(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tuple[dict[int, float], dict]:
+def _lexicon(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> dict[int, float]:
+    """The significant tokens with their log-odds; bounded by the training sample, whose texts hold each ``LEAST_COUNT`` times."""
     spark = documents.sparkSession
-    toxic = _labelled(documents, sample.filter("toxic = 1"), id_col, text_col, "inner")
     bits = (F.shiftrightunsigned("token", 3).bitwiseAND((1 << FILTER_BITS - 3) - 1))
-    wanted = (_count_tokens(toxic).filter(f"token >= 0 AND n >= {LEAST_COUNT}")
-              .groupBy(bits.alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(token & 7 as int))")).alias("bits")))
+    wanted = (_count_tokens(_labelled(documents, sample, id_col, text_col, "inner")).groupBy("token").agg(F.sum("n").alias("n"))
+              .filter(f"token >= 0 AND n >= {LEAST_COUNT}")
+              .groupBy(bits.alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(token & 7 as int))")).alias("bits"))).toArrow()
     filter_ = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in wanted.toArrow().to_pylist():  # at most one row per byte of the filter
-        filter_[row["at"]] = row["bits"]
+    filter_[np.asarray(wanted["at"])] = np.asarray(wanted["bits"])  # at most one row per byte of the filter
     keep = spark.sparkContext.broadcast(filter_)
     counts = _count_tokens(_labelled(documents, sample, id_col, text_col, "left"), keep)
     n = F.sum("n")
@@ -187,28 +200,47 @@ def _lexicon(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str
                                               F.sum(F.expr("if(toxic = 0, n, 0)")).alias("c")), "toxicity-counts")
     total = table.filter("token = -1").first()
     if total is None or not total.t or not total.c:
-        return {}, {}
+        return {}
     mass = PRIOR * (total.t + total.c)
     prior = F.col("all") * F.lit(mass / total["all"])
     a, b = F.col("t") + prior, F.col("c") + prior
     odds = F.log(a / (total.t + mass - a)) - F.log(b / (total.c + mass - b))
-    strong = (table.filter("token >= 0").withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b),
-                                                      "p": b / (total.c + mass)})
-              .filter(f"odds >= {LEAST_ODDS} AND z >= {LEAST_Z} AND t >= {LEAST_COUNT}")
-              .orderBy(F.desc("z"), "token").limit(LEXICON).select("token", "odds", "p").toArrow().to_pylist())
-    return {x["token"]: x["odds"] for x in strong}, {x["token"]: x["p"] for x in strong}
-
-
-def _lambda(lexicon: dict[int, float], shares: dict[int, float]) -> float:
-    """The positive root of sum p * exp(lambda * s) = 1 over the clean token scores, by bisection."""
-    s = np.array([lexicon[t] - DRIFT for t in lexicon])
-    p = np.array([shares[t] for t in lexicon])
-    rest = max(1e-9, 1 - p.sum())
-    over = lambda x: (p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(-x * DRIFT) > 1
+    strong = (table.filter(f"token >= 0 AND t + c >= {LEAST_COUNT}")
+              .withColumns({"odds": odds, "z": odds / F.sqrt(1 / a + 1 / b)})
+              .filter(f"abs(z) >= {LEAST_Z}").select("token", "odds").toArrow())
+    return dict(zip(strong["token"].to_pylist(), strong["odds"].to_pylist()))
+
+
+def _clean_words(texts: DataFrame, model: Model) -> list[tuple[float, int]]:
+    """How many words of clean training texts have each score, to two places; a bounded number of rows."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        scanner, counts = Scanner(shared.value), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = scanner.split(text)
+                counts.update(round(scanner.hot.get(w, 0.0), 2) for w in words)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(counts.values(), pa.int64())], ["score", "n"])
+
+    rows = map_batches(texts.filter("toxic = 0").select("text"), work, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+    return [(r.score, r.n) for r in rows.collect()]
+
+
+def drift_of(scores: list[tuple[float, int]]) -> float:
+    """The cost of a word at which clean words lose ``MARGIN`` on average."""
+    total = sum(n for _, n in scores)
+    return max(0.0, sum(s * n for s, n in scores) / total + MARGIN) if total else MARGIN
+
+
+def lambda_of(scores: list[tuple[float, int]], drift: float) -> float:
+    """The positive root of sum p * exp(lambda * s) = 1 over the scores of clean words, by bisection."""
+    s, n = np.array([x for x, _ in scores]) - drift, np.array([x for _, x in scores], float)
+    p = n / max(1.0, n.sum())
     low, high = 0.0, 64.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (low, mid) if over(mid) else (mid, high)
+        low, high = (low, mid) if (p * np.exp(np.minimum(mid * s, 700))).sum() > 1 else (mid, high)
     return max(low, 1e-3)
 
 
@@ -240,12 +272,15 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         label_col: str = "toxic", most: int = MOST_TRAINING) -> Model:
     """Lexicon, extreme-value parameters and calibration from labelled texts and the counts of all texts."""
     sample = training(documents, labels, id_col, text_col, label_col, most)
-    lexicon, shares = _lexicon(documents, sample, id_col, text_col)
+    lexicon = _lexicon(documents, sample, id_col, text_col)
     if not lexicon:
         return Model()
-    model = Model(lexicon, _lambda(lexicon, shares))
+    model = Model(lexicon)
     spark = documents.sparkSession
     texts = _labelled(documents, sample, id_col, text_col, "inner")
+    scores = _clean_words(texts, model)
+    model.drift = drift_of(scores)
+    model.lambda_ = lambda_of(scores, model.drift)
     first = spark.sparkContext.broadcast(model)
 
     def scan(batches):
