@@ -28,9 +28,11 @@ from textwarden.llm.common import map_batches, salted_join, stored
 
 TOP = 20
 #: a task closes a shard when it holds this many terms
-HELD = 1 << 21
+HELD = 1 << 20
 #: items of a block, and shards that a task goes through for a block
-BLOCK, SHARDS = 256, 2
+BLOCK, SHARDS = 256, 4
+#: texts that are taken out of a batch at a time
+TEXTS = 512
 #: documents of a window
 WINDOW = 128
 #: lists that together have at most one posting for this many documents of a shard are added up first
@@ -74,14 +76,20 @@ def _shard(number: int, ids: list, codes: list[np.ndarray], vocabulary: _Codes)
         [pa.array([number]), pa.array([None], pa.binary()), pa.array([len(ids)]), pa.array([int(lengths.sum())]),
          pa.array([own.tobytes()]), pa.array([np.where(known, lengths, -lengths).tobytes()])], names)
     key = np.concatenate(codes) * len(ids) + np.repeat(np.arange(len(ids)), lengths)
-    key, times = np.unique(key, return_counts=True)
-    code, doc = key // len(ids), key % len(ids)
+    codes.clear()
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(first, append=len(key))
+    key = key[first]
+    code, doc = np.divmod(key, len(ids))
+    del key, first
     steps = np.diff(doc, prepend=0)
     starts = np.flatnonzero(np.diff(code, prepend=-1))
     steps[starts] = doc[starts]
     ends = np.append(starts[1:], len(code))
-    words = np.array(list(vocabulary), object)  # codes ascend in the order of insertion
+    words = list(vocabulary)  # codes ascend in the order of insertion
     steps, times = steps.astype(np.uint32), times.astype(np.uint32)
+    del code, doc
     for at in range(0, len(starts), 10_000):
         part = slice(at, at + 10_000)
         low, high = starts[part][0], ends[part][-1]
@@ -99,20 +107,23 @@ def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def work(batches):
         number = TaskContext.get().partitionId() << 32
         ids, codes, vocabulary, held = [], [], _Codes(), 0
-        for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = terms(text)
-                if not found:
-                    continue
-                ids.append(doc)
-                codes.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
-                held += len(found)
-                if held >= HELD:
-                    yield from _shard(number, ids, codes, vocabulary)
-                    number += 1
-                    ids, codes, vocabulary, held = [], [], _Codes(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                for doc, text in zip(*(c.to_pylist() for c in whole.slice(at, TEXTS).columns)):
+                    found = terms(text)
+                    if not found:
+                        continue
+                    ids.append(doc)
+                    codes.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+                    held += len(found)
+                    if held >= HELD:
+                        yield from _shard(number, ids, codes, vocabulary)
+                        number += 1
+                        ids, codes, vocabulary, held = [], [], _Codes(), 0
         if ids:
             yield from _shard(number, ids, codes, vocabulary)
+        del ids, codes, vocabulary
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return stored(map_batches(texts, work, _INDEX), "lexical-index")
 
@@ -295,6 +306,7 @@ def _searched(n_documents: int, n_terms: int, top: int):
                     lists[term] = _List(a, b, spread)
         close_shard()
         yield from results()
+        pa.default_memory_pool().release_unused()
 
     return work
 
