@@ -1,12 +1,16 @@
 import json
+import random
+import shutil
+import time
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from textwarden.operators import analytics
+from textwarden.operators import analytics, sessions
 from textwarden.operators.policies import STORE_SCHEMA
 from textwarden.operators.scan import scan
 from textwarden.plans.queries import planted
+from textwarden.sources.alert_sink import FileTransport, _Writer, read_alerts
 from textwarden.streaming import jobs
 
 
@@ -113,11 +117,51 @@ def test_a_replayed_batch_is_judged_by_the_same_rules(spark, tmp_path):
     assert judged(f"{tmp_path}/events_rules/batch=1") == ("2", "BLOCK")
 
 
-def test_alerts(spark, tmp_path):
-    source, out = tmp_path / "in", str(tmp_path / "alerts")
+ALERT = "event_id string, risk_score int, action string, text string"
+
+
+def alerts_of(spark, folder):
+    return sorted(r.event_id for r in read_alerts(spark, folder, ALERT).collect())
+
+
+def local(uri):
+    return uri.replace("file://", "")
+
+
+def test_alerts_are_there_once_whatever_ends_the_query(spark, tmp_path):
+    """The query ends before its note, or after it and before its own commit, and starts again from its checkpoint."""
+    source, out, name = tmp_path / "in", str(tmp_path / "alerts"), f"alert_test_{RUN}"
     put(source, "1.json", [event(1), event(2, "BLOCK"), event(3, "WARN", 70)])
-    finish(jobs.alert_stream(jobs.read_events(spark, str(source)), out, name=f"alert_test_{RUN}", once=True))
-    assert sorted(r.event_id for r in spark.read.json(out).collect()) == ["e2", "e3"]
+
+    def run(folder, name):
+        finish(jobs.alert_stream(jobs.read_events(spark, str(source)), folder, name=name, once=True))
+
+    run(out, name)
+    assert alerts_of(spark, out) == ["e2", "e3"]
+    checkpoint = local(jobs.checkpoint_folder(spark, name))
+    for case, lost in {"noted": "no such file", "not_noted": "notes"}.items():
+        again, folder = f"{name}_{case}", str(tmp_path / case)
+        shutil.copytree(checkpoint, local(jobs.checkpoint_folder(spark, again)), ignore=shutil.ignore_patterns("commits"))
+        shutil.copytree(out, folder, ignore=shutil.ignore_patterns(lost))
+        run(folder, again)
+        assert alerts_of(spark, folder) == ["e2", "e3"]
+    put(source, "2.json", [event(4, "BLOCK"), event(5)])
+    run(out, name)
+    assert alerts_of(spark, out) == ["e2", "e3", "e4"]
+    row = read_alerts(spark, out, ALERT).filter("event_id = 'e3'").first()
+    assert (row.risk_score, row.action) == (70, "WARN") and row.text.startswith("[DLP] WARN")
+
+
+def test_an_epoch_that_fails_leaves_no_alert(tmp_path):
+    transport = FileTransport(f"file://{tmp_path}/sink")
+    writer = _Writer(transport)
+    messages = [writer.write(iter([Row(event_id="a", payload="{}")])), writer.write(iter([])), None]
+    assert [m.documents for m in messages[:2]] == [1, 0] and len(list((tmp_path / "sink/parts").iterdir())) == 1
+    writer.abort(messages, 0)
+    assert list((tmp_path / "sink/parts").iterdir()) == [] and not transport.noted(0)
+    writer.commit([writer.write(iter([Row(event_id="a", payload="{}")]))], 0)
+    writer.commit([writer.write(iter([Row(event_id="a", payload="{}")]))], 0)
+    assert transport.noted(0) and len(list((tmp_path / "sink/parts").iterdir())) == 1
 
 
 def memory(df, mode, name):
@@ -136,16 +180,97 @@ def test_live_rollups_windows_and_sessions(spark, tmp_path):
     assert {r.action: r.events for r in rollup} == {"ALLOW": 4, "BLOCK": 3}
     windows = memory(jobs.windowed_risk(events, "1 hour"), "complete", "windows")
     assert sum(r.events for r in windows) == 7
-    found = memory(jobs.session_stream(events), "complete", "sessions")
-    assert sorted(r.events for r in found) == [1, 6] and all(r.tags == ["PII"] for r in found)
     put(source, "2.json", [event(100 + i, at=i) for i in range(101)])
     assert [r.events for r in memory(jobs.flood_stream(events), "complete", "floods")] == [102]
 
 
-def test_last_events_state(spark, tmp_path):
-    source = tmp_path / "in"
-    put(source, "1.json", [event(i, at=i) for i in range(8)])
-    put(source, "2.json", [event(i, at=i) for i in range(8, 12)])
-    stream = spark.readStream.schema(jobs.ev.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
-    rows = memory(jobs.last_events(stream, 5), "update", "last_five")
-    assert rows[-1].event_ids == [f"e{i}" for i in range(11, 6, -1)]
+def stream_of(spark, source):
+    """One file a batch, in the order of their names' times."""
+    return jobs.with_time(spark.readStream.schema(jobs.ev.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(str(source)))
+
+
+def written(df, mode, folder, name):
+    """All rows that a stream gives, batch by batch."""
+    def keep(batch, i):
+        batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/batch_{i}")
+
+    finish(df.writeStream.foreachBatch(keep).outputMode(mode).queryName(name).trigger(availableNow=True)
+           .option("checkpointLocation", f"{folder}_state").start())
+    return df.sparkSession.read.option("recursiveFileLookup", "true").parquet(folder).collect()
+
+
+def test_last_events_equal_the_batch_form_and_idle_devices_go(spark, tmp_path):
+    source, minute = tmp_path / "in", 60_000
+    rows = [event(i, at=i * minute) | {"device_id": f"d{i % 3}"} for i in range(40)]
+    for k in range(4):
+        put(source, f"{k}.json", rows[10 * k:10 * k + 10])
+        time.sleep(0.02)
+    got = written(jobs.last_events(stream_of(spark, source), keep=5, idle="3 days"), "update", f"{tmp_path}/last", f"last_{RUN}")
+    newest = {}
+    for r in sorted(got, key=lambda r: r.batch):
+        newest[r.device_id] = r.event_ids
+    log = spark.createDataFrame(rows).select("device_id", "event_id", "timestamp")
+    want = {}
+    for r in jobs.ev.last_per_device(log, 5).orderBy("position").collect():
+        want.setdefault(r.device_id, []).append(r.event_id)
+    assert newest == want and all(len(r.event_ids) <= 5 for r in got)
+    # one device goes on, the others are idle for longer than they may be
+    put(source, "8.json", [event(100, at=9000 * minute) | {"device_id": "d0"}])
+    time.sleep(0.02)
+    put(source, "9.json", [event(101, at=9001 * minute) | {"device_id": "d0"}])
+    got = written(jobs.last_events(stream_of(spark, source), keep=5, idle="3 days"), "update", f"{tmp_path}/idle", f"idle_{RUN}")
+    newest = {}
+    for r in sorted(got, key=lambda r: r.batch):
+        newest[r.device_id] = r.event_ids
+    assert newest["d1"] == newest["d2"] == [] and newest["d0"][:2] == ["e101", "e100"]
+
+
+def test_sessions_equal_the_batch_form_on_a_skewed_stream(spark, tmp_path):
+    """One employee sends most events; sessions touch, bridge and miss each other by a second."""
+    rng = random.Random(5)
+    source, second = tmp_path / "in", 1000
+    times = sorted(rng.choice([rng.randint(0, 40_000), rng.randint(0, 400_000)]) for _ in range(600))
+    rows = [event(i, score=rng.randint(0, 100), at=t * second) | {
+        "employee_id": "hot" if i % 4 else f"u{i % 7}", "detected_tags": rng.choice([["A"], ["B", "A"], [], None])} for i, t in enumerate(times)]
+    rows += [event(1000, at=500_000 * second) | {"employee_id": "edge"}, event(1001, at=501_800 * second) | {"employee_id": "edge"},
+             event(1002, at=503_601 * second) | {"employee_id": "edge"}]
+    for k in range(4):
+        put(source, f"{k}.json", rows[k * len(rows) // 4:(k + 1) * len(rows) // 4])
+        time.sleep(0.02)
+    put(source, "8.json", [event(2000, at=900_000 * second) | {"employee_id": "end"}])  # time goes on
+    time.sleep(0.02)
+    put(source, "9.json", [event(2001, at=990_000 * second) | {"employee_id": "end"}])
+    got = written(jobs.session_stream(stream_of(spark, source)), "append", f"{tmp_path}/sessions", f"sessions_{RUN}")
+    batch = spark.createDataFrame([(r["employee_id"], r["timestamp"], r["risk_score"], r["detected_tags"]) for r in rows],
+                                  "employee_id string, timestamp bigint, risk_score int, detected_tags array<string>")
+    want = sessions.leak_sessions(jobs.with_time(batch), 1800).collect()
+
+    def plain(r):
+        return r.employee_id, r.session_start, r.session_end, r.events, r.max_risk, sorted(t for t in r.tags if t)
+
+    ours = sorted(plain(r) for r in got if r.employee_id != "end")
+    assert ours == sorted(map(plain, want)) and sum(r[3] for r in ours) == len(rows)
+
+
+def test_late_events_are_kept(spark, tmp_path):
+    source, on_time, late, minute = tmp_path / "in", f"{tmp_path}/on_time", f"{tmp_path}/late", 60_000
+    put(source, "1.json", [event(1), event(2, at=60 * minute), event(3, at=-600 * minute)])
+    time.sleep(0.02)
+    put(source, "2.json", [event(4, at=55 * minute), event(5, at=49 * minute), {k: v for k, v in event(6).items() if k != "timestamp"}])
+    time.sleep(0.02)
+    put(source, "3.json", [event(7, at=50 * minute), event(8, at=300 * minute)])
+
+    def run(name):
+        finish(jobs.split_late(stream_of(spark, source), on_time, late, name=name, once=True))
+
+    run(f"late_{RUN}")
+    ids = lambda folder: sorted(r.event_id for r in spark.read.parquet(folder).collect())
+    assert ids(on_time) == ["e1", "e2", "e3", "e4", "e7", "e8"] and ids(late) == ["e5", "e6"]
+    windows = jobs.windowed_risk(spark.read.parquet(on_time).unionByName(spark.read.parquet(late)), "1 hour").collect()
+    assert sum(r.events for r in windows) == 7  # all but the one without a time
+    # the second batch again: same marks, same decision
+    again = f"late_{RUN}_again"
+    shutil.copytree(local(jobs.checkpoint_folder(spark, f"late_{RUN}")), local(jobs.checkpoint_folder(spark, again)),
+                    ignore=lambda folder, names: [n for n in names if folder.endswith("commits") and n.strip(".").split(".")[0] in ("1", "2")])
+    run(again)
+    assert ids(on_time) == ["e1", "e2", "e3", "e4", "e7", "e8"] and ids(late) == ["e5", "e6"]

@@ -16,14 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local one only in local mode, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a local one only in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

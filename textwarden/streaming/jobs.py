@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textwarden.operators import analytics, events as ev
 from textwarden.operators.keys import KeyIndex, first_seen
 from textwarden.operators.policies import rules_as_of
 from textwarden.operators.rule_table import RuleTable, compile_rules
 from textwarden.operators.scan import scan
+from textwarden.operators.sessions import micros
 from textwarden.options import DEFAULTS, ScanOptions
-from textwarden.sources.tables import read_or_empty
-
-LAST_SCHEMA = "device_id string, event_ids array<string>"
-LAST_STATE = "event_ids array<string>, times array<bigint>"
+from textwarden.sources.alert_sink import AlertSink
+from textwarden.sources.tables import read_or_empty, shared_root
+from textwarden.sources.workers import ship
+from textwarden.streaming.state import LAST_SCHEMA, SESSION_SCHEMA, NewestEvents, SessionsOfCells, use_state_store
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
     """Checkpoint location of a job below the folder the cluster names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root.rstrip('/')}/{name}"
+    return f"{shared_root(spark)}/{name}"
 
 
 def _start(writer: DataStreamWriter, spark: SparkSession, name: str, once: bool) -> StreamingQuery:
@@ -132,11 +125,12 @@ def scan_stream(payloads: DataFrame, table: str, suffix: str, policies=None, nam
 
 
 def alert_stream(events: DataFrame, folder: str, name: str = "alerts", once: bool = False) -> StreamingQuery:
-    """Write alert documents for every micro-batch."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        ev.alert_payloads(batch).write.mode("overwrite").json(f"{folder}/batch={batch_id}")
-
-    return _start(events.writeStream.foreachBatch(write), events.sparkSession, name, once)
+    """Write every alert document exactly once (see ``alert_sink``); ``read_alerts`` gives them back."""
+    spark = events.sparkSession
+    ship(spark)
+    spark.dataSource.register(AlertSink)
+    documents = ev.alert_payloads(events).select("event_id", "payload")
+    return _start(documents.writeStream.format(AlertSink.name()).option("path", folder).outputMode("append"), spark, name, once)
 
 
 def live_rollup(events: DataFrame, rollup=analytics.by_action) -> DataFrame:
@@ -157,31 +151,57 @@ def flood_stream(events: DataFrame, limit: int = 100, delay: str = "10 minutes")
             .agg(F.count(F.lit(1)).alias("events")).filter(F.col("events") > limit))
 
 
-def session_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Activity sessions per employee, with the union of their tags.
+def split_late(events: DataFrame, on_time: str, late: str, delay: str = "10 minutes", name: str = "late",
+               once: bool = False) -> StreamingQuery:
+    """Part a stream of events with ``ts`` into those on time and those more than ``delay`` behind; none is lost.
+
+    An event is late if it lies behind the newest one of all earlier batches by more than the delay.
+    Each batch notes its newest time beside the table, so one that runs again decides alike. Events
+    without a time are late. Windows, floods and sessions over the table of events on time leave none
+    of them out, and a correction can add the late ones when it suits.
+    """
+    marks = f"{on_time.rstrip('/')}_marks"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = read_or_empty(spark, marks, "newest timestamp, batch bigint").filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        behind = F.lit(False) if newest is None else F.col("ts") < F.lit(newest) - F.expr(f"interval {delay}")
+        is_late = F.coalesce(behind, F.lit(True)) | F.col("ts").isNull()
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        batch.agg(F.max("ts").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+    return _start(events.writeStream.foreachBatch(write), events.sparkSession, name, once)
 
-    Each event is spread to one row per tag first, so the state of a session holds the distinct
-    tags only. Events more than ``delay`` behind the newest one are left out.
+
+def session_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", salts: int = 8) -> DataFrame:
+    """Activity sessions per employee with the union of their tags, each once when it is over (output mode ``append``).
+
+    Events are first combined into cells as wide as the gap, per employee and salt; a closed cell is
+    one row, however many events it holds, and only these meet per employee, where sessions grow
+    over them. A session is over when no cell that could still reach it can close. Events more than
+    ``delay`` behind the newest one are left out; ``split_late`` keeps them.
     """
+    spark = events.sparkSession
+    use_state_store(spark)
     tags = F.expr("if(coalesce(size(detected_tags), 0) > 0, detected_tags, array(cast(null AS string)))")
-    rows = (events.withColumn("_tags", tags).select("*", F.posexplode("_tags").alias("_n", "_tag")))
-    return (rows.withWatermark("ts", delay)
-            .groupBy("employee_id", F.session_window("ts", gap).alias("s"))
-            .agg(F.count_if(F.col("_n") == 0).alias("events"), F.max("risk_score").alias("max_risk"),
-                 F.sort_array(F.collect_set("_tag")).alias("tags")))
-
-
-def last_events(events: DataFrame, keep: int = 100) -> DataFrame:
-    """The ids of each device's newest events, kept as state of at most ``keep`` entries."""
-    def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times = state.get if state.exists else ([], [])
-        held = list(zip(times, ids))
-        for batch in batches:
-            held += list(zip(batch["timestamp"].tolist(), batch["event_id"].tolist()))
-            # newest first; ties by id
-            held = sorted(held, key=lambda e: (-e[0], e[1]))[:keep]
-        state.update(([i for _, i in held], [t for t, _ in held]))
-        yield pd.DataFrame({"device_id": [key[0]], "event_ids": [[i for _, i in held]]})
-
-    return (events.select("device_id", "event_id", "timestamp").groupBy("device_id")
-            .applyInPandasWithState(update, LAST_SCHEMA, LAST_STATE, "update", GroupStateTimeout.NoTimeout))
+    rows = events.withColumn("_tags", tags).select("*", F.posexplode("_tags").alias("_n", "_tag"))
+    cells = (rows.withWatermark("ts", delay)
+             .groupBy("employee_id", F.window("ts", gap).alias("cell"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"))
+             .agg(F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last"),
+                  F.count_if(F.col("_n") == 0).alias("events"), F.max("risk_score").alias("max_risk"), F.collect_set("_tag").alias("tags")))
+    found = cells.groupBy("employee_id").transformWithState(
+        SessionsOfCells(micros(gap)), SESSION_SCHEMA, "Append", "EventTime")
+    return found.selectExpr("employee_id", "timestamp_micros(first) AS session_start", "timestamp_micros(last) AS session_end",
+                            "events", "max_risk", "tags")
+
+
+def last_events(events: DataFrame, keep: int = 100, idle: str = "30 days", delay: str = "10 minutes") -> DataFrame:
+    """The ids of each device's newest events, as state of at most ``keep`` entries (output mode ``update``).
+
+    A device that sends nothing for ``idle`` is forgotten, with a last row without ids. Events more than
+    ``delay`` behind the newest one are left out; ``split_late`` keeps them.
+    """
+    use_state_store(events.sparkSession)
+    rows = events.select("device_id", "event_id", "timestamp", "ts").withWatermark("ts", delay)
+    return rows.groupBy("device_id").transformWithState(NewestEvents(keep, micros(idle) // 1000), LAST_SCHEMA, "Update", "EventTime")
