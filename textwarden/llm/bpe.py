@@ -245,7 +245,6 @@ def coded(documents: DataFrame, source: str, text_col: str, columns: list[T.Stru
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), *(pa.array(v) for v in values)], ["_row", *added])
                 del texts, values
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     out = map_batches(packed, work, T.StructType([packed.schema["_row"], *columns]))
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *added)

@@ -122,8 +122,6 @@ def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         ids, codes, vocabulary, held = [], [], _Codes(), 0
         if ids:
             yield from _shard(number, ids, codes, vocabulary)
-        del ids, codes, vocabulary
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return stored(map_batches(texts, work, _INDEX), "lexical-index")
 
@@ -306,7 +304,6 @@ def _searched(n_documents: int, n_terms: int, top: int):
                     lists[term] = _List(a, b, spread)
         close_shard()
         yield from results()
-        pa.default_memory_pool().release_unused()
 
     return work
 

@@ -38,18 +38,18 @@ from textwarden.llm.common import map_batches, stored
 #: labelled texts of a class that the lexicon and the calibration learn from, about
 MOST_TRAINING = 20_000
 #: pseudo-count of the prior, as a share of the training words; it goes to the tokens by their share of all documents
-PRIOR = 0.1
+PRIOR = 0.03
 #: a token enters the lexicon at this many standard errors, and from this many training texts on
-LEAST_Z, LEAST_COUNT = 3.0, 4
+LEAST_Z, LEAST_COUNT = 4.0, 4
 PREFIXES = (6, 5, 4)
-#: what a clean word loses on average, at least
-MARGIN = 0.05
+#: what a word loses on average, at least, in all but this share of the clean texts
+MARGIN, RARE = 0.05, 0.005
 #: segments up to this E-value are significant
-MOST_E = 0.5
+MOST_E = 0.001
 #: filter of the tokens that occur often enough in training texts: 2 ** 24 bits, 2 MiB
 FILTER_BITS = 24
-#: words that a task counts or remembers at a time
-REMEMBERED = 200_000
+#: different words that a task counts before it reports, and that it remembers
+COUNTED, REMEMBERED = 500_000, 200_000
 ADDED = ["score", "predicted", "passages"]
 _PUNCTUATION = string.punctuation + "¡¿«»…–—“”‘’"
 
@@ -96,11 +96,12 @@ class Model:
     k: float = 1.0
     slope: float = 0.0
     intercept: float = -50.0
+    most_e: float = MOST_E
 
     def evidence(self, n_words: int, segments: list[tuple[int, int, float]]) -> tuple[float, list[tuple]]:
         """Sum of -log E over the significant segments, and these with their E-values."""
         found = [(a, b, s, self.k * n_words * math.exp(-self.lambda_ * s)) for a, b, s in segments]
-        found = [x for x in found if x[3] <= MOST_E]
+        found = [x for x in found if x[3] <= self.most_e]
         return sum(-math.log(max(x[3], 1e-300)) for x in found), found
 
     def score(self, evidence: float) -> float:
@@ -109,23 +110,28 @@ class Model:
 
 def word_score(word: str, lexicon: dict[int, float]) -> float:
     """The log-odds of a word's most specific token in the lexicon, 0 without one."""
-    return next((lexicon[t] for t in tokens_of(word) if t in lexicon), 0.0)
+    for token in tokens_of(word):
+        if token in lexicon:
+            return lexicon[token]
+    return 0.0
 
 
 class Scanner:
-    """Finds scoring words; remembers a bounded number of words."""
+    """Finds scoring words; remembers at least the last ``REMEMBERED`` different words, and at most twice as many."""
 
     def __init__(self, model: Model):
-        self.model, self.seen, self.hot = model, set(), {}
+        self.model = model
+        self.seen, self.hot, self.older, self.older_hot = set(), {}, set(), {}
 
     def split(self, text: str | None) -> list[str]:
         """The words of a text, whose scores are known from then on."""
         words = (text or "").split()
         new = set(words) - self.seen
         if len(self.seen) > REMEMBERED:
-            self.seen, self.hot, new = set(), {}, set(words)
+            self.older, self.older_hot, self.seen, self.hot = self.seen, self.hot, set(), {}
+            new = set(words)
         for word in new:
-            score = word_score(word, self.model.lexicon)
+            score = self.older_hot.get(word, 0.0) if word in self.older else word_score(word, self.model.lexicon)
             if score:
                 self.hot[word] = score
         self.seen |= new
@@ -176,7 +182,7 @@ def _count_tokens(texts: DataFrame, keep=None) -> DataFrame:
         for batch in batches:
             for text, label in zip(*(c.to_pylist() for c in batch.columns)):
                 counts.setdefault(-1 if label is None else label, Counter()).update(set((text or "").split()))
-            if sum(map(len, counts.values())) > REMEMBERED:
+            if sum(map(len, counts.values())) > COUNTED:
                 yield from report(counts)
                 counts = {}
         yield from report(counts)
@@ -211,8 +217,11 @@ def _lexicon(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str
     return dict(zip(strong["token"].to_pylist(), strong["odds"].to_pylist()))
 
 
-def _clean_words(texts: DataFrame, model: Model) -> list[tuple[float, int]]:
-    """How many words of clean training texts have each score, to two places; a bounded number of rows."""
+def _clean_words(texts: DataFrame, model: Model) -> tuple[list[tuple[float, int]], list[tuple[float, int]]]:
+    """How many words of clean training texts have each score, and how many of the texts each mean score, to two places.
+
+    A bounded number of rows, as scores are log-odds.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
@@ -220,17 +229,26 @@ def _clean_words(texts: DataFrame, model: Model) -> list[tuple[float, int]]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = scanner.split(text)
-                counts.update(round(scanner.hot.get(w, 0.0), 2) for w in words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(counts.values(), pa.int64())], ["score", "n"])
+                scores = [scanner.hot.get(w, 0.0) for w in words]
+                counts.update((0, round(s, 2)) for s in scores)
+                if scores:
+                    counts[1, round(sum(scores) / len(scores), 2)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.int32()), pa.array([s for _, s in counts], pa.float64()),
+                                          pa.array(counts.values(), pa.int64())], ["kind", "score", "n"])
 
-    rows = map_batches(texts.filter("toxic = 0").select("text"), work, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
-    return [(r.score, r.n) for r in rows.collect()]
+    rows = (map_batches(texts.filter("toxic = 0").select("text"), work, "kind int, score double, n long")
+            .groupBy("kind", "score").agg(F.sum("n").alias("n")).collect())
+    return tuple([(r.score, r.n) for r in rows if r.kind == kind] for kind in (0, 1))
 
 
-def drift_of(scores: list[tuple[float, int]]) -> float:
-    """The cost of a word at which clean words lose ``MARGIN`` on average."""
-    total = sum(n for _, n in scores)
-    return max(0.0, sum(s * n for s, n in scores) / total + MARGIN) if total else MARGIN
+def drift_of(means: list[tuple[float, int]]) -> float:
+    """The cost of a word at which all but ``RARE`` of the clean texts lose ``MARGIN`` a word on average."""
+    left = RARE * sum(n for _, n in means)
+    for mean, n in sorted(means, reverse=True):
+        left -= n
+        if left < 0:
+            return max(0.0, mean) + MARGIN
+    return MARGIN
 
 
 def lambda_of(scores: list[tuple[float, int]], drift: float) -> float:
@@ -275,11 +293,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lexicon = _lexicon(documents, sample, id_col, text_col)
     if not lexicon:
         return Model()
-    model = Model(lexicon)
+    model = Model(lexicon, most_e=MOST_E)
     spark = documents.sparkSession
     texts = _labelled(documents, sample, id_col, text_col, "inner")
-    scores = _clean_words(texts, model)
-    model.drift = drift_of(scores)
+    scores, means = _clean_words(texts, model)
+    model.drift = drift_of(means)
     model.lambda_ = lambda_of(scores, model.drift)
     first = spark.sparkContext.broadcast(model)
 
@@ -295,7 +313,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     clean = scanned.filter("toxic = 0").agg(F.sum("words").alias("words"), F.sum(F.size("segments")).alias("n")).first()
     model.k = ((clean.n or 0) + 1) / max(1, clean.words or 0)
     e = f"{model.k!r}D * words * exp(-{model.lambda_!r}D * s)"
-    evidence = F.expr(f"aggregate(filter(segments, s -> {e} <= {MOST_E}), 0D, (a, s) -> a - ln(greatest({e}, 1e-300D)))")
+    evidence = F.expr(f"aggregate(filter(segments, s -> {e} <= {model.most_e}), 0D, (a, s) -> a - ln(greatest({e}, 1e-300D)))")
     bins = (scanned.groupBy(F.round(F.least(evidence, F.lit(1000.0)), 1).alias("x"))
             .agg(F.count_if(F.expr("toxic = 0")).alias("clean"), F.count_if(F.expr("toxic = 1")).alias("toxic")).collect())
     model.slope, model.intercept = _logistic(sorted((r.x, r.clean, r.toxic) for r in bins))  # at most 10,001 rows
