@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from textwarden.plans import oracle
+from textwarden.plans import oracle, oracle_variants
 from textwarden.plans.queries import REGISTRY
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, SQL = REGISTRY, oracle.all_sql()
+QUERIES, SQL = REGISTRY, oracle.all_sql() | oracle_variants.all_sql()
 
 
 @pytest.fixture(scope="module")

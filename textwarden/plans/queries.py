@@ -766,3 +766,7 @@ def length_profile(spark, sf):
     sized = planted(spark, sf).selectExpr(f"CAST({utf16_length('text')} AS INT) AS n")
     return (sized.selectExpr("n", f"{risk.volume_factor('n')} AS volume").groupBy("volume")
             .agg(F.count(F.lit(1)).alias("payloads"), F.min("n").alias("shortest"), F.max("n").alias("longest")))
+
+
+# the other modules of queries register theirs here
+from textwarden.plans import streams, variants  # noqa: E402, F401
