@@ -72,6 +72,36 @@ def detect(df: DataFrame, text: str = "text", options: ScanOptions = DEFAULTS) -
     return sealed(classified, keep, SIGNALS)
 
 
+def _plain(df: DataFrame, text: str, *more: str) -> tuple[DataFrame, list[str]]:
+    """Scannable payloads with the text with plain blanks, then the given columns; and the kept columns."""
+    keep = [c for c in df.columns if c != text]
+    plain = scannable(df, text).selectExpr(*keep, text, f"{plain_blanks(text)} AS _plain")
+    return plain.selectExpr("*", *more), keep
+
+
+def with_secrets(df: DataFrame, text: str = "text", options: ScanOptions = DEFAULTS) -> DataFrame:
+    """Only the tokens that look like secrets (``secrets``), without the other signals."""
+    plain, keep = _plain(df, text, f"{entropy.tokens('_plain', entropy.shortest_secret(options.entropy_threshold))} AS _tokens")
+    found = plain.selectExpr(*keep, f"{entropy.secret_findings('_tokens', options.entropy_threshold)} AS secrets")
+    return sealed(found, keep, ["secrets"])
+
+
+def with_narrative(df: DataFrame, text: str = "text") -> DataFrame:
+    """Only the narrative indicators (``narrative``), without the other signals."""
+    plain, keep = _plain(df, text, "lower(_plain) AS _low", "(contains(_plain, '=') OR contains(_plain, ':')) AS _assign")
+    found = (plain.selectExpr(*keep, f"{narrative.indicator_counts()} AS _counts")
+             .selectExpr(*keep, f"{narrative.found('_counts')} AS _found"))
+    return sealed(found.selectExpr(*keep, f"{narrative.narrative('_found')} AS narrative"), keep, ["narrative"])
+
+
+def with_classifier(df: DataFrame, text: str = "text") -> DataFrame:
+    """Only the linear classifier (``classifier``), without the other signals."""
+    plain, keep = _plain(df, text, "lower(_plain) AS _low", f"CAST({utf16_length(text)} AS INT) AS text_length")
+    scored = (plain.selectExpr(*keep, "text_length", f"{linear.feature_hits()} AS _features")
+              .selectExpr(*keep, "_features", f"{linear.raw_score('_features', 'text_length')} AS _score"))
+    return sealed(scored.selectExpr(*keep, f"{linear.classify('_score', '_features')} AS classifier"), keep, ["classifier"])
+
+
 def names_codename(codenames: tuple[str, ...], text: str = "_plain") -> str:
     """True when the text holds one of the watched names as whole words, in any case."""
     if not codenames:

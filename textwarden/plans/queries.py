@@ -12,7 +12,7 @@ from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
 from textwarden.operators import analytics, evaluate, events as ev, gradient, keys, policies, redact, rule_table, sessions, training, watchlist
 from textwarden.operators.files import quarantined, scan_typed, with_extension
-from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_gates, with_hits
+from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_classifier, with_gates, with_hits, with_narrative, with_secrets
 from textwarden.operators.sealed import sealed
 from textwarden.options import ScanOptions
 from textwarden.sources import adapters
@@ -140,13 +140,13 @@ def bulk_csv_blocks(spark, sf):
 
 @query
 def entropy_tokens(spark, sf):
-    found = signals(spark, sf).select("doc_id", F.inline("secrets"))
+    found = with_secrets(planted(spark, sf).select("doc_id", "text")).select("doc_id", F.inline("secrets"))
     return found.selectExpr("doc_id", "token", "entropy", "density", "reason", "length")
 
 
 @query
 def entropy_reasons(spark, sf):
-    found = signals(spark, sf).select(F.inline("secrets"))
+    found = with_secrets(planted(spark, sf).select("doc_id", "text")).select(F.inline("secrets"))
     return (found.groupBy(F.expr("CASE WHEN reason LIKE 'HIGH_ENTROPY (%' THEN 'HIGH_ENTROPY' ELSE reason END").alias("reason"))
             .agg(F.count(F.lit(1)).alias("tokens"), F.max("length").alias("longest")))
 
@@ -167,7 +167,7 @@ def text_entropy(spark, sf):
 
 @query
 def narrative_scores(spark, sf):
-    return signals(spark, sf).selectExpr(
+    return with_narrative(planted(spark, sf).select("doc_id", "text")).selectExpr(
         "doc_id", "narrative.detected AS detected", "narrative.score AS score", "narrative.sensitivity AS sensitivity",
         "array_join(narrative.categories, ',') AS categories", f"{joined('narrative.tags')} AS tags"
     ).filter("score > 0")
@@ -175,20 +175,20 @@ def narrative_scores(spark, sf):
 
 @query
 def narrative_rollup(spark, sf):
-    found = signals(spark, sf).select(F.inline("narrative.findings"))
+    found = with_narrative(planted(spark, sf).select("doc_id", "text")).select(F.inline("narrative.findings"))
     return found.groupBy("id", "category").agg(F.count(F.lit(1)).alias("payloads"), F.sum("n").alias("matches"))
 
 
 @query
 def linear_scores(spark, sf):
-    return signals(spark, sf).selectExpr(
+    return with_classifier(planted(spark, sf).select("doc_id", "text")).selectExpr(
         "doc_id", "classifier.probability AS probability", "classifier.sensitive AS sensitive",
         "classifier.confidence AS confidence", "classifier.sensitivity_score AS sensitivity_score")
 
 
 @query
 def top_features(spark, sf):
-    return signals(spark, sf).selectExpr(
+    return with_classifier(planted(spark, sf).select("doc_id", "text")).selectExpr(
         "doc_id", "array_join(classifier.top_features, '|') AS features").filter("features <> ''")
 
 
@@ -676,17 +676,24 @@ def label_by_language(spark, sf):
     return evaluate.category_accuracy(scored)
 
 
+def split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents in parts and folds, written once for the many passes of a fit."""
+    folder = scratch(spark, "split")
+    training.stratified_split(labelled(spark, sf), "doc_id").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 @query
 def model_report(spark, sf):
     """TF-IDF model trained on the labelled documents; hold-out metrics."""
-    split = training.stratified_split(labelled(spark, sf), "doc_id").persist()
+    split = split_rows(spark, sf)
     model = training.fit(split.filter("part = 'train'"))
     return training.score(training.predict(model, split.filter("part = 'test'")))
 
 
 @query
 def model_cross_validation(spark, sf):
-    return training.cross_validate(training.stratified_split(labelled(spark, sf), "doc_id").persist())
+    return training.cross_validate(split_rows(spark, sf))
 
 
 def model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
