@@ -39,7 +39,9 @@ WORDS = 3
 SIMILARITY = Fraction(9, 10)
 CELLS = 3
 #: a task stars its signatures when it holds this many
-HELD = 1 << 21
+HELD = 1 << 20
+#: texts that are taken out of a batch at a time
+TEXTS = 512
 #: filter of the documents in candidate pairs: 2 ** 24 bits, 2 MiB
 FILTER_BITS = 24
 _A, _B, _C, _D = (np.uint64(x) for x in (
@@ -129,6 +131,11 @@ def _rows(sig: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a), other], ["sig", "a", "b"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], words: int, similarity: Fraction) -> Iterator[pa.RecordBatch]:
     """(sig, a, null) of the smallest document of each signature met, (sig, a, b) of the others."""
     bands, held, classes, size = Bands(similarity), [], {}, 0
@@ -139,7 +146,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, similarity: Fraction)
         yield _rows(sig[lead], doc[lead], None)
         yield _rows(sig[~lead], low[~lead], doc[~lead])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
             hashes = shingles(text, words)
             if doc is None or not len(hashes):
@@ -181,7 +188,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measured(documents: DataFrame, words: int) -> DataFrame:
     """(id, n_shingles, class): the digest of each document's set."""
     def work(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
