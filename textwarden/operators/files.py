@@ -39,18 +39,24 @@ def quarantined(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
                 "concat('High-risk file extension (', ext, ') blocked from external upload.') AS reason"))
 
 
-def text_files(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
-    """Text-like files on their way out, with their whole content as text.
-
-    Bytes that are not valid UTF-8 become replacement characters, so no file ends the job.
-    """
+def text_like(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
+    """Text-like files on their way out that are to be scanned."""
     named = with_extension(files)
     mime = "OR coalesce(mime, '') LIKE 'text/%'" if "mime" in files.columns else ""
     wanted = named.filter(
         f"(ext IN {_in(TEXT_EXTENSIONS)} {mime}) AND length > 0 AND tier IN {_in(EXTERNAL_TIERS)}")
     if options.quarantine_files:
         wanted = wanted.filter(f"ext NOT IN {_in(RESTRICTED_EXTENSIONS)}")
-    return wanted.selectExpr(
+    return wanted
+
+
+def text_files(files: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
+    """Text-like files on their way out, with their whole content as text.
+
+    Bytes that are not valid UTF-8 become replacement characters, so no file ends the job.
+    Large files are better read in pieces (``large_files``).
+    """
+    return text_like(files, options).selectExpr(
         "path", "name", "host", "'file_upload' AS action_type",
         "make_valid_utf8(cast(content AS string)) AS text")
 

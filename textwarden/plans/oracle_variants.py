@@ -14,6 +14,12 @@ def catalogue() -> str:
   FROM (SELECT doc_id, {o.pick(o.HOSTS, 'doc_id')} AS host, {o.pick(o.ACTIONS, 'doc_id')} AS action_type, [{rows}][1 + doc_id % {len(ATTACKS)}] AS a FROM documents))"""
 
 
+def whole_files() -> str:
+    """Documents with their fragment, joined to sixteen texts."""
+    return f"""parts AS (SELECT doc_id, text || chr(10) || {o.fragment_sql()} AS text FROM documents),
+planted AS (SELECT doc_id % 16 AS doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY parts.doc_id) AS text FROM parts GROUP BY parts.doc_id % 16)"""
+
+
 def all_sql() -> dict[str, str]:
     name = f"{o.names(NAMES)}[1 + doc_id % {len(NAMES)}]"
     text = f"regexp_extract(lower({name}), '\\.[^.]*$') IN ({', '.join(map(o.q, fv.TEXT_EXTENSIONS))})"
@@ -26,6 +32,9 @@ def all_sql() -> dict[str, str]:
         "text_file_verdicts": f"""WITH {o.SIGNALS}, filed AS (SELECT s.*, p.host, 'file_upload' AS action_type FROM signals s JOIN planted p USING (doc_id)
             WHERE {text.replace('doc_id', 's.doc_id')} AND NOT {restricted.replace('doc_id', 's.doc_id')}), {o.judged('filed', 'doc_id').format(rules=o.BUILT_IN)}
             SELECT '/out/' || doc_id || '/' || {name} AS path, tier, risk_score, final_decision FROM judged WHERE {o.EXTERNAL} AND final_decision IN ('BLOCK', 'WARN')""",
+        "large_file_signals": f"""WITH {o.SIGNALS.replace(o.PLANTED, whole_files())}
+            SELECT CAST(doc_id AS INT) AS file, text_length, array_to_string(list_transform(findings, lambda f: f.detector || ':' || f.n), ',') AS found, secrets,
+              least(100, nweight) AS narrative_score, probability, coalesce(features, '') AS features FROM signals""",
         "quarantine_off": f"""WITH f AS (SELECT regexp_extract(lower({name}), '\\.[^.]*$') AS ext, {o.pick(o.HOSTS, 'doc_id')} AS host FROM documents WHERE {text}),
             t AS (SELECT ext, {o.tier('host', o.root_domain('host'))} AS tier FROM f) SELECT ext, tier, count(*) AS files FROM t WHERE {o.EXTERNAL} GROUP BY 1, 2""",
         "one_event": o.from_events("SELECT event_id, timestamp, risk_score, action, content_length FROM ev WHERE event_id = (SELECT min(event_id) FROM ev)"),

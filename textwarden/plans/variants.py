@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from textwarden.functions import risk
 from textwarden.operators import evaluate, events as ev, policies, training
 from textwarden.operators.files import scan_files, text_files, with_extension
+from textwarden.operators.large_files import detect_files
 from textwarden.operators.scan import detect, judge, scan, summarize_signals
 from textwarden.options import ScanOptions
 from textwarden.plans.queries import egress, event_rows, planted, query, rule_store, verdicts
 from textwarden.sources import adapters, sinks
+from textwarden.sources.ranges import list_files
 from textwarden.sources.tables import scratch, table
 
 NAMES = ["notes.txt", "prod.env", "id.pem", "table.csv", "photo.png", "README", "vault.kdbx", "a.b.SQL"]
@@ -43,6 +45,21 @@ def text_file_verdicts(spark, sf):
     return scan_files(files_of(spark, sf)).select("path", "tier", "risk_score", "final_decision")
 
 
+@query
+def large_file_signals(spark, sf):
+    """Sixteen files of many documents, read in pieces of about 64 KiB: what the scan finds in each whole file."""
+    folder = scratch(spark, "large-files")
+    docs = planted(spark, sf).selectExpr("doc_id % 16 AS file", "doc_id", "concat(text, '\n') AS text")
+    # one file per number, its documents in order, an empty line behind each
+    (docs.repartition(16, "file").sortWithinPartitions("file", "doc_id").select("file", "text")
+     .write.partitionBy("file").text(f"{folder}/files"))
+    files = list_files(spark, f"{folder}/files", "*.txt").withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("int"))
+    found = detect_files(files, 65_536)
+    return found.selectExpr(
+        "file", "text_length", "array_join(transform(findings, f -> concat(f.detector, ':', f.n)), ',') AS found", "size(secrets) AS secrets",
+        "narrative.score AS narrative_score", "classifier.probability AS probability", "array_join(classifier.top_features, '|') AS features")
+
+
 @query
 def quarantine_off(spark, sf):
     """Text files that are scanned when restricted types are not blocked outright."""
