@@ -89,7 +89,7 @@ def sent(spark: SparkSession, sf: str, folder: str, cuts: int = 1) -> None:
 @query
 def stream_alerts(spark, sf):
     """The alert documents that the stream delivered."""
-    folder, session = scratch(spark, "stream-alerts"), streaming(spark)
+    folder, session = scratch(spark, "stream-alerts"), spark  # no state, and sinks are looked up in the active session
     sent(spark, sf, folder, 2)
     finished(jobs.alert_stream(batches_of(session, f"{folder}/in", ev.EVENT_SCHEMA), f"{folder}/alerts", name=named(folder), once=True))
     return read_alerts(spark, f"{folder}/alerts", "event_id string, text string, risk_score int, action string, timestamp bigint")
