@@ -44,6 +44,19 @@ def test_against_all_windows(spark, docs):
     assert licences.scan(docs([])).count() == 0
 
 
+def test_rows_of_one_id_are_texts_of_their_own(spark, docs):
+    words = licences.NOTICES[4][1].split()
+    half = len(words) // 2
+    halves = [(7, " ".join(words[:half])), (7, " ".join(words[half:])), (None, licences.NOTICES[0][1]), (None, licences.NOTICES[0][1])]
+    assert [(r.doc_id, r.license) for r in licences.scan(docs(halves)).collect()] == [(None, "MIT")] * 2
+
+
+def test_least_probability_of_a_meeting():
+    """A window of almost four template lengths, full of other templates beside four fifths of this one."""
+    similarity = 0.8 / (1 + 4 - 0.8)
+    assert 1 - (1 - similarity ** licences.ROWS) ** licences.BANDS > 0.997
+
+
 def test_plan_is_native(spark, docs, capsys):
     licences.scan(docs([(1, "a b c d e f")])).explain()
     plan = capsys.readouterr().out

@@ -55,6 +55,29 @@ def test_against_brute_force(spark, docs):
     assert "line" in out.columns and line_quality.judge_lines(docs([])).count() == 0
 
 
+def test_cut_texts_lose_the_frequent_lines(spark, docs):
+    rng = random.Random(8)
+    notes = ["Subscribe to our   newsletter", "subscribe to OUR newsletter ", "all rights reserved", "só"]
+    rows = []
+    for i in range(90):
+        lines = [f"line {rng.randint(0, 500)} of text" for _ in range(rng.randint(0, 4))] + rng.sample(notes, rng.randint(0, 3)) + ["", " "]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["h", "g", "", None])))
+    rows += [(5, None, "h"), (5, "", "h"), (None, notes[2], "h"), (6, "\n".join(notes * 2000), None)]
+    norm = lambda x: " ".join(WORDS.findall(x)).translate(LOWER)
+    held, texts = {}, {}
+    for _, text, host in rows:
+        texts.setdefault(host, set()).add(text or "")
+        for line in {norm(x) for x in (text or "").split("\n")} - {""}:
+            held.setdefault((host, line), set()).add(text or "")
+    above = {k for k, v in held.items() if len(v) >= 4 and 100 * len(v) > 3 * len(texts[k[0]])}
+    want = [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h, norm(x)) not in above), h) for i, t, h in rows]
+    df = docs(rows).withColumn("gone", F.lit("clash"))
+    out = line_quality.cut_lines(df, least_documents=4, most_share=3)
+    assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert out.columns == df.columns and above and line_quality.cut_lines(docs([])).count() == 0
+
+
 def test_exact_copies_count_once(spark, docs):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(i, text, "h") for i in range(60)] + [(100 + i, f"{text} {i}", "h") for i in range(5)]

@@ -3,16 +3,16 @@
 Templates and texts are sets of five-word shingles. Templates fall into size classes by powers
 of two; a class of up to ``s`` shingles looks at windows of ``2 * s`` shingles, ``s`` apart, so
 every passage of a template's length lies whole in a window. A window meets a template if they
-share a MinHash band; two rows a band and 48 bands find a similarity of 0.36 (four fifths of a
-template in a window of twice its size) with a probability of 0.998, and 0.5 or more with
-0.999999. Every meeting is then verified: the share of the template's shingles that the window
+share a MinHash band of two rows. A class is less than twice a template, so a window has less than
+four template lengths; even one that is full of other templates' shingles beside four fifths of a
+template has a similarity of 0.8 / 4.2, which 160 bands find with a probability of 0.997. Every meeting is then verified: the share of the template's shingles that the window
 holds must reach ``LEAST``. Shingles that no template has cannot make a band meet and are left
 out of the windows first, which changes no match and only raises the similarity.
 
 Everything is column expressions. Templates are a small table that the caller gives; their size
 is checked. Defined results: words are runs of letters and digits in lower case; texts with
 fewer than five words, null and empty ones hold nothing; null and repeated ids are scanned row
-by row under their id. Other columns are not read.
+by row, each with results of its own under its id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 48, 2
+BANDS, ROWS = 160, 2
 #: templates may hold this many shingles together; they travel with the plan
 MOST_SHINGLES = 20_000
 
@@ -83,22 +83,22 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = ", ".join(f"{h}L" if h > -(1 << 63) else "(-9223372036854775807L - 1L)" for h in {r.h for r in rows})
     classes = ", ".join(map(str, sorted({r["class"] for r in rows})))
 
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = (f"filter(transform({_shingles('text')}, (h, i) -> named_struct('at', i, 'h', h)), "
              f"x -> x.h IN ({vocabulary}))")
     # an outer generator keeps the optimizer from repeating the scan in a filter below it
-    held = texts.select("id", F.expr(f"inline_outer({found})")).filter("h IS NOT NULL")
+    held = texts.select("row", "id", F.expr(f"inline_outer({found})")).filter("h IS NOT NULL")
     # each shingle lies in the window that begins at the class step before it and in the one before that
     places = f"""inline(flatten(transform(array({classes}), c -> array(
         named_struct('class', c, 'window', at div c), named_struct('class', c, 'window', at div c - 1)))))"""
-    windows = (held.select("id", "at", "h", F.expr(places)).groupBy("id", "class", "window")
+    windows = (held.select("row", "id", "at", "h", F.expr(places)).groupBy("row", "id", "class", "window")
                .agg(F.collect_set("h").alias("shingles"), F.min("at").alias("first_word")))
-    met = (windows.select("id", "class", "shingles", "first_word", F.explode(F.expr(_bands("shingles"))).alias("band"))
+    met = (windows.select("row", "id", "class", "shingles", "first_word", F.explode(F.expr(_bands("shingles"))).alias("band"))
            .join(F.broadcast(known.select("class", "license", "template", F.explode(F.expr(_bands("template"))).alias("band"))),
                  ["class", "band"]))
     shared = F.size(F.array_intersect("shingles", "template"))
-    verified = met.select("id", "license", shared.cast("long").alias("n_shared"),
+    verified = met.select("row", "id", "license", shared.cast("long").alias("n_shared"),
                           F.size("template").cast("long").alias("n_shingles"), F.col("first_word").cast("long").alias("at"))
-    return (verified.filter(F.col("n_shared") >= F.col("n_shingles") * F.lit(least)).groupBy("id", "license")
+    return (verified.filter(F.col("n_shared") >= F.col("n_shingles") * F.lit(least)).groupBy("row", "id", "license")
             .agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"),
-                 F.min("at").alias("first_word")).withColumnRenamed("id", id_col))
+                 F.min("at").alias("first_word")).drop("row").withColumnRenamed("id", id_col))

@@ -97,16 +97,8 @@ def _measured(packed: DataFrame) -> DataFrame:
          *(T.StructField(f"_{m}", T.LongType()) for m in MEASURES), T.StructField("lines", T.ArrayType(line))]))
 
 
-def judge_lines(documents: DataFrame, host_col: str = "source", text_col: str = "text",
-                least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE,
-                most_removed: float = MOST_REMOVED) -> DataFrame:
-    """The documents (without their text) with measures, base_failed, removed_words and kept."""
-    keep = [c for c in documents.columns if c not in ADDED and c != text_col]
-    host = F.col(host_col).cast("string")
-    packed = documents.select(F.col(text_col).cast("string").cast("binary").alias("_text"),
-                              host.isNull().alias("no_host"), F.coalesce(host, F.lit("")).alias("host"),
-                              F.struct(*keep).alias("_row"))
-    measured = stored(_measured(packed), "line-quality")
+def _frequent(measured: DataFrame, least_documents: int, most_share: float) -> tuple[DataFrame, DataFrame]:
+    """(host, line) of the lines above the limits, and the lines of each distinct text of a host."""
     text = ["no_host", "host", "text_hash"]
     distinct = measured.groupBy(*text).agg(F.any_value("lines").alias("lines"))
     lines = stored(distinct.select(*text, F.inline("lines")), "host-lines")
@@ -115,7 +107,25 @@ def judge_lines(documents: DataFrame, host_col: str = "source", text_col: str =
     frequent = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_documents)
     frequent = (salted_join(frequent, totals, ["no_host", "host"], F.col("line"))
                 .filter(F.col("n") * 100 > F.col("documents") * most_share).select(*key))
-    removed = (salted_join(lines, frequent, key, F.col("text_hash"))
+    return frequent, lines
+
+
+def _packed(documents: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
+    host = F.col(host_col).cast("string")
+    return documents.select(F.col(text_col).cast("string").cast("binary").alias("_text"),
+                            host.isNull().alias("no_host"), F.coalesce(host, F.lit("")).alias("host"),
+                            F.struct(*keep).alias("_row"))
+
+
+def judge_lines(documents: DataFrame, host_col: str = "source", text_col: str = "text",
+                least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE,
+                most_removed: float = MOST_REMOVED) -> DataFrame:
+    """The documents (without their text) with measures, base_failed, removed_words and kept."""
+    keep = [c for c in documents.columns if c not in ADDED and c != text_col]
+    measured = stored(_measured(_packed(documents, keep, host_col, text_col)), "line-quality")
+    text = ["no_host", "host", "text_hash"]
+    frequent, lines = _frequent(measured, least_documents, most_share)
+    removed = (salted_join(lines, frequent, ["no_host", "host", "line"], F.col("text_hash"))
                .groupBy(*text).agg(F.sum("words").alias("removed_words")))
     out = salted_join(measured.drop("lines"), removed, text, F.struct("_row"), "left")
     failed = ((F.col("_n_words") < LEAST_WORDS)
@@ -124,3 +134,43 @@ def judge_lines(documents: DataFrame, host_col: str = "source", text_col: str =
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *(F.col(f"_{m}").alias(m) for m in MEASURES),
                       failed.alias("base_failed"), lost.alias("removed_words"),
                       (~failed & (lost * 100 <= F.col("_n_words") * most_removed)).alias("kept"))
+
+
+def cut_lines(documents: DataFrame, host_col: str = "source", text_col: str = "text",
+              least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
+    """The documents with the lines above the limits taken out of their text; null texts stay null.
+
+    Only texts that hold such a line meet their list of lines, by the hash of the text; the others
+    pass through.
+    """
+    keep = [c for c in documents.columns if c != text_col]
+    packed = _packed(documents, keep, host_col, text_col)
+    text = ["no_host", "host", "text_hash"]
+    measured = stored(_measured(packed).select(*text, "lines").distinct(), "line-quality")
+    frequent, lines = _frequent(measured, least_documents, most_share)
+    gone = (salted_join(lines, frequent, ["no_host", "host", "line"], F.col("text_hash"))
+            .groupBy(*text).agg(F.collect_set("line").alias("gone")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxh3_128_digest(t or b"") for t in batch.column(0).to_pylist()], pa.binary())],
+                                             names=[*batch.schema.names, "text_hash"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_without(t, gone) for t, gone in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["_text", "_row"])
+
+    named = map_batches(packed, hashed, T.StructType([*packed.schema.fields, T.StructField("text_hash", T.BinaryType())]))
+    joined = salted_join(named, gone, text, F.struct("_row"), "left").select("_text", "_row", "gone")
+    done = map_batches(joined, cut, T.StructType([packed.schema["_text"], packed.schema["_row"]]))
+    return done.select(*(F.col("_text").cast("string").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in documents.columns))
+
+
+def _without(text: bytes | None, gone: list[int] | None) -> bytes | None:
+    """A text without the lines of these hashes."""
+    if text is None or not gone:
+        return text
+    lost = set(gone)
+    return b"\n".join(x for x in text.split(b"\n")
+                      if not (parts := x.split()) or xxh3_64_intdigest(b" ".join(parts).lower()) - (1 << 63) not in lost)
