@@ -12,9 +12,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: rows with whole texts travel to the workers in batches of at most this size, or a smaller one that the session sets
-BATCH_BYTES = 8 * 1024 * 1024
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: rows with whole texts travel to the workers in batches of at most so many, or fewer if the session says so
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -46,9 +46,8 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     """``mapInArrow`` whose function may use this package, over batches of bounded size."""
     spark = df.sparkSession
     ship(spark)
-    size = spark.conf.get(_BATCH_SETTING, None)
-    if size is not None and int(size.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
