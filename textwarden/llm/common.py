@@ -12,6 +12,8 @@ __all__ = ["map_batches", "salted_join", "shared_folder", "ship", "stored"]
 #: the white space that separates words, as bytes and as a Java character class
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: row groups of scratch tables, which a task holds while it writes
+BLOCK_BYTES = 16 * 1024 * 1024
 #: rows of one join key are dealt to this many tasks
 SALTS = 64
 
@@ -23,7 +25,7 @@ shared_folder = scratch
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -28,9 +28,9 @@ from textwarden.llm.common import map_batches, salted_join, stored
 
 TOP = 20
 #: a task closes a shard when it holds this many terms
-HELD = 1 << 20
+HELD = 1 << 19
 #: items of a block, and shards that a task goes through for a block
-BLOCK, SHARDS = 256, 4
+BLOCK, SHARDS = 256, 8
 #: texts that are taken out of a batch at a time
 TEXTS = 512
 #: documents of a window

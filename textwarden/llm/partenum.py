@@ -39,7 +39,7 @@ WORDS = 3
 SIMILARITY = Fraction(9, 10)
 CELLS = 3
 #: a task stars its signatures when it holds this many
-HELD = 1 << 20
+HELD = 1 << 19
 #: texts that are taken out of a batch at a time
 TEXTS = 512
 #: filter of the documents in candidate pairs: 2 ** 24 bits, 2 MiB

@@ -166,12 +166,12 @@ def _labelled(documents: DataFrame, sample: DataFrame, id_col: str, text_col: st
 def _count_tokens(texts: DataFrame, keep=None) -> DataFrame:
     """(token, toxic, n) summed over the distinct words of each text; ``keep`` is a broadcast filter of tokens."""
     def report(counts: dict[int, Counter]):
-        rows = Counter()
+        rows, kept, mask = Counter(), None if keep is None else keep.value.tobytes(), (1 << FILTER_BITS - 3) - 1
         for label, words in counts.items():
             rows[(-1, label)] += sum(words.values())
             for word, n in words.items():
                 for t in tokens_of(word):
-                    if keep is None or keep.value[t >> 3 & (1 << FILTER_BITS - 3) - 1] >> (t & 7) & 1:
+                    if kept is None or kept[t >> 3 & mask] >> (t & 7) & 1:
                         rows[(t, label)] += n
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int32()),
