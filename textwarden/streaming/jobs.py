@@ -128,8 +128,7 @@ def alert_stream(events: DataFrame, folder: str, name: str = "alerts", once: boo
     """Write every alert document exactly once (see ``alert_sink``); ``read_alerts`` gives them back."""
     spark = events.sparkSession
     ship(spark)
-    for session in (spark, SparkSession.getActiveSession() or spark):  # a sink is looked up in the active session
-        session.dataSource.register(AlertSink)
+    spark.dataSource.register(AlertSink)  # the session must be the active one, where sinks are looked up
     documents = ev.alert_payloads(events).select("event_id", "payload")
     return _start(documents.writeStream.format(AlertSink.name()).option("path", folder).outputMode("append"), spark, name, once)
 
