@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textwarden.functions import detectors
+from textwarden.functions.text import plain_blanks
 from textwarden.operators.large_files import detect_files, scan_large_files
 from textwarden.operators.scan import detect
 from textwarden.plans.queries import planted
 from textwarden.sources import ranges
-from textwarden.sources.ranges import list_files, pieces
+from textwarden.sources.ranges import list_files, outline, pieces
 
 
 def whole(spark, texts):
@@ -76,3 +78,26 @@ def test_a_hundred_megabytes(spark, tmp_path):
     row = scan_large_files(files, size).first()
     assert [(f.detector, f.n) for f in detect_files(files, size).first().findings] == [("EMAIL", n // 10_000 * 10_000)]
     assert row.final_decision in ("WARN", "BLOCK") and row.text_length == n // 10_000 * 10_000 * len(paragraph)
+
+
+def test_outlines_hold_the_same_connection_strings(spark):
+    rng = random.Random(5)
+    parts = ["postgres://", "mysql://u:", "redis://", "rediss://h", "mssql://", "Server = a", "server=", "Password = b", "password", "=", ":", ";", "@", "@h/x", "\"", "\n",
+             "\n\n", " " * 60, " \n ", "word " * 20, "x" * 70, "one\n" * 20, "it's " * 15, "\u2003" * 50, "\u2028 tail " * 9]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    rows = [(i, t, outline(t)) for i, t in enumerate(texts)]
+    assert sum(len(r[2]) for r in rows) < 0.9 * sum(map(len, texts))
+    df = spark.createDataFrame(rows, "id int, whole string, outline string").repartition(8)
+    counts = [df.selectExpr("id", f"{plain_blanks(c)} AS _plain").selectExpr("*", *detectors.gate_columns()).selectExpr(
+        "id", f"{detectors.connection_counts()} AS n").collect() for c in ("whole", "outline")]
+    assert sorted(counts[0]) == sorted(counts[1]) and all(any(r.n[k] for r in counts[0]) for k in (0, 2, 3, 4))
+
+
+def test_files_are_cut_behind_connection_strings(spark, tmp_path):
+    """One scheme at the start of a file leaves no piece much longer than asked for, and tasks do not depend on the rows' size."""
+    (tmp_path / "a.txt").write_bytes(b"postgres://u:p" + b" and so it goes.\n\nOn" * 4000 + b"@host/x end")
+    files = list_files(spark, f"file://{tmp_path}")
+    found = pieces(files, 10_000)
+    assert found.count() > 5 and max(r.end - r.start for r in found.collect()) < 25_000
+    assert ranges.read_pieces(found, 8).rdd.getNumPartitions() == 8
+    assert [(f.detector, f.n) for f in detect_files(files, 10_000).first().findings] == [("DB_POSTGRES", 1)]

@@ -2,8 +2,9 @@
 
 Pieces are scanned like payloads, but keep raw counts; counts add up per file, and what depends on
 them (thresholds, the checksum rule for cards, the classifier's sum) is decided once on the sums.
-The result is that of scanning the whole text in one row, but for the hash, which is that of the
-file's label.
+Connection strings, which may reach over any distance, are counted in the file's outline, the only
+thing of a file that one task sees whole. The result is that of scanning the whole text in one row,
+but for the hash, which is that of the file's label.
 """
 
 from __future__ import annotations
@@ -12,29 +13,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from textwarden.fixed_values import DETECTORS, INDICATORS
 from textwarden.functions import detectors, entropy, linear, narrative
-from textwarden.functions.text import utf16_length
+from textwarden.functions.text import plain_blanks, utf16_length
 from textwarden.operators.files import text_like
 from textwarden.operators.scan import SIGNALS, judge, scannable, summarize_signals, with_gates
 from textwarden.operators.sealed import sealed
 from textwarden.options import DEFAULTS, ScanOptions
-from textwarden.sources.ranges import RANGE_BYTES, pieces, read_pieces
+from textwarden.sources.ranges import RANGE_BYTES, pieces, read_pieces, read_tasks
+from textwarden.sources.tables import scratch
 
 _CARD = next(i for i, d in enumerate(DETECTORS) if d[0] == "CREDIT_CARD")
 
 
 def piece_counts(read: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
-    """Raw counts of each piece (path, start, text): numbers, features and secrets."""
+    """Raw counts of each piece (path, start, text, outline): numbers, features and secrets; and its outline."""
     found = with_gates(scannable(read), "text", options).selectExpr(
-        "path", "start", f"CAST({utf16_length('text')} AS BIGINT) AS text_length",
+        "path", "start", "outline", f"CAST({utf16_length('text')} AS BIGINT) AS text_length",
         f"concat({detectors.hit_counts()}, {narrative.indicator_counts()}, "
         "array(size(_cards), if(exists(_cards, c -> luhn_check(c)), 1, 0))) AS numbers",
         f"{linear.feature_hits()} AS features", f"{entropy.secret_findings('_tokens', options.entropy_threshold)} AS secrets")
-    return sealed(found, ["path", "start"], ["text_length", "numbers", "features", "secrets"])
+    return sealed(found, ["path", "start", "outline"], ["text_length", "numbers", "features", "secrets"])
+
+
+def connections(counted: DataFrame) -> DataFrame:
+    """(path, connections): counts of the connection strings of each file, from the outlines of its pieces."""
+    outlines = counted.groupBy("path").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("start", "outline"))), lambda p: p["outline"]), "").alias("outline"))
+    # few rows of much work each
+    plain = outlines.repartition(counted.sparkSession.sparkContext.defaultParallelism * 4, "path").selectExpr("path", f"{plain_blanks('outline')} AS _plain")
+    return plain.selectExpr("*", *detectors.gate_columns()).selectExpr("path", f"{detectors.connection_counts()} AS connections")
 
 
 def detect_files(files: DataFrame, size: int = RANGE_BYTES, options: ScanOptions = DEFAULTS) -> DataFrame:
     """Files (path, length and others) with the signals of ``scan.detect``; blank files are left out."""
-    counted = piece_counts(read_pieces(pieces(files.select("path", "length"), size)), options)
+    spark, tasks, folder = files.sparkSession, read_tasks(files), scratch(files.sparkSession, "pieces")
+    # read and scanned once, for the four sums below
+    piece_counts(read_pieces(pieces(files.select("path", "length"), size, tasks), tasks), options).write.parquet(folder)
+    counted = spark.read.parquet(folder)
     whole = counted.groupBy("path").agg(F.sum("text_length").cast("int").alias("text_length"),
                                         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "secrets"))), lambda p: p["secrets"])).alias("secrets"))
     sums = (counted.select("path", F.posexplode("numbers").alias("at", "n")).groupBy("path", "at").agg(F.sum("n").cast("int").alias("n"))
@@ -45,11 +59,13 @@ def detect_files(files: DataFrame, size: int = RANGE_BYTES, options: ScanOptions
     n = len(DETECTORS)
     single = ", ".join(str(i) for i, d in enumerate(DETECTORS) if "1" in d[6])
     cards = n + len(INDICATORS)
+    reaching = [i for i, d in enumerate(DETECTORS) if d[0] in detectors.INDEXED]
     hits = (f"transform(slice(_n, 1, {n}), (c, i) -> CASE WHEN i = {_CARD} THEN if(_n[{cards + 1}] > 0, _n[{cards}], 0) "
+            f"WHEN i IN ({', '.join(map(str, reaching))}) THEN connections[array_position(array({', '.join(map(str, reaching))}), i) - 1] "
             f"WHEN i IN ({single}) THEN least(c, 1) ELSE c END)")
     keep = files.columns
     none = "cast(array() AS array<struct<i:int,feature:string,weight:double,n:int,contribution:double>>)"
-    joined = files.join(whole, "path").join(sums, "path").join(features, "path", "left").selectExpr(
+    joined = files.join(whole, "path").join(sums, "path").join(connections(counted), "path").join(features, "path", "left").selectExpr(
         *keep, "text_length", "secrets", "substring(sha2(concat('[File: ', element_at(split(path, '/'), -1), ']'), 256), 1, 16) AS sha256_prefix",
         f"{hits} AS _hits", f"slice(_n, {n + 1}, {len(INDICATORS)}) AS _counts", f"coalesce(_features, {none}) AS _features")
     scored = joined.selectExpr(*keep, "text_length", "secrets", "sha256_prefix", "_features", f"{detectors.findings('_hits')} AS findings",

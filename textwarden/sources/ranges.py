@@ -2,10 +2,10 @@
 
 A file is cut where no pattern of the scan can reach across: behind a sentence end that an empty
 line and a letter follow. Values and keywords around blanks, tokens, table rows and lines of
-settings all end before such a place. Only connection strings may run on, so no cut is used behind
-the first scheme or ``Server=`` of a file. Ranges are searched for their first cut side by side;
-a piece lies between two cuts, and a stretch without one stays whole. Text is never cut within a
-character.
+settings all end before such a place. Only connection strings may run on; they are looked for in
+the outlines of a file's pieces put together (``outline``). Ranges are searched for their first cut
+side by side; a piece lies between two cuts, and a stretch without one stays whole. Text is never
+cut within a character.
 
 Tasks read through Arrow's file systems (local, HDFS, S3, GCS); files in a store that only Spark
 reaches are scanned whole (``payloads.read_files``).
@@ -19,13 +19,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from textwarden.functions.regex import SPACE_CHARS
+from textwarden.sources.tables import task_count
 from textwarden.sources.workers import map_batches
 
 RANGE_BYTES = 32 * 1024 * 1024
 #: bytes before a cut that decide on it, and that must follow the last one
 AROUND = 4096
 _CUT = re.compile(rb"[a-z]{2}[.!?](?:\r?\n){2}(?=[A-Za-z])")
-_OPEN = re.compile(rb"(?:postgres(?:ql)?|mongodb(?:\+srv)?|mysql|rediss?|mssql|sqlserver)://|server\s*(?:=|\Z)", re.I)
+#: characters that an outline keeps of a stretch without ``:``, ``@``, ``;`` and ``=``: behind its first blanks, before its last ones
+HEAD, TAIL = 16, 24
+_STRETCH = re.compile(rf"[^:@;=]{{{HEAD + TAIL + 2},}}")
 
 
 def _opened(path: str):
@@ -51,33 +55,57 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select("path", "length")
 
 
+def _shortened(stretch: re.Match) -> str:
+    text = stretch[0]
+    head = len(text) - len(text.lstrip(SPACE_CHARS)) + HEAD
+    middle = text[head:max(0, len(text.rstrip(SPACE_CHARS)) - TAIL)]
+    if not middle:
+        return text
+    kept = next((mark for mark, kind in (("\n", "\n\r\u2028\u2029"), (" ", SPACE_CHARS), ('"', "\"'")) if any(c in middle for c in kind)), "x")
+    return f"{text[:head]}{kept}{text[head + len(middle):]}"
+
+
+def outline(text: str) -> str:
+    """The text with long stretches shortened that hold nothing but what connection strings pass over.
+
+    Their matches begin at a name right before ``:`` or ``=``, end soon behind one of ``:@=``, and in
+    between only ``:``, ``@``, ``;``, ``=``, line ends, blanks and quotes decide. One character stands for the
+    middle of a stretch: a line end if it holds one, else a blank, else a quote. So the outline has the same
+    matches, and the outlines of neighbouring pieces together are an outline of both.
+    """
+    return _STRETCH.sub(_shortened, text)
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first cut of each range but a file's first one, and whether anything in it may run on."""
+    """The first cut of each range but a file's first one."""
     for batch in batches:
-        cuts, opens = [], []
+        cuts = []
         for path, length, start, end in zip(*(c.to_pylist() for c in batch.columns)):
             low, high = max(0, start - AROUND), min(length, end + AROUND)
-            data = _bytes(path, low, high)
-            found = (low + m.end() for m in _CUT.finditer(data))
+            found = (low + m.end() for m in _CUT.finditer(_bytes(path, low, high)))
             cuts.append(next((at for at in found if start <= at < end and start and length - at >= AROUND), None))
-            opens.append(_OPEN.search(data) is not None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pa.int64()), pa.array(opens)], ["path", "length", "start", "cut", "open"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pa.int64())], ["path", "length", "start", "cut"])
+
+
+def read_tasks(files: DataFrame) -> int:
+    """Tasks to read these files with; rows of paths and places are too small to tell."""
+    return task_count(files.sparkSession, files.agg(F.sum("length")).first()[0] or 0)
 
 
-def pieces(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
+def pieces(files: DataFrame, size: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
     """(path, start, end) of the pieces of each file (path, length)."""
     starts = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
-    ranges = starts.withColumn("end", F.least(F.col("start") + size, "length")).repartition("path", "start")
-    facts = map_batches(ranges, _facts, "path string, length long, start long, cut long, open boolean")
+    ranges = starts.withColumn("end", F.least(F.col("start") + size, "length")).repartition(
+        tasks or read_tasks(files), "path", "start")
+    facts = map_batches(ranges, _facts, "path string, length long, start long, cut long")
     until = Window.partitionBy("path").orderBy("start")
-    usable = facts.withColumn("open", F.max("open").over(until.rowsBetween(Window.unboundedPreceding, 0))).filter(
-        "start = 0 OR (cut IS NOT NULL AND NOT open)")
+    usable = facts.filter("start = 0 OR cut IS NOT NULL")
     return (usable.select("path", "length", F.coalesce("cut", "start").alias("start"))
             .withColumn("end", F.coalesce(F.lead("start").over(until), "length")).drop("length"))
 
 
-def read_pieces(found: DataFrame) -> DataFrame:
-    """The pieces with their ``text``; bytes that are not UTF-8 become replacement characters."""
+def read_pieces(found: DataFrame, tasks: int) -> DataFrame:
+    """The pieces with their ``text`` and its ``outline``; bytes that are not UTF-8 become replacement characters."""
     columns = found.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +114,8 @@ def read_pieces(found: DataFrame) -> DataFrame:
                 one = batch.slice(row, 1)
                 path, start, end = (one.column(columns.index(c))[0].as_py() for c in ("path", "start", "end"))
                 text = _bytes(path, start, end).decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([text], pa.string())], [*columns, "text"])
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([text], pa.string()), pa.array([outline(text)], pa.string())],
+                                                 [*columns, "text", "outline"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", text string"
-    return map_batches(found.repartition("path", "start"), work, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", text string, outline string"
+    return map_batches(found.repartition(tasks, "path", "start"), work, schema)

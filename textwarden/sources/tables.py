@@ -8,8 +8,10 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-#: below this much input per core, a scan is spread over all cores first
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
+#: file bytes that one task of a scan takes
+TASK_BYTES = 8 * 1024 * 1024
+#: tasks per core at least, so that a small input reaches all cores
+TASKS_PER_CORE = 4
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,15 +43,19 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores; leave a large one as its files split it.
+def task_count(spark: SparkSession, size: int) -> int:
+    """Tasks for a scan over so many file bytes."""
+    return max(spark.sparkContext.defaultParallelism * TASKS_PER_CORE, -(-size // TASK_BYTES))
 
-    Scanning costs far more per byte than reading, and a small file may be one Parquet row
-    group, hence one task. The size is the optimizer's estimate from file sizes, so a large
-    table is never shuffled here.
+
+def spread(df: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Spread the rows over tasks of bounded size, at least a few per core.
+
+    Scanning costs far more per byte than moving, and a file split may be one large Parquet row
+    group: a task of a scan would grow with the splits. The size is the optimizer's estimate from
+    file sizes, of ``files`` where the rows are joined from more than one table.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores * 4) if size < cores * SMALL_BYTES_PER_CORE else df
+    size = int((df if files is None else files)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(task_count(df.sparkSession, size))
