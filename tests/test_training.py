@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from textwarden.operators import evaluate, training
-from textwarden.sources import sinks
+from textwarden.operators import evaluate, grams, training
+from textwarden.sources import sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,38 @@ def test_load_or_train_trains_when_missing(spark, corpus, tmp_path):
     path = str(tmp_path / "none")
     model = training.load_or_train(spark, path, lambda: corpus)
     assert len(model.stages) == 5 and (tmp_path / "none").exists()
+
+
+def test_cross_validation_equals_a_fit_per_fold(corpus):
+    split = training.stratified_split(corpus, "id").cache()
+    train = split.filter("part = 'train'")
+    got = {r.fold: r.f1 for r in training.cross_validate(split).collect()}
+    for fold in range(2):
+        model = training.fit(train.filter(F.col("fold") != fold))
+        assert got[fold] == training.score(training.predict(model, train.filter(F.col("fold") == fold))).first().f1
+    assert sorted(got) == [0, 1, 2, 3, 4]
+
+
+def test_counts_of_known_grams(spark):
+    """Texts counted word by word hold the same grams as texts cut whole."""
+    rng = random.Random(1)
+    values = [" ".join("".join(rng.choices("abÄ\U0001f600", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, " \n "]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string").repartition(5)
+    plain = df.select("id", F.explode(F.expr(training.char_grams())).alias("gram"))
+    totals = {r.gram: r.n for r in grams.occurrences(df, n=F.lit(True)).collect()}
+    assert totals == {r.gram: r["count"] for r in plain.groupBy("gram").count().collect()}
+    terms = sorted(totals)[::3]
+    want = {(r.id, r.gram): r["count"] for r in plain.groupBy("id", "gram").count().collect() if r.gram in terms}
+    found = grams.known_counts(df.selectExpr("id", f"{grams.words('text')} AS words"), terms).collect()
+    assert len(found) == len(values)
+    assert {(r.id, terms[p]): n for r in found for p, n in zip(r.positions, r.tfs)} == want
+
+
+def test_tasks_of_a_scan_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """One large row group is no reason for one large task, however many bytes a core has to take."""
+    spark.range(200_000).selectExpr("id", "md5(cast(id AS string)) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(tables, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(tables, "SMALL_BYTES_PER_CORE", 1_000, raising=False)
+    counts = tables.spread(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) > 200 and max(r["count"] for r in counts) < 2_000

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textwarden.functions import destination, entropy, linear, risk
 from textwarden.functions.detectors import findings
 from textwarden.functions.text import plain_blanks, utf16_length
-from textwarden.operators import analytics, evaluate, events as ev, gradient, keys, policies, redact, rule_table, sessions, training, watchlist
+from textwarden.operators import analytics, evaluate, events as ev, gradient, grams, keys, policies, redact, rule_table, sessions, training, watchlist
 from textwarden.operators.files import quarantined, scan_typed, with_extension
 from textwarden.operators.scan import detect, judge, scan, scannable, summarize_signals, with_classifier, with_gates, with_hits, with_narrative, with_secrets
 from textwarden.operators.sealed import sealed
@@ -647,9 +647,9 @@ def method_comparison(spark, sf):
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a quality label, the training stand-in; category is the language."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("category")))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("category"))
     marks = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    return docs.join(marks, "doc_id")
+    return spread(docs.join(marks, "doc_id"), docs)
 
 
 @query
@@ -665,8 +665,7 @@ def stratified_split(spark, sf):
 
 @query
 def char_grams(spark, sf):
-    grams = labelled(spark, sf).select(F.explode(F.expr(training.char_grams())).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("occurrences"))
+    return grams.occurrences(labelled(spark, sf), occurrences=F.lit(True))
 
 
 @query
@@ -680,7 +679,7 @@ def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents in parts and folds, written once for the many passes of a fit."""
     folder = scratch(spark, "split")
     training.stratified_split(labelled(spark, sf), "doc_id").write.parquet(folder)
-    return spark.read.parquet(folder)
+    return spread(spark.read.parquet(folder))
 
 
 @query
