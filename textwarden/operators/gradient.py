@@ -1,7 +1,7 @@
 """The text classifier as tables: vocabulary, inverse frequencies, features, and gradient passes.
 
-Grams are counted per document and combined before every shuffle; the vocabulary is a top list of
-bounded length, and a document's features are one row. A pass over the features gives loss and
+Words are counted per document, and grams only cut from distinct words; the vocabulary is a top list
+of bounded length, and a document's features are one row. A pass over the features gives loss and
 gradient of several models at once: the model of the whole training part and those that leave out
 one fold each read the same rows. Tasks add up in place and send one row of numbers; the minimiser
 works on these sums and never sees a document.
@@ -15,9 +15,10 @@ from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from textwarden.operators.training import C, FOLDS, MAX_ITERATIONS, MAX_TERMS, char_grams
+from textwarden.operators import grams
+from textwarden.operators.training import C, FOLDS, MAX_ITERATIONS, MAX_TERMS
 from textwarden.sources.workers import map_batches
 
 #: correction pairs of the minimiser
@@ -27,16 +28,23 @@ PARTIALS = 16
 
 
 def gram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf): how often each gram occurs in each document."""
-    return docs.select(key, F.explode(F.expr(char_grams(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, words, times): the words of each document and how often each occurs, which tells the counts of all its grams."""
+    # one shuffle by key serves both groupings
+    each = docs.select(key, text).repartition(key).select(key, F.explode(F.expr(grams.words(text))).alias("word"))
+    counted = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key).agg(F.collect_list(F.struct("word", "n")).alias("c")).select(
+        key, F.col("c.word").alias("words"), F.col("c.n").alias("times"))
 
 
 def vocabulary(counts: DataFrame, top: int = MAX_TERMS) -> DataFrame:
     """(term, occurrences, df, position): the grams that occur most, ties by code point, numbered from 0 by term."""
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
-    # at most ``top`` rows
-    return (terms.orderBy(F.desc("occurrences"), "term").limit(top)
-            .withColumn("position", F.row_number().over(Window.orderBy("term")) - 1))
+    spark = counts.sparkSession
+    each = counts.select(F.explode(F.arrays_zip("words", "times")).alias("c")).groupBy(F.col("c.words").alias("word")).agg(F.sum("c.times").alias("n"))
+    # at most ``top`` rows from here on
+    found = sorted((r.gram, r.n) for r in grams.of_words(each, "n").orderBy(F.desc("n"), "gram").limit(top).collect())
+    holding = grams.known_counts(counts.select("words", "times"), [t for t, _ in found], times="times")
+    df = dict(holding.select(F.explode("positions").alias("p")).groupBy("p").count().collect())
+    return spark.createDataFrame([(t, n, df[i], i) for i, (t, n) in enumerate(found)], "term string, occurrences bigint, df bigint, position int")
 
 
 def inverse_frequencies(terms: DataFrame, documents: int) -> DataFrame:
@@ -46,12 +54,12 @@ def inverse_frequencies(terms: DataFrame, documents: int) -> DataFrame:
 
 def features(docs: DataFrame, counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """The documents' other columns with ``positions`` and ``values``: TF-IDF of unit length."""
-    weighed = (counts.join(F.broadcast(terms.select("term", "position", "idf")), "term")  # bounded by the vocabulary
-               .select(key, "position", (F.col("tf") * F.col("idf")).alias("value")))
-    rows = weighed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("f"),
-                                    F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    listed = terms.select("term", "idf").orderBy("position").collect()  # bounded by the vocabulary
+    found = grams.known_counts(counts, [r.term for r in listed], times="times", weights=[r.idf for r in listed])
+    rows = found.selectExpr(key, "positions", "tfs", "sqrt(aggregate(tfs, 0D, (a, v) -> a + v * v)) AS norm")
     return docs.join(rows, key, "left").selectExpr(
-        *docs.columns, "coalesce(f.position, array()) AS positions", "coalesce(transform(f.value, v -> v / norm), cast(array() AS array<double>)) AS values")
+        *docs.columns, "coalesce(positions, cast(array() AS array<int>)) AS positions",
+        "coalesce(transform(tfs, v -> v / norm), cast(array() AS array<double>)) AS values")
 
 
 class Passes:

@@ -93,16 +93,19 @@ def _table(lists: pa.ListArray, times: np.ndarray | None, known: _Known, size: i
         yield held, total[held]
 
 
-def known_counts(df: DataFrame, terms: list[str], column: str = "words", times: str | None = None) -> DataFrame:
+def known_counts(df: DataFrame, terms: list[str], column: str = "words", times: str | None = None,
+                 weights: list[float] | None = None) -> DataFrame:
     """The rows with ``positions`` (ascending, in ``terms``) and ``tfs`` of the known grams of their words.
 
     ``column`` is an array of words, ``times`` one of how often each occurs; both are left out of the result.
+    With ``weights`` the counts are multiplied by those of their terms.
     """
-    shared = df.sparkSession.sparkContext.broadcast(terms)  # a vocabulary, bounded by the caller
+    shared = df.sparkSession.sparkContext.broadcast((terms, np.ones(len(terms)) if weights is None else np.array(weights)))  # a vocabulary, bounded by the caller
     keep = [c for c in df.columns if c not in (column, times)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known({t: i for i, t in enumerate(shared.value)})
+        listed, factors = shared.value
+        known = _Known({t: i for i, t in enumerate(listed)})
         for batch in batches:
             many = None if times is None else np.asarray(batch.column(2).flatten())
             rows = list(_table(batch.column(1), many, known, len(known.places)))
@@ -110,7 +113,7 @@ def known_counts(df: DataFrame, terms: list[str], column: str = "words", times:
             flat = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat[0], pa.int32())),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat[1], pa.float64()))], ["row", "positions", "tfs"])
+                 pa.ListArray.from_arrays(offsets, pa.array(flat[1] * factors[flat[0].astype(np.int64)], pa.float64()))], ["row", "positions", "tfs"])
 
     packed = df.select(F.struct(*keep).alias("row"), column, *([times] if times else []))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, positions array<int>, tfs array<double>"
