@@ -1,5 +1,6 @@
 import hashlib
 import random
+import weakref
 
 import public_tokenizers
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textwarden.llm import bpe
+from textwarden.sources import workers
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SOURCE = open(PATH, encoding="utf-8").read()
@@ -64,3 +66,12 @@ def test_vocabulary_with_two_ways_to_a_token_is_refused():
     model["model"]["merges"] = model["model"]["merges"][::-1]
     with pytest.raises(ValueError):
         bpe.Vocabulary(json.dumps(model))
+
+
+def test_a_worker_keeps_the_coder_only_between_tasks_that_encode():
+    made = weakref.ref(bpe.coder_of(SOURCE))
+    workers.give_back()
+    assert bpe.coder_of(SOURCE) is made()
+    workers.give_back()
+    workers.give_back()  # a task of another operator
+    assert made() is None

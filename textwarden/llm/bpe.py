@@ -14,7 +14,6 @@ special tokens and replaces invalid UTF-8. Columns named like the added ones are
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from textwarden.llm.common import map_batches
+from textwarden.llm.common import kept, map_batches
 
 #: pre-token pattern of the byte-level vocabulary (fixed value)
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -208,10 +207,9 @@ class Coder:
         return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
 def coder_of(source: str) -> Coder:
-    """The coder of a Python worker, kept between its tasks."""
-    return Coder(source)
+    """The coder of a Python worker, kept between its encoding tasks."""
+    return kept(Coder, source)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

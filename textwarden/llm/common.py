@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.sources.tables import scratch
-from textwarden.sources.workers import map_batches, ship
+from textwarden.sources.workers import kept, map_batches, ship
 
-__all__ = ["map_batches", "salted_join", "shared_folder", "ship", "stored"]
+__all__ = ["kept", "map_batches", "salted_join", "shared_folder", "ship", "stored"]
 
 #: the white space that separates words, as bytes and as a Java character class
 BLANKS = b" \t\n\x0b\x0c\r"

@@ -6,8 +6,9 @@ import ctypes
 import gc
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 2_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
+_KEPT: dict[Hashable, Any] = {}
+_ASKED: set[Hashable] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,8 +35,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def kept(build: Callable[..., Any], *args: Hashable) -> Any:
+    """``build(*args)``, kept between the tasks of a Python worker that ask for it; the first task that does not drops it."""
+    key = (build, args)
+    if key not in _KEPT:
+        _KEPT[key] = build(*args)
+    _ASKED.add(key)
+    return _KEPT[key]
+
+
 def give_back() -> None:
     """Return what a finished task used to the system; an idle worker keeps its process, not its memory."""
+    for key in _KEPT.keys() - _ASKED:  # of another operator, whose tasks are over
+        del _KEPT[key]
+    _ASKED.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
