@@ -137,3 +137,13 @@ def test_tasks_of_a_scan_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "SMALL_BYTES_PER_CORE", 1_000, raising=False)
     counts = tables.spread(df).groupBy(F.spark_partition_id()).count().collect()
     assert len(counts) > 200 and max(r["count"] for r in counts) < 2_000
+
+
+def test_tasks_of_a_scan_are_bounded_by_the_text_not_by_its_file(spark, tmp_path, monkeypatch):
+    """Copies of a text shrink to almost nothing in a file, but each is scanned."""
+    spark.range(4_000).selectExpr("id", "repeat('ab ', 500) AS text", "cast(null AS string) AS none").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.schema("id long, text string, none string").parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(tables, "TASK_BYTES", 40_000)
+    counts = tables.spread(df).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in counts) == 4_000 and max(r["count"] for r in counts) < 50
+    assert tables.text_bytes(df) == 4_000 * 1_500 and tables.text_bytes(df.select("id")) == 0 == tables.text_bytes(df.limit(0))
