@@ -101,3 +101,33 @@ def test_files_are_cut_behind_connection_strings(spark, tmp_path):
     assert found.count() > 5 and max(r.end - r.start for r in found.collect()) < 25_000
     assert ranges.read_pieces(found, 8).rdd.getNumPartitions() == 8
     assert [(f.detector, f.n) for f in detect_files(files, 10_000).first().findings] == [("DB_POSTGRES", 1)]
+
+
+def test_parts_of_a_piece_give_what_the_whole_gives(spark, tmp_path, monkeypatch):
+    """Lines of prose among lines that patterns begin on and go on from; a piece is scanned in many small parts."""
+    monkeypatch.setattr(ranges, "PART_BYTES", 60)
+    rng = random.Random(8)
+    prose = ["The plan holds for all of us.", "Nobody knows what comes next, or when!", "One, two, three, four, and then five of them.",
+             "Acv: $ 5 is what they ask of you.", "Codename: heron, they said to all of them.", "We read the number from os.", "And so it goes on and on."]
+    texts = {}
+    for k in range(12):
+        ends = ["\n", "\n", "\n", "\n\n", " ", "\r\n"] if k % 2 else ["\n"]
+        lines = [rng.choice(prose if rng.random() < 0.6 else SENTENCES + ["1,2,3,4 of us.", "FROM_A=to b of us.", "from a.b import c of us.", "postgres://u:p@h/x"]) for _ in range(400)]
+        texts[f"{k}.txt"] = "".join(line + rng.choice(ends) for line in lines)
+        (tmp_path / f"{k}.txt").write_bytes(texts[f"{k}.txt"].encode())
+    files = list_files(spark, f"file://{tmp_path}")
+    read = ranges.read_pieces(pieces(files), 8).orderBy("path", "start").collect()
+    assert len(read) > 12 * 20 and sum(r.outline is not None for r in read) == 12
+    for name, text in texts.items():
+        own = [r for r in read if r.path.endswith(f"/{name}")]
+        assert "".join(r.text for r in own) == text and all(a.end == b.start for a, b in zip(own, own[1:]))
+    assert in_pieces(spark, f"file://{tmp_path}", ranges.RANGE_BYTES) == whole(spark, texts)
+
+
+def test_parts_do_not_cut_rows_settings_or_imports():
+    line = b"The quick brown fox jumps over all of them.\n"
+    assert ranges.parts(line * 100, 200) == [len(line) * 5 * k for k in range(20)]
+    for before, behind in ((b"one, two, three, four of them.\n", b"Five, six, seven, and then eight of them.\n"), (b"a = some of them.\n", b"KEY_B=2 and others of them.\n"),
+                           (b"                          from them.\n", line), (line[:-1] + b"\r\n", line), (b"what are the words:\n", line)):
+        assert len(before) * 3 not in ranges.parts(before * 3 + behind * 30, len(before) * 3 - 1)
+        assert len(line) * 3 in ranges.parts(line * 30, len(line) * 3 - 1)

@@ -9,7 +9,7 @@ but for the hash, which is that of the file's label.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.fixed_values import DETECTORS, INDICATORS
 from textwarden.functions import detectors, entropy, linear, narrative
@@ -25,19 +25,27 @@ _CARD = next(i for i, d in enumerate(DETECTORS) if d[0] == "CREDIT_CARD")
 
 
 def piece_counts(read: DataFrame, options: ScanOptions = DEFAULTS) -> DataFrame:
-    """Raw counts of each piece (path, start, text, outline): numbers, features and secrets; and its outline."""
+    """Raw counts of each part of a piece (path, start, text, outline): numbers, features and secrets; and the outline, where it has one.
+
+    Connection strings are not among them; they are counted in the outlines alone.
+    """
     found = with_gates(scannable(read), "text", options).selectExpr(
         "path", "start", "outline", f"CAST({utf16_length('text')} AS BIGINT) AS text_length",
-        f"concat({detectors.hit_counts()}, {narrative.indicator_counts()}, "
+        f"concat({detectors.hit_counts(connections=False)}, {narrative.indicator_counts()}, "
         "array(size(_cards), if(exists(_cards, c -> luhn_check(c)), 1, 0))) AS numbers",
         f"{linear.feature_hits()} AS features", f"{entropy.secret_findings('_tokens', options.entropy_threshold)} AS secrets")
     return sealed(found, ["path", "start", "outline"], ["text_length", "numbers", "features", "secrets"])
 
 
+def in_order(value: str) -> Column:
+    """An array of a file's values by their starts; parts without a value are left out of it."""
+    held = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("start", value)))
+    return F.transform(F.sort_array(held), lambda p: p[value])
+
+
 def connections(counted: DataFrame) -> DataFrame:
     """(path, connections): counts of the connection strings of each file, from the outlines of its pieces."""
-    outlines = counted.groupBy("path").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("start", "outline"))), lambda p: p["outline"]), "").alias("outline"))
+    outlines = counted.groupBy("path").agg(F.array_join(in_order("outline"), "").alias("outline"))
     # few rows of much work each
     plain = outlines.repartition(counted.sparkSession.sparkContext.defaultParallelism * 4, "path").selectExpr("path", f"{plain_blanks('outline')} AS _plain")
     return plain.selectExpr("*", *detectors.gate_columns()).selectExpr("path", f"{detectors.connection_counts()} AS connections")
@@ -46,13 +54,12 @@ def connections(counted: DataFrame) -> DataFrame:
 def detect_files(files: DataFrame, size: int = RANGE_BYTES, options: ScanOptions = DEFAULTS) -> DataFrame:
     """Files (path, length and others) with the signals of ``scan.detect``; blank files are left out."""
     spark, tasks, folder = files.sparkSession, read_tasks(files), scratch(files.sparkSession, "pieces")
-    # read and scanned once, for the four sums below
+    # read and scanned once, for the three sums below
     piece_counts(read_pieces(pieces(files.select("path", "length"), size, tasks), tasks), options).write.parquet(folder)
     counted = spark.read.parquet(folder)
-    whole = counted.groupBy("path").agg(F.sum("text_length").cast("int").alias("text_length"),
-                                        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "secrets"))), lambda p: p["secrets"])).alias("secrets"))
-    sums = (counted.select("path", F.posexplode("numbers").alias("at", "n")).groupBy("path", "at").agg(F.sum("n").cast("int").alias("n"))
-            .groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda p: p["n"]).alias("_n")))
+    numbers = F.array(*[F.sum(F.col("numbers")[i]).cast("int") for i in range(len(DETECTORS) + len(INDICATORS) + 2)])
+    found = counted.withColumn("secrets", F.when(F.size("secrets") > 0, F.col("secrets")))
+    whole = found.groupBy("path").agg(F.sum("text_length").cast("int").alias("text_length"), F.flatten(in_order("secrets")).alias("secrets"), numbers.alias("_n"))
     features = (counted.select("path", F.explode("features").alias("f")).groupBy("path", "f.i", "f.feature", "f.weight").agg(F.sum("f.n").cast("int").alias("n"))
                 .withColumn("contribution", F.expr("weight * (1 + abs(weight) / 5.0D) * ln(1 + n)"))
                 .groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "feature", "weight", "n", "contribution"))).alias("_features")))
@@ -65,7 +72,7 @@ def detect_files(files: DataFrame, size: int = RANGE_BYTES, options: ScanOptions
             f"WHEN i IN ({single}) THEN least(c, 1) ELSE c END)")
     keep = files.columns
     none = "cast(array() AS array<struct<i:int,feature:string,weight:double,n:int,contribution:double>>)"
-    joined = files.join(whole, "path").join(sums, "path").join(connections(counted), "path").join(features, "path", "left").selectExpr(
+    joined = files.join(whole, "path").join(connections(counted), "path").join(features, "path", "left").selectExpr(
         *keep, "text_length", "secrets", "substring(sha2(concat('[File: ', element_at(split(path, '/'), -1), ']'), 256), 1, 16) AS sha256_prefix",
         f"{hits} AS _hits", f"slice(_n, {n + 1}, {len(INDICATORS)}) AS _counts", f"coalesce(_features, {none}) AS _features")
     scored = joined.selectExpr(*keep, "text_length", "secrets", "sha256_prefix", "_features", f"{detectors.findings('_hits')} AS findings",

@@ -7,6 +7,9 @@ the outlines of a file's pieces put together (``outline``). Ranges are searched
 side by side; a piece lies between two cuts, and a stretch without one stays whole. Text is never
 cut within a character.
 
+A task scans its pieces in ``parts``, cut where a sentence ends a line of prose and another line of it
+follows: most patterns run only over texts that hold what they need, so they are spared most parts.
+
 Tasks read through Arrow's file systems (local, HDFS, S3, GCS); files in a store that only Spark
 reaches are scanned whole (``payloads.read_files``).
 """
@@ -27,6 +30,14 @@ RANGE_BYTES = 32 * 1024 * 1024
 #: bytes before a cut that decide on it, and that must follow the last one
 AROUND = 4096
 _CUT = re.compile(rb"[a-z]{2}[.!?](?:\r?\n){2}(?=[A-Za-z])")
+#: least bytes of a part
+PART_BYTES = 2048
+#: what ends a line before a part (three words, so no import statement) and begins the next one (no setting);
+#: both are long enough for the narrative patterns, which pass over very short texts
+_LINE_END = re.compile(rb"[!-~][ -~]{10,}[a-z] [a-z]+ [a-z]{2,}[.!?]\Z")
+_LINE_START = re.compile(rb"[A-Z][a-z][ -~]{14,60}[!-~]")
+#: least commas in a row of bulk data
+_COMMAS = 3
 #: characters that an outline keeps of a stretch without ``:``, ``@``, ``;`` and ``=``: behind its first blanks, before its last ones
 HEAD, TAIL = 16, 24
 _STRETCH = re.compile(rf"[^:@;=]{{{HEAD + TAIL + 2},}}")
@@ -87,6 +98,24 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pa.int64())], ["path", "length", "start", "cut"])
 
 
+def parts(piece: bytes, least: int) -> list[int]:
+    """Where the parts of a piece start: line starts at least so many bytes apart that no pattern of the scan reaches across.
+
+    Patterns that pass a line end need blanks, a keyword, a sign, a number or a field before it, or a setting
+    behind it. Rows of bulk data follow each other line by line, so one of the two lines must have too few commas.
+    """
+    starts = [0]
+    end = piece.find(b"\n", least)
+    while 0 <= end and len(piece) - end > least:
+        if _LINE_START.match(piece, end + 1) and _LINE_END.search(piece[max(0, end - 64):end]):
+            before, behind = piece.rfind(b"\n", 0, end) + 1, piece.find(b"\n", end + 1)
+            if piece.count(b",", before, end) < _COMMAS or piece.count(b",", end + 1, len(piece) if behind < 0 else behind) < _COMMAS:
+                starts.append(end + 1)
+                end += least
+        end = piece.find(b"\n", end + 1)
+    return starts
+
+
 def read_tasks(files: DataFrame) -> int:
     """Tasks to read these files with; rows of paths and places are too small to tell."""
     return task_count(files.sparkSession, files.agg(F.sum("length")).first()[0] or 0)
@@ -105,17 +134,24 @@ def pieces(files: DataFrame, size: int = RANGE_BYTES, tasks: int | None = None)
 
 
 def read_pieces(found: DataFrame, tasks: int) -> DataFrame:
-    """The pieces with their ``text`` and its ``outline``; bytes that are not UTF-8 become replacement characters."""
-    columns = found.columns
+    """The pieces in ``parts``, each with its start and ``text``; bytes that are not UTF-8 become replacement characters.
+
+    The first part of a piece also carries the ``outline`` of the whole piece.
+    """
+    columns, least = found.columns, PART_BYTES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                path, start, end = (one.column(columns.index(c))[0].as_py() for c in ("path", "start", "end"))
-                text = _bytes(path, start, end).decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([text], pa.string()), pa.array([outline(text)], pa.string())],
-                                                 [*columns, "text", "outline"])
+            for row in batch.to_pylist():
+                piece = _bytes(row["path"], row["start"], row["end"])
+                starts = parts(piece, least)
+                texts = [piece[a:b].decode("utf-8", "replace") for a, b in zip(starts, [*starts[1:], len(piece)])]
+                held = {c: [row[c]] * len(starts) for c in columns}
+                held |= {"start": [row["start"] + a for a in starts], "end": [row["start"] + b for b in [*starts[1:], len(piece)]]}
+                outlines = [outline("".join(texts))] + [None] * (len(starts) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(held[c], batch.schema.field(c).type) for c in columns), pa.array(texts, pa.string()), pa.array(outlines, pa.string())],
+                    [*columns, "text", "outline"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", text string, outline string"
     return map_batches(found.repartition(tasks, "path", "start"), work, schema)
