@@ -7,6 +7,12 @@ most one difference, and each partition into three cells: of the three pairs of
 agrees exactly. Each pair of cells is a signature, so similar sets share one; there is no
 probability in it.
 
+Two cells without features agree between any sets, so a signature of them joins a share of all
+documents, and the pairs below it grow with the square of their number. Only the largest sets of
+an instance can differ in ``k`` features, and larger sets have a few partitions more than they need;
+so sets leave out their lightest partitions, as many as keep one with at most one difference between
+any two similar sets (``Bands.spare``).
+
 Sets that share a signature form a star around the smallest id, per input task first and then
 over all, so no task or group pairs its members with each other. Star links are verified exactly
 on the sets. Where members of one signature remain in different components, all their untested
@@ -38,6 +44,8 @@ from textwarden.llm.components import components
 WORDS = 3
 SIMILARITY = Fraction(9, 10)
 CELLS = 3
+#: of so many partitions even the largest sets of an instance can do without one, for which two more are made
+SPARED = 24
 #: a task stars its signatures when it holds this many
 HELD = 1 << 19
 #: texts that are taken out of a batch at a time
@@ -92,9 +100,19 @@ class Bands:
         s = self.similarity
         return int(2 * (self.low[instance + 2] - 1) * (1 - s) / (1 + s))
 
+    def spare(self, size: int, partitions: int) -> int:
+        """How many of an instance's partitions a set of this size can do without.
+
+        Sets of x and y features are similar only if they differ in at most ``c (x + y)``, ``c = (1 - s) / (1 + s)``, so at
+        most ``c (x + y) / 2`` partitions hold two differences or more. With ``m`` partitions, each set may leave out
+        ``(m - 1 - floor(c x)) // 2``: whatever is even or odd, what both leave out and these are at most ``m - 1`` together.
+        """
+        num, den = self.similarity.numerator, self.similarity.denominator
+        return (partitions - 1 - size * (den - num) // (den + num)) // 2
+
 
 def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a set in its two band instances."""
+    """The signatures of a set in its two band instances, without those of its lightest partitions."""
     band = bands.of(len(hashes))
     out = []
     for instance in ([band - 1] if band else []) + [band]:
@@ -104,6 +122,7 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
             out.append(_mix(np.array([np.bitwise_xor.reduce(_mix(hashes))]) + salt))
             continue
         parts = k // 2 + 1
+        parts += 2 * (parts // SPARED)
         spread = _mix(hashes + salt)
         part = (spread >> np.uint64(20)) % np.uint64(parts)
         cell = (part * np.uint64(CELLS) + (spread & np.uint64(0xFFFFF)) % np.uint64(CELLS)).astype(np.int64)
@@ -112,7 +131,12 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         sums = _mix(np.bincount(cell, weight, parts * CELLS).view(np.uint64)).reshape(parts, CELLS)
         place = np.arange(parts * CELLS, dtype=np.uint64).reshape(parts, CELLS)
         both = _mix(sums * _A + np.roll(sums, -1, axis=1))  # cells (0, 1), (1, 2), (2, 0)
-        out.append(_mix(both + _mix(place * _C + salt)).ravel())
+        found, spare = _mix(both + _mix(place * _C + salt)), bands.spare(len(hashes), parts)
+        if spare:
+            count = np.bincount(cell, minlength=parts * CELLS).reshape(parts, CELLS)
+            lightest = count.sum(axis=1) - count.max(axis=1)  # features of the lightest pair of cells
+            found = found[np.argpartition(lightest, spare)[spare:]]
+        out.append(found.ravel())
     return np.concatenate(out)
 
 
